@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from graphlens.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of a public tokenizer; the files stay where they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.tokens import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, room=2048)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.simhash import near_duplicates
 
@@ -22,7 +41,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash, pipeline)}
+    return {f.__name__: f for f in (op4_token_files, op8_packing, op9_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
