@@ -22,6 +22,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.repeats import digest, without_repeats
+
+    return digest(without_repeats(table(spark, sf_dir, "documents"), window=50))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.packing import pack
 
@@ -41,7 +47,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op8_packing, op9_simhash, pipeline)}
+    return {f.__name__: f for f in (op4_token_files, op5_repeats, op8_packing, op9_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
