@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlens.llm.common import slices, texts
 
@@ -62,6 +63,21 @@ def described(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, ", ".join([f"doc_id {plain.schema['doc_id'].dataType.simpleString()}", *(f"{c} double" for c in STATS)]))
 
 
+def with_statistics(docs: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """use(docs with STATS beside their columns), then the columns of docs alone. Columns of docs are renamed meanwhile, so their names may be anything."""
+    names = docs.columns
+    plain = docs.toDF(*(f"__{k}" for k in range(len(names))))
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in slices(batches, f"__{at}"):
+            cols = np.array([statistics(x) for x in found], float).reshape(-1, len(STATS)).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cols)], names=[*batch.schema.names, *STATS])
+
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(c, T.DoubleType()) for c in STATS)])
+    return use(plain.mapInArrow(run, schema)).select(*plain.columns).toDF(*names)
+
+
 def held_out() -> Column:
     """Rows that no fit sees: crc32 of the doc_id as text is a multiple of 5. False for rows without doc_id, which have no label."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

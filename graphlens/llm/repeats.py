@@ -173,15 +173,16 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
 
     plain = docs.where("doc_id is not null").select("doc_id", "text", "crc")
     made, made_at = materialize(plain.mapInArrow(mark, f"k long, r long, doc_id {kind}, crc long, s int, n int"), "marks")
-    shared = made.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k")
+    # Aggregates are written before they are joined: a join straight on one can't split the hot keys of its other side.
+    shared, shared_at = materialize(made.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k"), "keys")
     cand, cand_at = materialize(made.join(shared, "k", "left_semi"), "shared")
-    discard(spark, made_at)
+    discard(spark, made_at, shared_at)
     _free(spark)
-    regions = cand.groupBy("k", "r").agg(F.min("doc_id").alias("d0"))
-    split = regions.groupBy("k").agg(F.count("*").alias("regions")).where("regions > 1")
-    regions = regions.join(split, "k", "left")
-    seen, seen_at = materialize(cand.join(regions, ["k", "r"]).select("doc_id", "crc", "s", "n", "d0", "regions").where("doc_id > d0 or regions is not null"), "regions")
-    discard(spark, cand_at)
+    least, least_at = materialize(cand.groupBy("k", "r").agg(F.min("doc_id").alias("d0")), "least")
+    split, split_at = materialize(least.groupBy("k").agg(F.count("*").alias("regions")).where("regions > 1"), "split")
+    regions, regions_at = materialize(least.join(split, "k", "left"), "regions")
+    seen, seen_at = materialize(cand.join(regions, ["k", "r"]).select("doc_id", "crc", "s", "n", "d0", "regions").where("doc_id > d0 or regions is not null"), "seen")
+    discard(spark, cand_at, least_at, split_at, regions_at)
     _free(spark)
     whole = seen.where("doc_id > d0").select("doc_id", "crc", "s", F.expr(f"s + n - 1 + {window}").alias("e"))
     asked = seen.where("doc_id = d0").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("asked"))
@@ -200,7 +201,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
 
     windows, windows_at = materialize(plain.join(asked.hint("shuffle_hash"), ["doc_id", "crc"]).select("doc_id", "text", "crc", "asked").mapInArrow(each, f"h long, g long, doc_id {kind}, crc long, s int"), "windows")
     _free(spark)
-    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo")
+    least, least_at = materialize(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo"), "least")
     single = windows.join(least, ["h", "g"]).where("doc_id > lo").select("doc_id", "crc", "s", F.expr(f"s + {window}").alias("e"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
 
     found = whole.unionByName(single).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     out, _ = materialize(found.mapInArrow(merge, f"doc_id {kind}, crc long, spans array<struct<s:int,e:int>>"), "spans")
-    discard(spark, seen_at, windows_at)
+    discard(spark, seen_at, windows_at, least_at)
     _free(spark)
     return out
 
@@ -243,6 +244,32 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) ->
     return both.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
+def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with the words of spans (see repeated_spans) cut out of their texts, the rest joined by one space, and n_chars, if there is such a column, set to the new length. Rows without spans stay as they are. Columns of docs are renamed meanwhile, so their names may be anything."""
+    names = docs.columns
+    cols = [f"__{k}" for k in range(len(names))]
+    doc, text = cols[names.index("doc_id")], cols[names.index("text")]
+    plain = docs.toDF(*cols)
+    found = spans.select(F.col("doc_id").alias("span_doc"), F.col("crc").alias("span_crc"), "spans")
+    both = plain.join(found.hint("shuffle_hash"), (F.col(doc) == F.col("span_doc")) & (F.crc32(F.coalesce(text, F.lit(""))) == F.col("span_crc")), "left").select(*cols, "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts_ in slices(batches, text):
+            kept = batch.column(names.index("text")).to_pylist()
+            for k, gone in enumerate(batch.column(len(names)).to_pylist()):
+                if gone:
+                    own = texts_[k].split()
+                    for g in reversed(gone):
+                        del own[g["s"] : g["e"]]
+                    kept[k] = b" ".join(own).decode()
+            out = list(batch.columns[: len(names)])
+            out[names.index("text")] = pa.array(kept, batch.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays(out, names=cols)
+
+    cut = both.mapInArrow(run, plain.schema).toDF(*names)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
+
+
 def digest(kept: DataFrame) -> DataFrame:
     """The kept text as its SHA-256."""
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
