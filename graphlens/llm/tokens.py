@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -16,17 +18,36 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.common import discard, materialize, scratch, slices, texts
 
-#: Most pieces of text whose ids a worker keeps; beyond that it starts anew.
-KEPT = 500_000
+#: A worker keeps the ids of so many pieces of text, and those of the generation before while it gathers as many anew.
+KEPT = 300_000
 #: Characters that some regular expression engines take for white space and Python doesn't. Fixed values.
 ALSO_SPACE = "᠎​⁠﻿"
 
+#: Letters, and what is behind them if that begins with an ASCII character: a pre-token of letters ends there.
+LETTERS = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([\x00-\x7f].*)?", re.DOTALL).fullmatch
+
+
+class Memo(dict):
+    """What make(key) gives, kept for the last KEPT keys and the generation before them."""
+
+    def __init__(self, make: Callable):
+        self.make, self.before = make, {}
+
+    def turn(self) -> None:
+        if len(self) > KEPT:
+            self.before = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        v = self[key] = self.before[key] if key in self.before else self.make(key)
+        return v
+
 
 class Ids:
     """encode(texts) gives each text's ids as little-endian uint32 bytes, as the library does for the whole text without added special tokens.
 
     For a byte-level BPE with its usual pattern, a blank before a character that is no white space always begins a new pre-token, so a text is
-    cut there and each distinct piece goes through the library once for a worker. Texts where a blank has white space behind it or that hold an
+    cut there and each distinct piece goes through the library once for a worker, its leading letters and the rest apart. Texts where a blank has white space behind it or that hold an
     added token's string go through the library whole, as do all texts of tokenizers of another make.
     """
 
@@ -42,28 +63,36 @@ class Ids:
         self.cut = not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
         self.added = [x["content"] for x in made.get("added_tokens", [])]
         self.size = self.tok.get_vocab_size()
-        self.known: dict[str, bytes | None] = {}
+        self.known, self.rests = Memo(self._piece), Memo(lambda x: self._whole([x])[0])
+        self.model = self.tok.model
+        # The byte-level alphabet: bytes that are no visible Latin-1 character stand from U+0100 on, in order.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, x: str) -> bytes | None:
+        """Ids of a blank and x; None if x can't be cut off. A blank and letters are one pre-token, which the model takes in its alphabet of bytes."""
+        if found := LETTERS(x):
+            head, tail = found.groups()
+            if tail:
+                return self.known[head] + self.rests[tail]
+            plain = x if x.isascii() else x.encode().decode("latin-1").translate(self.alphabet)
+            return array("I", [t.id for t in self.model.tokenize("Ġ" + plain)]).tobytes()
+        return None if not x or x[0].isspace() or x[0] in ALSO_SPACE else self._whole([" " + x])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cut:
             return self._whole(texts)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        parts = [None if any(s in x for s in self.added) else x.split(" ") for x in texts]
-        need = set().union(*(p[1:] for p in parts if p)).difference(self.known)
-        for x in [x for x in need if not x or x[0].isspace() or x[0] in ALSO_SPACE]:
-            self.known[x] = None
-            need.discard(x)
-        order = list(need)
-        self.known.update(zip(order, self._whole([" " + x for x in order]), strict=True))
+        for memo in (self.known, self.rests):
+            memo.turn()
+        heads = self._whole([x.partition(" ")[0] for x in texts])
         get, out, late = self.known.__getitem__, [], []
-        first = self._whole([p[0] if p else "" for p in parts])
-        for k, p in enumerate(parts):
+        for k, x in enumerate(texts):
             try:
-                out.append(first[k] + b"".join(map(get, p[1:])))
+                _, *pieces = (" ", " ") if any(s in x for s in self.added) else x.split(" ")
+                out.append(heads[k] + b"".join(map(get, pieces)))
             except TypeError:
                 out.append(b"")
                 late.append(k)
