@@ -16,6 +16,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.lattice import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.tokens import token_files
 
@@ -28,6 +34,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(without_repeats(table(spark, sf_dir, "documents"), window=50))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.pieces import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.packing import pack
 
@@ -53,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op5_repeats, op8_packing, op9_simhash, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_token_files, op5_repeats, op6_token_counts, op8_packing, op9_simhash, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

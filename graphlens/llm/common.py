@@ -59,7 +59,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     """Each Arrow batch in runs of rows of about `most` bytes of text (a longer text alone in its run), with the texts as UTF-8."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        col = col.cast(pa.large_binary()) if not pa.types.is_binary(col.type) and not pa.types.is_large_binary(col.type) else col
         n, at = batch.num_rows, 0
         if not n:
             continue
@@ -67,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         while at < n:
             done = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
-            yield batch.slice(at, to - at), [x or b"" for x in col.slice(at, to - at).to_pylist()]
+            yield batch.slice(at, to - at), [x or b"" for x in col.slice(at, to - at).cast(pa.large_binary()).to_pylist()]
             at = to
 
 

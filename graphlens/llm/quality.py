@@ -186,7 +186,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rul
     """Fit on at most `sample` labelled rows of docs that are not held out, those with the least hashed ids. Null labels and ids count for nothing; repeated labels of one document are one, the majority (a tie: 1)."""
     one = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     taken = one.select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = texts(docs).join(taken.select("doc_id"), "doc_id", "left_semi")
+    # At most `sample` ids are broadcast, whatever the corpus, so no text is shuffled.
+    known = texts(docs).join(F.broadcast(taken.select("doc_id")), "doc_id", "left_semi")
     rows = described(known).join(taken, "doc_id").orderBy("doc_id", *STATS).limit(sample).select("y", *STATS).toPandas()
     return RuleEnsemble.fit(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
 

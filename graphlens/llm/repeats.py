@@ -17,7 +17,9 @@ from graphlens.llm.common import discard, materialize, mix, slices
 #: Rounds of naming. More rounds make longer symbols, which need more of a window around them to be sure.
 ROUNDS = 3
 #: Most words whose hashes a worker keeps; beyond that it starts anew.
-KEPT = 1_000_000
+KEPT = 200_000
+#: Bytes of text whose words are arrays at a time: these take some 40 times as much memory.
+SLICE = 2 << 20
 #: Bases of the polynomial hashes, odd so that they have inverses modulo 2^64; fixed values.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -164,7 +166,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in slices(batches):
+        for batch, found in slices(batches, most=SLICE):
             w, first = words_of(found)
             key, region, start, many = marks(w, first, window, rounds)
             doc = np.searchsorted(first, start, side="right") - 1
@@ -188,7 +190,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
     asked = seen.where("doc_id = d0").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("asked"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in slices(batches):
+        for batch, found in slices(batches, most=SLICE):
             w, first = words_of(found)
             rows = batch.column(3).to_pylist()
             begin = [f + x["s"] for f, asks in zip(first.tolist(), rows, strict=False) for x in asks]
