@@ -18,6 +18,17 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SLICE_BYTES = 4 << 20
 
 
+#: Rows and bytes of an Arrow batch to or from a Python worker: whole texts are long, and a batch is held on both sides at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends texts to Python workers in small batches."""
+    for key, n in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(n))
+    return df
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +46,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation of earlier steps. Returns the table and its path."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    bounded(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -52,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and whole text alone, the text never null: extra columns, whatever their names, stay outside."""
-    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return bounded(docs).select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

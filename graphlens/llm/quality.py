@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlens.llm.common import slices, texts
+from graphlens.llm.common import bounded, slices, texts
 
 #: Statistics of a text, in the order in which `statistics` gives them.
 STATS = (
@@ -66,7 +66,7 @@ def described(docs: DataFrame) -> DataFrame:
 def with_statistics(docs: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """use(docs with STATS beside their columns), then the columns of docs alone. Columns of docs are renamed meanwhile, so their names may be anything."""
     names = docs.columns
-    plain = docs.toDF(*(f"__{k}" for k in range(len(names))))
+    plain = bounded(docs).toDF(*(f"__{k}" for k in range(len(names))))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import discard, materialize, mix, slices
+from graphlens.llm.common import bounded, discard, materialize, mix, slices
 
 #: Rounds of naming. More rounds make longer symbols, which need more of a window around them to be sure.
 ROUNDS = 3
@@ -226,7 +226,7 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) ->
     Repeated rows are not "smaller" than each other, so they keep what no third row covers. Rows without doc_id neither lose words nor take
     any from others. Other columns of docs are not looked at. No row gives no row.
     """
-    plain = docs.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
+    plain = bounded(docs).select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
     spans = repeated_spans(plain, window, rounds)
     kind = plain.schema["doc_id"].dataType.simpleString()
 
@@ -251,7 +251,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     names = docs.columns
     cols = [f"__{k}" for k in range(len(names))]
     doc, text = cols[names.index("doc_id")], cols[names.index("text")]
-    plain = docs.toDF(*cols)
+    plain = bounded(docs).toDF(*cols)
     found = spans.select(F.col("doc_id").alias("span_doc"), F.col("crc").alias("span_crc"), "spans")
     both = plain.join(found.hint("shuffle_hash"), (F.col(doc) == F.col("span_doc")) & (F.crc32(F.coalesce(text, F.lit(""))) == F.col("span_crc")), "left").select(*cols, "spans")
 
