@@ -16,6 +16,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"), unit=192)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.lattice import round_trip
 
@@ -40,6 +46,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.packing import pack
 
@@ -65,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_token_files, op5_repeats, op6_token_counts, op8_packing, op9_simhash, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_media, op3_sentencepiece, op4_token_files, op5_repeats, op6_token_counts, op7_html_text, op8_packing, op9_simhash, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
