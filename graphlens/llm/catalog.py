@@ -22,6 +22,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"), unit=192)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlens.llm.vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlens.llm.lattice import round_trip
 
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op3_sentencepiece, op4_token_files, op5_repeats, op6_token_counts, op7_html_text, op8_packing, op9_simhash, op10_quality, pipeline)}
+    return {f.__name__: f for f in (op1_media, op2_nearest, op3_sentencepiece, op4_token_files, op5_repeats, op6_token_counts, op7_html_text, op8_packing, op9_simhash, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
