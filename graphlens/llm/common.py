@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SLICE_BYTES = 4 << 20
 
 
+#: Keys of a generation of a worker's memo.
+KEPT = 300_000
 #: Rows and bytes of an Arrow batch to or from a Python worker: whole texts are long, and a batch is held on both sides at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -81,6 +83,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+class Memo(dict):
+    """What make(key) gives, kept in a worker for so many keys and the generation before them."""
+
+    def __init__(self, make: Callable, kept: int = KEPT):
+        self.make, self.kept, self.before = make, kept, {}
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) > self.kept:
+            self.before = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        v = self[key] = self.before[key] if key in self.before else self.make(key)
+        return v
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers."""
     with np.errstate(over="ignore"):

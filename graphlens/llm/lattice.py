@@ -8,6 +8,7 @@ its right boundary that a path of weight 0 reaches (all other entries are minus
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import slices, texts
+from graphlens.llm.common import Memo, slices, texts
 from graphlens.llm.pieces import BLANK, Vocabulary, vocabulary
 
 #: Characters of a chunk. Documents of less than two chunks are encoded in one piece.
@@ -28,6 +29,8 @@ KEPT, KEPT_PAIRS = 200_000, 300_000
 #: Chunks whose matrices are multiplied to one before the scan goes over the products.
 BLOCK = 64
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
 #: A state: how far its piece reaches beyond the boundary, and the piece's length. (0, 0) is a text's begin.
 State = tuple[int, int]
 #: The entries of a transfer matrix that aren't minus infinity.
@@ -83,9 +86,8 @@ class Lattice:
         self.pieces = {x for x in self.rank if self.joined(x)}
         self.tails = {x[k:] for x in self.pieces for k in range(len(x))}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.rests: dict[str, bytes] = {}
+        self.heads = {x[:k] for x in self.pieces for k in range(1, len(x))}
+        self.units, self.rests = Memo(self._unit, KEPT), Memo(self._ids, KEPT)
         self.inside = {x[k : k + 2] for x in self.pieces for k in range(len(x) - 1)}
 
     def joined(self, x: str) -> bool:
@@ -164,34 +166,55 @@ class Lattice:
             p -= len(at[p])
         return out[::-1]
 
-    def unit(self, x: str) -> bytes:
+    def path(self, s: str) -> list[str]:
+        """The pieces of s, which begins and ends where no piece can cross: the path of weight 0, searched depth first with longer pieces first. As at most one such path leads to a place, a place without a way on needs no second visit."""
+        heads, pieces, rank, known, dead = self.heads, self.pieces, self.rank, self.pairs, set()
+        n, todo = len(s), [(0, "", self._from(s, 0, heads, pieces, rank))]
+        while True:
+            p, last, found = todo[-1]
+            while found:
+                x = found.pop()
+                q = p + len(x)
+                if q not in dead and (not p or (ok := known.get((last, x))) or ok is None and self.neighbours(last, x)):
+                    break
+            else:
+                dead.add(p)
+                todo.pop()
+                continue
+            if q == n:
+                return [y for _, y, _ in todo[1:]] + [x]
+            todo.append((q, x, self._from(s, q, heads, pieces, rank)))
+
+    @staticmethod
+    def _from(s: str, p: int, heads: set[str], pieces: set[str], rank: dict[str, int]) -> list[str]:
+        """Pieces of s that begin at p, the longest last."""
+        out = []
+        for j in range(p + 1, len(s) + 1):
+            x = s[p:j]
+            if x in pieces:
+                out.append(x)
+            elif x not in heads:
+                break
+        return out if out or s[p] in rank else [s[p]]
+
+    def _unit(self, x: str) -> bytes:
         """Ids of a unit given without its first blank, as little-endian uint32. Behind its leading letters it is cut where no piece holds both neighbours."""
-        got = self.units.get(x)
-        if got is None:
-            got = self.before.get(x)
-            if got is None:
-                cut = next((k for k in range(1, len(x)) if not x[k].isalpha()), 0)
-                if cut and x[cut - 1 : cut + 1] not in self.inside:
-                    rest = self.rests.get(x[cut:])
-                    if rest is None:
-                        rest = self.rests[x[cut:]] = self._path(x[cut:])
-                    got = self.unit(x[:cut]) + rest
-                else:
-                    got = self._path(BLANK + x)
-            self.units[x] = got
-        return got
-
-    def _path(self, s: str) -> bytes:
-        return array("I", self.ids(self.back(self.reach(s, 0, "", len(s)), len(s)))).tobytes()
+        letters = _LETTERS.match(x)
+        cut = letters.end() if letters else 0
+        if 0 < cut < len(x) and x[cut - 1 : cut + 1] not in self.inside:
+            return self.units[x[:cut]] + self.rests[x[cut:]]
+        return self._ids(BLANK + x)
+
+    def _ids(self, s: str) -> bytes:
+        return array("I", self.ids(self.path(s))).tobytes()
 
     def turn(self) -> None:
-        if len(self.units) > KEPT:
-            self.before, self.units = self.units, {}
-            self.rests.clear()
+        self.units.turn()
+        self.rests.turn()
 
     def text(self, x: str) -> bytes:
         """Ids of a whole text in one piece."""
-        return b"".join(map(self.unit, self.vocab.units(x)))
+        return b"".join(map(self.units.__getitem__, self.vocab.units(x)))
 
     def _breaks(self, s: str, lo: int, hi: int) -> tuple[int, int]:
         """The first and last place in [lo, hi] where a blank follows another character, which no piece crosses; -1 if there is none."""
@@ -249,7 +272,7 @@ class Lattice:
         units = self.vocab.units(mid[1:].replace(BLANK, " ")) if mid else []
         if mid and len(mid) == 1:
             units = [""]
-        return np.array(self.ids(head), "<u4").tobytes() + b"".join(map(self.unit, units)) + np.array(self.ids(tail), "<u4").tobytes()
+        return np.array(self.ids(head), "<u4").tobytes() + b"".join(map(self.units.__getitem__, units)) + np.array(self.ids(tail), "<u4").tobytes()
 
 
 @lru_cache(maxsize=4)

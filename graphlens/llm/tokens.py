@@ -7,7 +7,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import discard, materialize, scratch, slices, texts
+from graphlens.llm.common import Memo, scratch, slices, texts
 
-#: A worker keeps the ids of so many pieces of text, and those of the generation before while it gathers as many anew.
-KEPT = 300_000
 #: Characters that some regular expression engines take for white space and Python doesn't. Fixed values.
 ALSO_SPACE = "᠎​⁠﻿"
 
@@ -27,22 +25,6 @@ ALSO_SPACE = "᠎​⁠﻿"
 LETTERS = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([\x00-\x7f].*)?", re.DOTALL).fullmatch
 
 
-class Memo(dict):
-    """What make(key) gives, kept for the last KEPT keys and the generation before them."""
-
-    def __init__(self, make: Callable):
-        self.make, self.before = make, {}
-
-    def turn(self) -> None:
-        if len(self) > KEPT:
-            self.before = dict(self)
-            self.clear()
-
-    def __missing__(self, key):
-        v = self[key] = self.before[key] if key in self.before else self.make(key)
-        return v
-
-
 class Ids:
     """encode(texts) gives each text's ids as little-endian uint32 bytes, as the library does for the whole text without added special tokens.
 

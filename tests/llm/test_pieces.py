@@ -36,6 +36,7 @@ def test_generations_of_memos(library, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 5)
     monkeypatch.setattr(lattice, "KEPT", 5)
     counts, own = pieces.Counts(PATH), lattice.Lattice(pieces.vocabulary(PATH))
+    assert own.units.kept == 5
     for x in make(60):
         own.turn()
         want = library.encode(x)
@@ -58,6 +59,8 @@ def test_chunks_are_the_whole(library):
             continue
         want = np.array(library.encode(x), "<u4").tobytes()
         assert own.text(x) == want
+        s = pieces.BLANK + x.replace(" ", pieces.BLANK)
+        assert own.path(s) == own.back(own.reach(s, 0, "", len(s)), len(s))
         for size in (17, 40):
             rows = lattice.chunks(x, size, own.longest)
             ms = [own.transfer(s, lo, hi, b, e) for _, _, s, lo, hi, b, e in rows]
