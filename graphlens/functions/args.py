@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names that are no values, and parts of names that hint at an endpoint. Fixed values.
 STOPWORDS = ("f", "rb", "br", "r", "b", "u", "True", "False", "None", "null", "undefined", "str", "int", "format", "join", "encode", "decode")
@@ -41,13 +42,13 @@ def split_arguments(text: str | None) -> list[str]:
     return [*parts, last] if last or parts else []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_top_level(text: pd.Series) -> pd.Series:
     """split_arguments as a column; a bracket stack is beyond regular expressions."""
     return text.map(split_arguments)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_argument(text: pd.Series) -> pd.Series:
     """The first part, '' if there is none."""
     return text.map(lambda x: next(iter(split_arguments(x)), ""))

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keys whose value is a host even without a dot. Fixed values.
 HOST_KEYS = "host hostname server endpoint url uri addr address domain upstream target backend broker bootstrap_servers".split()
@@ -114,7 +115,7 @@ def authority(text: str) -> str | None:
     return rest[:cut] or None
 
 
-@F.pandas_udf("host string, reason string")
+@F.pandas_udf(T.StructType([T.StructField("host", T.StringType()), T.StructField("reason", T.StringType())]))
 def static_host(argument: pd.Series, body: pd.Series) -> pd.DataFrame:
     """The host of a literal if no interpolation touches it, else why there is none. Null bodies have neither."""
     rows = []

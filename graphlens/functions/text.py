@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folders whose files are others' code; extensions and names of configuration and of languages. Fixed values.
 SKIP_DIRS = (".git", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", "venv", ".mypy_cache", ".next", "coverage")
@@ -116,6 +117,6 @@ def json_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_json(text: pd.Series) -> pd.Series:
     return text.map(json_object)
