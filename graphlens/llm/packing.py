@@ -94,9 +94,74 @@ def best_fit(counts: dict[int, int], room: int) -> list[Run]:
     return [run for runs in open_ for run in runs]
 
 
+class _Sums:
+    """Sums of one, two and three of the lengths that are left, as bits of integers; made anew only when a length has gone."""
+
+    def __init__(self, counts: Counter, room: int):
+        self.counts, self.mask, self.stale = counts, (2 << room) - 1, True
+
+    def refresh(self) -> None:
+        if self.stale:
+            self.lengths = sorted((a for a, n in self.counts.items() if n > 0), reverse=True)
+            self.one = self.two = self.three = 0
+            for a in self.lengths:
+                self.one |= 1 << a
+            for a in self.lengths:
+                self.two |= self.one << a & self.mask
+            for a in self.lengths:
+                self.three |= self.two << a & self.mask
+            self.stale = False
+
+    def best(self, space: int) -> tuple[int, ...] | None:
+        """Up to three lengths that fill a space best, the longest possible first; None if nothing fits."""
+        self.refresh()
+        below = (2 << space) - 1
+        while reach := (self.one | self.two | self.three) & below:
+            total = reach.bit_length() - 1
+            if self.one >> total & 1:
+                return (total,)
+            for a in self.lengths:
+                rest = total - a
+                if rest > 0 and self.one >> rest & 1 and (a != rest or self.counts[a] > 1):
+                    return a, rest
+            for a in self.lengths:
+                if total > a and self.two >> (total - a) & 1:
+                    for b in self.lengths:
+                        rest = total - a - b
+                        if rest > 0 and self.one >> rest & 1 and not Counter((a, b, rest)) - self.counts:
+                            return a, b, rest
+            below = (1 << total) - 1  # only by more copies of a length than there are
+        return None
+
+
+def best_sets(counts: dict[int, int], room: int) -> list[Run]:
+    """Best fit of sets: a sequence begins with the longest length that is left and takes, again and again, the up to three lengths that leave the least space. A content is used as often as the counts allow, so there are few contents."""
+    left = Counter({a: n for a, n in counts.items() if n > 0})
+    sums, out = _Sums(left, room), []
+    while True:
+        sums.refresh()
+        if not sums.lengths:
+            return out
+        held = [sums.lengths[0]]
+        left[held[0]] -= 1
+        sums.stale = sums.stale or not left[held[0]]
+        while (more := sums.best(room - sum(held))) is not None:
+            held += more
+            for a in more:
+                left[a] -= 1
+                sums.stale = sums.stale or not left[a]
+        need = Counter(held)
+        again = min(left[a] // k for a, k in need.items())
+        for a, k in need.items():
+            left[a] -= again * k
+            sums.stale = sums.stale or not left[a]
+        out.append((again + 1, tuple(held)))
+
+
 def pack_counts(counts: dict[int, int], room: int) -> list[Run]:
+    """Dominated sets are fixed; the rest goes by best fit of sets or of single lengths, whichever needs fewer sequences."""
     fixed, left = reduce_dominated(counts, room)
-    return fixed + best_fit(left, room)
+    return fixed + min((best_sets(left, room), best_fit(left, room)), key=lambda runs: sum(n for n, _ in runs))
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, room: int) -> DataFrame:
