@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 STOPWORDS = ("f", "rb", "br", "r", "b", "u", "True", "False", "None", "null", "undefined", "str", "int", "format", "join", "encode", "decode")
 HINTS = ("url", "host", "endpoint", "service", "base", "addr", "uri", "target", "api")
 
+#: Patterns of names and whole literals. Fixed values.
 _NAME = r"[A-Za-z_$][\w$]*"
 _WHOLE_STRING = r"""^[fFrRbBuU]{0,2}(['"])((?s:\\.|(?!\1)[^\\])*)\1$"""
 _WHOLE_TEMPLATE = r"(?s)^`([^`]*)`$"

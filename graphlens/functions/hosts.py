@@ -15,6 +15,7 @@ HOST_KEYS = "host hostname server endpoint url uri addr address domain upstream
 #: What stands for an interpolated part of a literal.
 HOLE = "\0"
 
+#: Patterns of URLs, host names, host keys, destinations and environment lookups. Fixed values.
 _URL = r"\b[A-Za-z][A-Za-z0-9+.\-]*://[^\s\"'`,;<>()\[\]{}]+"
 _DOTTED = r"^(?=.{1,253}$)(?:[A-Za-z0-9_](?:[A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?\.)+[A-Za-z][A-Za-z0-9-]{0,61}$"
 _IPV4 = r"^(?:\d{1,3}\.){3}\d{1,3}$"

@@ -164,14 +164,16 @@ def line_rows(file: str, text: str) -> list[Row]:
             name, kind = m[1], "class"
             add("definition", f"{file}::{name}", name, "class", n)
         elif (m := next((m for p in FUNCTION_LINES if (m := re.match(p, line))), None)) and m[1] not in KEYWORDS:
-            owner = next((x for _, k, x in reversed(scopes) if k == "class"), None)
-            name, kind = m[1], "method" if owner else "function"
+            # A Go method names its type before its own name.
+            receiver = re.match(r"^\s*func\s+\(\s*\w*\s*\*?\s*([A-Za-z_]\w*)", line)
+            owner = receiver[1] if receiver else next((x for _, k, x in reversed(scopes) if k == "class"), None)
+            name, kind = f"{owner}.{m[1]}" if receiver else m[1], "method" if owner else "function"
             add("definition", f"{file}::{owner}.{m[1]}" if owner else f"{file}::{m[1]}", m[1], kind, n)
         else:
             own = [(k, x) for _, k, x in scopes]
             cls = next((x for k, x in reversed(own) if k == "class"), None)
             fun = next((x for k, x in reversed(own) if k != "class"), None)
-            caller = f"{file}::{cls}.{fun}" if cls and fun else f"{file}::{fun or '<module>'}"
+            caller = f"{file}::{cls}.{fun}" if cls and fun and "." not in fun else f"{file}::{fun or '<module>'}"
             for c in _CALL.finditer(line):
                 if c[1] not in KEYWORDS:
                     add("call", caller, c[1], c[2].strip()[:MAX_ARG], n)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import time
 import traceback
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from graphlens.operators.gaps import write_atomic
 
+#: The stage that runs here, for log records.
+STAGE: ContextVar[str | None] = ContextVar("stage", default=None)
 STATES = ("pending", "running", "ok", "failed", "skipped")
 
 
@@ -41,13 +45,15 @@ class Job:
     @contextmanager
     def stage(self, name: str) -> Iterator[None]:
         """Time a stage and note how it ended; an error goes on."""
-        began = time.time()
+        began, token = time.time(), STAGE.set(name)
         self.set(name, "running")
         try:
             yield
         except Exception as e:
             self.set(name, "failed", seconds=round(time.time() - began, 3), error=f"{type(e).__name__}: {e}"[:300])
             raise
+        finally:
+            STAGE.reset(token)
         self.set(name, "ok", seconds=round(time.time() - began, 3))
 
     def slowest(self, n: int = 3) -> list[tuple[str, float]]:
@@ -77,3 +83,15 @@ def run_branches(job: Job, prepare: Callable[[], object], branches: dict[str, Ca
     bad = [name for name, _, e in done if e]
     status = "ok" if not bad else "failed" if len(bad) == len(done) else "partial"
     return {"status": status, "error": "; ".join(bad) or None, "results": {name: value for name, value, e in done if not e}}
+
+
+class JsonLines(logging.Formatter):
+    """Log records as JSON lines with the run and stage they belong to; long fields are cut."""
+
+    def __init__(self, run_id: str, most: int = 120):
+        super().__init__()
+        self.run_id, self.most = run_id, most
+
+    def format(self, record: logging.LogRecord) -> str:
+        more = {k: (v if isinstance(v, (int, float, bool)) or v is None else str(v)[: self.most]) for k, v in getattr(record, "fields", {}).items()}
+        return json.dumps({"ts": datetime.fromtimestamp(record.created, UTC).isoformat(timespec="milliseconds"), "level": record.levelname.lower(), "run": self.run_id, "stage": STAGE.get(), "message": record.getMessage()} | more, sort_keys=True)

@@ -1,12 +1,14 @@
 """The whole cascade over a small repository of several languages and configuration formats."""
 
 import json
+import logging
 
 import pytest
 
-from graphlens.operators import chunks, configmatch, gaps, infer, retrieve, symbols
+from graphlens.operators import checks, chunks, configmatch, extract, gaps, infer, report, resolve, retrieve, symbols, trace
 from graphlens.plans import cascade, job
-from graphlens.sources import configs, sinks
+from graphlens.schema import FLOW_RESULTS
+from graphlens.sources import clone, configs, sinks
 
 REPO = {
     "app/__init__.py": "from app.client import fetch_user\n",
@@ -191,3 +193,77 @@ def test_job_matrix(tmp_path, bad, want):
     out = job.run_branches(j, lambda: 7, {n: branch(n) for n in "ab"})
     assert out["status"] == want and json.loads((tmp_path / "status.json").read_text())["stages"]["prepare"]["state"] == "ok" and len(j.slowest()) == 3
     assert job.run_branches(job.Job("k"), lambda: 1 / 0, {"a": branch("a")})["status"] == "failed"
+
+
+def test_report_and_checks(spark, run):
+    counts = {r.key: r.n for r in report.stage_counters(run.edges).collect()}
+    assert counts["method.literal"] >= 1 and counts["method.const_prop"] >= 1 and counts["resolve.external_candidate"] == run.edges.where("status = 'external_candidate'").count()
+    made = report.quality_report(run.edges, run.definitions, run.gaps)
+    assert abs(sum(r.percent for r in made["statuses"].collect()) - 100) < 0.1 and made["unresolved_roots"].count() <= 10 and made["possible_misses"].count() >= 0
+    total = report.match_counters(run.matches).where("kind is null and confidence is null").first()
+    assert total.n == run.matches.count()
+    assert report.workspaces({"a": run.edges, "b": run.edges}).count() == 2
+    row = checks.identifiers_in_place(run.calls, run.files).first()
+    assert row.checked > 5 and row.missed == 0 and row.ok
+
+
+def test_an_index_decides_in_its_files(spark):
+    calls = resolve.with_call_id(spark.createDataFrame([("a.py::f", "g", 3, "", "a.py", 3, 4, 0), ("a.py::f", "h", 4, "", "a.py", 4, 4, 1), ("b.py::<module>", "g", 1, "", "b.py", 1, 0, 0)], "caller string, callee_expr string, line int, arg_text string, file string, callee_line int, callee_col int, ord int"))
+    defs = spark.createDataFrame([("c.py::g", "g", "function", "c.py", 1, 2, 1, 4, 0), ("a.py::h", "h", "function", "a.py", 9, 9, 9, 4, 0)], "qualified_name string, name string, kind string, file string, start_line int, end_line int, name_line int, name_col int, ord int")
+    occ = spark.createDataFrame([("c.py", "s", 1, [0, 4, 5], [0, 0, 2, 0]), ("a.py", "s", 0, [2, 4, 5], None), ("d.py", "t", 1, [0, 0, 1], None), ("a.py", "t", 0, [3, 4, 5], None)], "file string, symbol string, roles int, range array<int>, enclosing_range array<int>")
+    refs = symbols.references(occ)
+    got = {r.call_id: r for r in resolve.resolve(calls, defs, refs, occ.select("file"), tail_names=True).collect()}
+    assert (got["a.py#0"].resolved_via, got["a.py#0"].resolved_targets) == ("scip", ["c.py::g"])
+    assert (got["a.py#1"].status, got["a.py#1"].unmapped_def_files) == ("internal_unmapped", ["d.py"])
+    assert (got["b.py#0"].resolved_via, got["b.py#0"].resolved_targets) == ("tail_name", ["c.py::g"])
+    spans = symbols.spans_of(occ, spark.createDataFrame([("c.py", "s", "Function", "g")], "file string, symbol string, kind string, display_name string"))
+    assert [tuple(r) for r in checks.definitions_beside_spans(defs, spans).collect()] == [("c.py", 1, 0, 0)]
+    assert [tuple(r) for r in checks.near_paths(spark.createDataFrame([("/tmp/x/a.py", 3, "v")], "file string, line int, v string"), calls).select("file", "v").collect()] == [("a.py", "v")]
+    totals = report.index_totals(spark.createDataFrame([("a.py", "python", False), ("z.go", "go", False)], "path string, language string, is_config boolean"), occ, refs).first()
+    assert (totals.files_indexed, totals.files_missing, totals.languages, totals.languages_missing, totals.references) == (1, 1, ["python"], ["go"], 2)
+
+
+def test_flow_results(spark, run):
+    node = lambda code: {"code": code, "file": "app/client.py", "line": 1, "method": "m"}
+    flow = lambda kind, code, cond=(): {"kind": kind, "source": node(code), "steps": [], "conditions": [node(c) for c in cond]}
+    cases = [([flow("literal", '"https://a.b.c/x"')], ("a.b.c", "literal")), ([flow("literal", '"a.b.c"'), flow("literal", '"d.e.f"')], (None, "literal")), ([flow("env", "os.getenv('KEY')")], (None, "env")), ([flow("parameter", "host")], (None, "parameter")), ([], (None, None))]
+    for flows, want in cases:
+        results = spark.createDataFrame([("app/client.py", 25, True, True, flows)], FLOW_RESULTS)
+        r = trace.flows(run.edges_constants, results).where("file = 'app/client.py' and line = 25").first()
+        assert (r.host, r.flow_source_kind) == want and r.needs_review == (want[0] is None)
+
+
+def test_go_methods_belong_to_their_type():
+    rows = extract.line_rows("a.go", 'type Store struct {\n}\nfunc (s *Store) Save(x int) {\n  http.Get("u")\n}\n')
+    assert [(r[0], r[3]) for r in rows] == [("definition", "a.go::Store"), ("definition", "a.go::Store.Save"), ("call", "a.go::Store.Save")]
+
+
+def test_clone(tmp_path):
+    def git(args):
+        if args[0] == "clone":
+            (tmp_path / "w" / args[-1].rsplit("/", 1)[-1]).mkdir(parents=True)
+            (tmp_path / "w" / args[-1].rsplit("/", 1)[-1] / "x").write_text("1234")
+        return "abc"
+
+    w = str(tmp_path / "w")
+    handle = clone.clone("a/b", w, "job1", git)
+    assert clone.Handle.load(f"{handle.root}.json") == handle and handle.url == "https://github.com/a/b.git"
+    with pytest.raises(ValueError):
+        clone.clone("a/b", w, "job2", git, most=3)
+    assert not (tmp_path / "w" / "job2").exists()
+    for bad in ("../x", "", "a/b"):
+        with pytest.raises(ValueError):
+            clone.clone("a/b", w, bad, git)
+    with pytest.raises(ValueError):
+        clone.remove(clone.Handle("/etc", "u", "c", "b", "j"), w)
+    clone.remove(handle, w)
+    assert not (tmp_path / "w" / "job1").exists()
+
+
+def test_log_lines():
+    j = job.Job("x")
+    record = logging.LogRecord("n", logging.INFO, "f", 1, "did %d", (3,), None)
+    record.fields = {"path": "p" * 500, "n": 2}
+    with j.stage("s"):
+        got = json.loads(job.JsonLines("r1").format(record))
+    assert (got["stage"], got["message"], len(got["path"]), got["n"]) == ("s", "did 3", 120, 2) and job.STAGE.get() is None
