@@ -17,13 +17,15 @@ from graphlens.llm.common import bounded, slices, texts
 
 #: Statistics of a text, in the order in which `statistics` gives them.
 STATS = (
-    "log_words", "word_length", "upper", "symbols", "symbol_words", "digits", "bars", "marks", "stops", "different", "echoes", "top_word",
+    "word_length", "upper", "symbols", "symbol_words", "digits", "bars", "marks", "stops", "different", "echoes", "top_word",
     "line_words", "same_lines", "different_bigrams", "spaces",
 )
+#: Words among which different ones are counted, so that a text's length tells nothing about its quality.
+SPAN = 128
 #: Most labelled rows that a fit takes, by the hash of their ids; the fit's only bound, so that its rows fit on the driver.
 SAMPLE = 20_000
 #: Shape of the forest that gives the rules, and the lasso's penalty for each row.
-TREES, DEPTH, BINS, RATE, PENALTY = 50, 3, 32, 0.3, 3e-4
+TREES, DEPTH, BINS, RATE, PENALTY = 50, 3, 32, 0.3, 3e-5
 
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -43,11 +45,13 @@ def statistics(text: bytes) -> tuple[float, ...]:
     solid = max(1, size - held["spaces"])
     counts = Counter(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    pairs = set(zip(words, words[1:], strict=False))
+    spans = [words[i : i + SPAN] for i in range(0, n, SPAN)]
+    different = sum(len(set(x)) for x in spans)
+    pairs = sum(len(set(zip(x, x[1:], strict=False))) for x in spans)
     return (
-        math.log1p(n), solid / n, held["upper"] / solid, held["symbols"] / solid, sum(w[-1] in _WORD_END for w in words) / n, held["digits"] / solid,
-        text.count(b"|") / n, held["marks"] / n, held["stops"] / n, len(counts) / n, sum(map(eq, words, words[1:])) / n, max(counts.values()) / n,
-        math.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), len(pairs) / max(1, n - 1), held["spaces"] / size,
+        solid / n, held["upper"] / solid, held["symbols"] / solid, sum(w[-1] in _WORD_END for w in words) / n, held["digits"] / solid,
+        text.count(b"|") / n, held["marks"] / n, held["stops"] / n, different / n, sum(map(eq, words, words[1:])) / n, max(counts.values()) / n,
+        math.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), pairs / max(1, n - len(spans)), held["spaces"] / size,
     )
 
 
