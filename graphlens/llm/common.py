@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +37,9 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphlens-")
+        folder = tempfile.mkdtemp(prefix="graphlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

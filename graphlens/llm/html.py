@@ -6,6 +6,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ BLOCK = frozenset(
 _P_ENDS = BLOCK - frozenset("body br caption dd dt frameset head html legend li optgroup option summary tbody td tfoot th thead tr".split())
 CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu", "dir"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "tbody": ("thead tbody tfoot tr td th", frozenset(("table",))), "tfoot": ("thead tbody tfoot tr td th", frozenset(("table",))), "option": ("option", frozenset(("select",)))}
 CLOSES = {k: (frozenset(a.split()), stop) for k, (a, stop) in CLOSES.items()}
+_TEXT_ONLY = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Words in class, id or role that name parts around an article. A class counts by its words, split at case and at what is no letter.
 AROUND = frozenset(
     "ad ads advert advertisement advertising adbox adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar sidenav widget widgets menu menubar nav navbar navigation navigationlandmark pagination pager toolbar topbar masthead footer foot header skip hidden outbrain taboola tags taglist contentinfo complementary search searchbox copyright legal disclaimer".split()
@@ -67,6 +69,7 @@ def parse(page: str) -> Node:
     """The tree of a page, ready for any markup: unclosed and stray tags are handled as browsers do for the common cases, an unfinished tag at the end is dropped. Parts around the article and elements without text of the page are left out with all they hold."""
     root = node = Node("html", None)
     at, n = 0, len(page)
+    low, last = "", {}  # the page in lower case, and the places of the last end tags
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -89,8 +92,11 @@ def parse(page: str) -> Node:
                 node.items.append(Node("br", node))
             continue
         if name in RAW or _around(name, attrs):
-            if not attrs.endswith("/") or name not in VOID:
-                at = _after(page, at, name) if name not in VOID else at
+            if name not in VOID:
+                if name not in last:
+                    low = low or page.lower()
+                    last[name] = low.rfind(f"</{name}")
+                at = _after(page, at, name) if at <= last[name] else at if name not in _TEXT_ONLY and name != "footer" else n
             node.items.append(Node("br", node) if name in BLOCK else "")
             continue
         if name in CLOSES:
@@ -114,16 +120,21 @@ def parse(page: str) -> Node:
     return root
 
 
+@lru_cache(maxsize=256)
+def _ends(name: str, nested: bool) -> re.Pattern:
+    """Tags of one name, and comments where tags in comments don't count."""
+    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" + ("|<!--.*?(?:-->|\\Z)" if nested else ""), re.IGNORECASE | re.DOTALL)
+
+
 def _after(page: str, at: int, name: str) -> int:
     """The place behind the end tag of the element that began before at. Elements of its name inside count; without an end tag a raw element or a footer takes the rest, another nothing."""
-    nested = name not in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
-    deep = 1
-    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" + ("|<!--.*?(?:-->|\\Z)" if nested else ""), page[at:] if at else page, re.IGNORECASE | re.DOTALL):
+    nested, deep = name not in _TEXT_ONLY, 1
+    for m in _ends(name, nested).finditer(page, at):
         if m[1] is None:
             continue
         deep += -1 if m[1] else nested
         if not deep:
-            return at + m.end()
+            return m.end()
     return at if nested and name != "footer" else len(page)
 
 
