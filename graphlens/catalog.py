@@ -249,7 +249,7 @@ def language_set_ops(spark, d):
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS line_count, sha256(text) AS sha, length(text) AS n FROM documents")
 def file_stats(spark, d):
     c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", text.line_count(c).alias("line_count"), F.sha2(c, 256).alias("sha"), F.length(c).alias("n"))
+    return t(spark, d, "documents").select("doc_id", text.line_count(c).cast("long").alias("line_count"), F.sha2(c, 256).alias("sha"), F.length(c).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, length(text) >= 50000 AND length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) > 300 AS minified, length(text) > 400000 AS too_large FROM documents")
@@ -392,7 +392,7 @@ def dns_alias_expansion(spark, d):
 @query("SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_]+'), lambda x: length(x) > 12))) AS roots FROM documents")
 def long_identifiers(spark, d):
     found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z_]+)"), 1), lambda x: F.length(x) > 12))
-    return t(spark, d, "documents").select("doc_id", F.size(found).alias("roots"))
+    return t(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("roots"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE substr(text, 1, 97) || CASE WHEN length(text) > 97 THEN CASE WHEN length(text) > 100 THEN '...' ELSE substr(text, 98) END ELSE '' END END AS label FROM conversations")
