@@ -15,9 +15,12 @@ def distinct_nodes(nodes: DataFrame) -> DataFrame:
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One row for each (src, dst, kind, label), the first by ord, with call_count: how many there were."""
+    keys = ["src", "dst", "kind", "label"]
+    rest = [c for c in edges.columns if c not in keys]
     keyed = edges.withColumn("label", F.coalesce("label", F.lit("")))
-    counts = keyed.groupBy("src", "dst", "kind", "label").agg(F.count("*").alias("call_count"))
-    return first_wins(keyed, ["src", "dst", "kind", "label"], ["ord"]).join(counts, ["src", "dst", "kind", "label"])
+    # One aggregate gives both, in one shuffle with partial results before it.
+    made = keyed.groupBy(*keys).agg(F.min(F.struct("ord", *[c for c in rest if c != "ord"])).alias("_first"), F.count("*").alias("call_count"))
+    return made.select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest), "call_count")
 
 
 def degree_by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
