@@ -45,7 +45,9 @@ def assemble(files: DataFrame, definitions: DataFrame, imports: DataFrame, edges
     service = F.concat(F.lit("ext:"), F.coalesce("host", F.concat(F.lit("unresolved:"), "external_pattern")))
     services = outside.select(service.alias("id"), F.lit("external").alias("type"), F.coalesce("host", "external_pattern").alias("label"), F.lit(3).alias("ord")).distinct()
     nodes = _wide(file_nodes(files)).unionByName(_wide(defs)).unionByName(_wide(modules)).unionByName(_wide(services))
-    row = lambda df, src, dst, kind, label, line, note, ord_: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), label.alias("label"), line.alias("line"), note.alias("detail"), F.struct(F.lit(ord_).alias("stage"), *[F.col(c) for c in ("file", "line", "ord") if c in df.columns]).cast("string").alias("ord"))
+    number = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 10, "0")
+    place = lambda df, k: F.concat_ws("/", F.lit(str(k)), *[F.col(c) if c == "file" else number(c) for c in ("file", "line", "ord") if c in df.columns])
+    row = lambda df, src, dst, kind, label, line, note, ord_: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), label.alias("label"), line.alias("line"), note.alias("detail"), place(df, ord_).alias("ord"))
     blank, none = F.lit(""), F.lit(None).cast("int")
     of = lambda p, c: F.concat(F.lit(p), F.col(c))
     contains = row(definitions, of("file:", "file"), of("def:", "qualified_name"), "contains", blank, F.col("start_line"), blank, 0)
