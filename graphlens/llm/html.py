@@ -234,7 +234,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in slices(batches, "html"):
-            made = [main_text(x.decode()) for x in found]
+            made = [main_text(x.decode(errors="replace")) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array([len(x) for x in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     plain = bounded(pages).select(F.col("`page_id`").alias("page_id"), F.col("`url`").alias("url"), F.coalesce(F.col("`html`"), F.lit("")).alias("html"))

@@ -308,7 +308,7 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
         for batch, found in slices(batches):
             own = lattice(path)
             own.turn()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.text(x.decode()) for x in found], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.text(x.decode(errors="replace")) for x in found], pa.binary())], names=["doc_id", "ids"])
 
     once = plain.where(giant).groupBy("doc_id", "text").count().withColumn("crc", F.crc32("text"))
 
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
         names = ["doc_id", "crc", "copies", "k", "n", "s", "lo", "hi", "begin", "end"]
         for batch, found in slices(batches):
             for i, x in enumerate(found):
-                rows = chunks(x.decode(), size, lattice(path).longest)
+                rows = chunks(x.decode(errors="replace"), size, lattice(path).longest)
                 for at in range(0, len(rows), 64):
                     cols = list(zip(*rows[at : at + 64], strict=True))
                     same = [batch.column(c).take(pa.array([i] * len(cols[0]))) for c in (0, 3, 2)]

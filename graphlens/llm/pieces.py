@@ -190,7 +190,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in slices(batches):
-            n = np.array(_counts(path).of([x.decode() for x in found]), np.int64)
+            n = np.array(_counts(path).of([x.decode(errors="replace") for x in found]), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     plain = texts(docs)

@@ -240,7 +240,7 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) ->
                 for g in reversed(gone or ()):
                     del own[g["s"] : g["e"]]
                 kept.append(b" ".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     both = plain.join(spans.hint("shuffle_hash"), ["doc_id", "crc"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
@@ -257,15 +257,15 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts_ in slices(batches, text):
-            kept = batch.column(names.index("text")).to_pylist()
+            kept = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
             for k, gone in enumerate(batch.column(len(names)).to_pylist()):
                 if gone:
                     own = texts_[k].split()
                     for g in reversed(gone):
                         del own[g["s"] : g["e"]]
-                    kept[k] = b" ".join(own).decode()
+                    kept[k] = b" ".join(own)
             out = list(batch.columns[: len(names)])
-            out[names.index("text")] = pa.array(kept, batch.schema.field(text).type)
+            out[names.index("text")] = pa.array(kept, pa.binary()).cast(batch.schema.field(text).type, safe=False)
             yield pa.RecordBatch.from_arrays(out, names=cols)
 
     cut = both.mapInArrow(run, plain.schema).toDF(*names)

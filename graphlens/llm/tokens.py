@@ -91,7 +91,7 @@ def ids_of(path: str) -> Ids:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch, found in slices(batches):
-        yield batch, ids_of(path).encode([x.decode() for x in found])
+        yield batch, ids_of(path).encode([x.decode(errors="replace") for x in found])
 
 
 def crc(ids: bytes) -> int:
