@@ -51,3 +51,11 @@ def upsert_vectors(spark: SparkSession, path: str, run_id: str, rows: DataFrame)
     fs.delete(fs_path(at), True)
     fs.rename(fs_path(next_), fs_path(at))
     return spark.read.parquet(at)
+
+
+def reference_lines(references: DataFrame) -> DataFrame:
+    """(value): JSON lines of an index's references, {"at": "file:line:col", "targets": [...]}, targets in order; write them with .write.text."""
+    at = F.concat_ws(":", "file", F.col("line").cast("string"), F.col("col").cast("string"))
+    target = F.concat_ws(":", "def_file", F.col("def_line").cast("string"), F.col("def_col").cast("string"))
+    made = references.groupBy(at.alias("at")).agg(F.array_sort(F.collect_set(target)).alias("targets"))
+    return made.select(F.to_json(F.struct("at", "targets")).alias("value"))

@@ -216,6 +216,7 @@ def test_an_index_decides_in_its_files(spark):
     assert (got["a.py#0"].resolved_via, got["a.py#0"].resolved_targets) == ("scip", ["c.py::g"])
     assert (got["a.py#1"].status, got["a.py#1"].unmapped_def_files) == ("internal_unmapped", ["d.py"])
     assert (got["b.py#0"].resolved_via, got["b.py#0"].resolved_targets) == ("tail_name", ["c.py::g"])
+    assert [r.value for r in sinks.reference_lines(refs.where("file = 'a.py' and line = 3")).collect()] == ['{"at":"a.py:3:4","targets":["c.py:1:4"]}']
     spans = symbols.spans_of(occ, spark.createDataFrame([("c.py", "s", "Function", "g")], "file string, symbol string, kind string, display_name string"))
     assert [tuple(r) for r in checks.definitions_beside_spans(defs, spans).collect()] == [("c.py", 1, 0, 0)]
     assert [tuple(r) for r in checks.near_paths(spark.createDataFrame([("/tmp/x/a.py", 3, "v")], "file string, line int, v string"), calls).select("file", "v").collect()] == [("a.py", "v")]
