@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm.common import discard, materialize, slices, texts
@@ -117,16 +118,37 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
+def block_count(nodes: int, radius: int = 4, group: int = 4096) -> int:
+    """The least number of bit blocks whose keys leave about `group` of so many spread fingerprints to a key: with b blocks a key has b - radius of them, so more blocks make longer keys, and more of them."""
+    b = radius + 1
+    while nodes >> (64 * (b - radius) // b) > group and b < radius + 6:
+        b += 1
+    return b
+
+
+def block_keys(blocks: int, radius: int) -> list[Column]:
+    """Keys of column fp such that fingerprints within the radius share one at least: they differ in `radius` blocks at most, so some blocks - radius of them agree."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    chosen = list(combinations(range(blocks), blocks - radius))
+    keys = []
+    for k, own in enumerate(chosen):
+        key = F.lit(0).cast("long")
+        for x in own:
+            lo, hi = cuts[x], cuts[x + 1]
+            key = F.shiftleft(key, hi - lo).bitwiseOR(F.shiftrightunsigned("fp", 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
+        keys.append(key * F.lit(len(chosen)) + F.lit(k))
+    return keys
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int | None = None) -> DataFrame:
     """nodes(fp long, node long), fp distinct -> (a, b): for each pair of fingerprints within the radius, its ends are joined by links.
 
-    Fingerprints within the radius agree on one of radius + 1 bit blocks at least, so those that share a block's value meet in one group, and a
-    BK-tree over the group finds its pairs. A group emits a spanning forest, never all its pairs. A group of more than `shard` fingerprints is
-    dealt into shards: each shard's tree goes to every shard that probes it, so no task holds more than two shards.
+    Fingerprints within the radius agree on some of their bit blocks (see block_keys), so those that share a key meet in one group, and a
+    BK-tree over the group finds its pairs. The number of blocks follows the number of nodes: keys get longer, no pair gets lost. A group emits a
+    spanning forest, never all its pairs. A group of more than `shard` fingerprints is dealt into shards: each shard's tree goes to every shard
+    that probes it, so no task holds more than two shards.
     """
-    blocks = radius + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    key = [F.shiftrightunsigned("fp", 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * F.lit(blocks) + F.lit(k) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    key = block_keys(blocks or block_count(nodes.count(), radius), radius)
     rows = nodes.select("fp", "node", F.explode(F.array(*key)).alias("key"))
     large = rows.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("k"))
     rows = rows.join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))

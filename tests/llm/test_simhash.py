@@ -75,12 +75,13 @@ def test_tree_finds_all_pairs():
     assert got == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 4}
 
 
-def test_dense_group_in_shards(spark):
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_dense_group_in_shards(spark, blocks):
     fps = [int(x) for x in np.random.default_rng(1).integers(0, 1 << 12, 400)]
     ids = list(range(len(set(fps))))
     fps = sorted(set(fps))
     nodes = spark.createDataFrame(list(zip(fps, ids)), "fp long, node long")
-    links = simhash.fingerprint_links(nodes, shard=50)
+    links = simhash.fingerprint_links(nodes, shard=50, blocks=blocks)
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert [got.get(i, i) for i in ids] == slow_components(ids, fps)
 
@@ -97,3 +98,21 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(3, 3), (None, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in range(7, 60)}
+
+
+def test_blocks_follow_the_number_of_nodes():
+    assert [simhash.block_count(n) for n in (0, 10**6, 10**8, 10**10, 10**11)] == [5, 5, 6, 7, 7]
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_near_fingerprints_share_a_key(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    rows = []
+    for k in range(200):
+        x = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+        y = x
+        for bit in rng.choice(64, 4, replace=False).tolist():
+            y ^= 1 << bit
+        rows += [(k, x - (1 << 64) if x >> 63 else x), (k, y - (1 << 64) if y >> 63 else y)]
+    df = spark.createDataFrame(rows, "k int, fp long").select("k", simhash.F.explode(simhash.F.array(*simhash.block_keys(blocks, 4))).alias("key"))
+    assert df.groupBy("k", "key").count().where("count = 2").select("k").distinct().count() == 200
