@@ -20,7 +20,7 @@ TRIALS, RECALL = 200, 0.97
 #: Most vectors and queries of one list in one task; larger lists are dealt into blocks.
 LIST_ROWS, QUERY_ROWS = 8_192, 4_096
 #: Dimensions of a column block, vectors that are scanned between two looks at the bound, and how sure a test must be (in deviations).
-COLUMNS, ROWS, SURE = 16, 512, 2.1
+COLUMNS, ROWS, SURE = 24, 2048, 2.1
 
 
 @dataclass
@@ -85,10 +85,11 @@ def scan(q: np.ndarray, x: np.ndarray, keep: int, bound: float) -> np.ndarray:
     """
     dim, out, away = x.shape[1], [], []
     kept = np.empty(0)
+    slack = 1e-5 * float(q @ q + (x[0] @ x[0] if len(x) else 0))  # more than the rounding of single precision; vectors in x are of one length
     for lo in range(0, len(x), ROWS):
         hi = min(lo + ROWS, len(x))
         rows = np.arange(lo, hi)
-        part = np.zeros(len(rows))
+        part = np.zeros(len(rows), x.dtype)
         for c in range(0, dim, COLUMNS):
             block = x[lo:hi, c : c + COLUMNS]
             d = (block if len(rows) == hi - lo else block[rows - lo]) - q[c : c + COLUMNS]
@@ -99,7 +100,7 @@ def scan(q: np.ndarray, x: np.ndarray, keep: int, bound: float) -> np.ndarray:
                 rows, part = rows[stay], part[stay]
                 if not len(rows):
                     break
-        stay = part <= bound * (1 + 1e-9) + 1e-12
+        stay = part <= bound + slack
         out.append(rows[stay])
         away.append(part[stay])
         kept = np.concatenate([kept, away[-1]])
@@ -107,7 +108,7 @@ def scan(q: np.ndarray, x: np.ndarray, keep: int, bound: float) -> np.ndarray:
             kept = np.partition(kept, keep - 1)[:keep]
             bound = min(bound, float(kept[-1]))
     places, away = np.concatenate(out), np.concatenate(away)
-    return places[away <= bound * (1 + 1e-9) + 1e-12]
+    return places[away <= bound + slack]
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         v, q = _matrix(own.column("v"), dim), _matrix(queries_.column("q"), dim)
         ids, asking = np.asarray(own.column("vec_id")), np.asarray(queries_.column("query_id"))
-        turned, lifted = index.turn(q), np.asfortranarray(index.lift(v))
+        turned, lifted = index.turn(q).astype(np.float32), np.asfortranarray(index.lift(v), np.float32)  # candidates only: scores are exact
         out = []
         for i, (qid, bound) in enumerate(zip(asking.tolist(), np.asarray(queries_.column("bound")).tolist(), strict=True)):
             at = scan(turned[i], lifted, k + 1, bound * (1 + 1e-9) + 1e-9)
