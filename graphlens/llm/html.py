@@ -101,12 +101,12 @@ def parse(page: str) -> Node:
             continue
         if name in CLOSES:
             ends, stop = CLOSES[name]
-            up, last = node, None
+            up, ended = node, None
             while up is not None and up.name not in stop:
                 if up.name in ends:
-                    last = up
+                    ended = up
                 up = up.parent
-            node = last.parent if last is not None else node
+            node = ended.parent if ended is not None else node
         elif name in _P_ENDS or name == "p":
             up = node
             while up is not None and up.name not in _P_ENDS and up.name not in ("p", "td", "th", "li", "dd", "dt", "caption", "body", "html"):

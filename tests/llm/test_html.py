@@ -62,3 +62,15 @@ def test_edge_rows(spark):
     got = sorted(f"{r.page_id} {r.url} {r.n_chars}" for r in html.extract(spark.createDataFrame(rows, schema)).collect())
     assert got == sorted(["1 u 0", "1 u 0", f"None None {len(WANT)}", "2 v 4", "3 w 0", "4 x 200000"])
     assert html.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+AFTER = {"footer": "<footer>foot</footer>", "script": "<script>var x = '<p>no</p>';</script>", "style": "<style>p {}</style>", "nav": "<nav>menu</nav>", "form": "<form>ask</form>", "sidebar": "<div class=sidebar><p>aside</p></div>"}
+KEPT = {"list": ("<ul><li>red<li>green</ul>", "red green"), "definitions": ("<dl><dt>red<dd>green</dl>", "red green"), "table": ("<table><thead><tr><th>red<tbody><tr><td>green<tfoot><tr><td>blue</table>", "red green blue")}
+
+
+@pytest.mark.parametrize("after", AFTER)
+@pytest.mark.parametrize("kept", KEPT)
+def test_left_out_parts_after_lists_and_tables(kept, after):
+    inside, words = KEPT[kept]
+    assert html.main_text(f"<article>{P}{inside}{AFTER[after]}<p>end</p></article>{AFTER[after]}") == f"{WANT} {words} end"
+    assert html.main_text(f"<article>{P}{inside}</article>{AFTER[after]}{AFTER[after]}") == f"{WANT} {words}"
