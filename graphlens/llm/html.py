@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,6 +32,16 @@ _TEXT_ONLY = frozenset("script style textarea title xmp iframe noembed noframes"
 AROUND = frozenset(
     "ad ads advert advertisement advertising adbox adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar sidenav widget widgets menu menubar nav navbar navigation navigationlandmark pagination pager toolbar topbar masthead footer foot header skip hidden outbrain taboola tags taglist contentinfo complementary search searchbox copyright legal disclaimer".split()
 )
+#: Those of them that wrappers of a whole page bear too (fixed-header, search-results), and those of single comments.
+LAYOUT = frozenset("banner foot footer header hidden login masthead menu menubar nav navbar navigation search share sharing sidebar sidenav social tags toolbar topbar widget widgets".split())
+COMMENT = frozenset("comment comments reply replies".split())
+#: First words of classes that tell how a page is laid out, not what an element is: has-sidebar, overflow-hidden.
+_STATE = frozenset("has no non not overflow with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What a label is: none; of layout words alone; with another word; the id of a section, which a heading's text gives it as a rule.
+NONE, WRAPS, PART, SECTION = range(4)
+#: A part with a word that is no layout word is the article only if it holds this many times the text outside of all parts.
+SURELY = 10
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/\"'>]|\Z)", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -39,34 +51,65 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 class Node:
     """An element: its texts and children in page order, and the counts of its subtree."""
 
-    __slots__ = ("chars", "density", "items", "link_chars", "links", "name", "parent", "score", "tags")
+    __slots__ = ("chars", "density", "ended", "items", "label", "link_chars", "links", "main", "name", "parent", "score", "tags")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.items = name, parent, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.score = 0.0
+        self.label, self.ended, self.main = NONE, False, name in ("article", "main")
 
 
 def _around(name: str, attrs: str) -> bool:
-    """The element is a part around the article: by its name, or by a word of its class, id or role."""
+    """The element is no text of the article for certain: by its name, or because it is not shown."""
     if name in FRAME:
         return True
-    if "=" in attrs or "idden" in attrs.lower():
+    if "idden" in attrs.lower() or "style" in attrs.lower():
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
             if key == "style":
                 if _HIDDEN.search(value):
                     return True
-            elif key in ("hidden", "aria-hidden"):
-                if value.lower() != "false":
-                    return True
-            elif name not in ("html", "body", "article", "main") and any(w.lower() in AROUND for w in _WORD.findall(html.unescape(value))):
+            elif key in ("hidden", "aria-hidden") and value.lower() != "false":
                 return True
     return False
 
 
+def _words(value: str) -> set[str]:
+    """The words of a class, id or role, but for classes that tell the layout."""
+    found = [[w.lower() for w in _WORD.findall(x)] for x in html.unescape(value).split()]
+    return {w for x in found if x and x[0] not in _STATE for w in x}
+
+
+def _label(node: Node, attrs: str) -> None:
+    """Set what the element's class, id and role tell. That is evidence alone: prune() weighs it. Inside code it tells nothing; the id of a heading, of an anchor or of another inline element is its text's or its target's name."""
+    if "=" not in attrs or node.name in ("html", "body"):
+        return
+    words, by_id, section = set(), set(), node.name == "section"
+    for key, value in _ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "role" and value.lower() in ("main", "article"):
+            node.main = True
+        elif key == "id":
+            by_id |= _words(value)
+        elif key in ("class", "role"):
+            words |= (found := _words(value))
+            section = section or (key == "class" and "section" in found)
+    if node.main:
+        node.main = not words & COMMENT
+        return
+    words &= AROUND
+    by_id = by_id & AROUND if node.name in BLOCK and node.name not in _HEADINGS and node.name != "dt" else set()
+    weak = section and not words
+    if words | by_id:
+        up = node.parent
+        while up is not None and up.name not in ("pre", "code"):
+            up = up.parent
+        node.label = NONE if up is not None else SECTION if weak else WRAPS if words | by_id <= LAYOUT else PART
+
+
 def parse(page: str) -> Node:
-    """The tree of a page, ready for any markup: unclosed and stray tags are handled as browsers do for the common cases, an unfinished tag at the end is dropped. Parts around the article and elements without text of the page are left out with all they hold."""
+    """The tree of a page, ready for any markup: unclosed and stray tags are handled as browsers do for the common cases, an unfinished tag at the end is dropped. Elements without text of the page, of the frame by their name, and what prune() takes for parts around the article are left out with all they hold."""
     root = node = Node("html", None)
     at, n = 0, len(page)
     low, last = "", {}  # the page in lower case, and the places of the last end tags
@@ -87,6 +130,7 @@ def parse(page: str) -> Node:
             while up is not None and up.name != name:
                 up = None if up.name in ("td", "th", "table") and name not in BLOCK else up.parent
             if up is not None and up.parent is not None:
+                up.ended = True
                 node = up.parent
             elif name == "p":
                 node.items.append(Node("br", node))
@@ -116,7 +160,72 @@ def parse(page: str) -> Node:
         child = Node(name, node)
         node.items.append(child)
         if name not in VOID:
+            _label(child, attrs)
             node = child
+    return prune(root)
+
+
+def _in_order(root: Node) -> list[Node]:
+    """The nodes in page order."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in reversed(node.items) if isinstance(x, Node)]
+    return order
+
+
+def prune(root: Node) -> Node:
+    """Leave out the labelled parts, but for those whose label is a wrapper's or a section's.
+
+    Text is counted without links. Of the labelled elements that have an end tag, a link list stays a part unless it holds an article or main
+    element. One of layout words is no part if it holds more text, or more of the articles' text, than is outside of all parts. Another is none
+    if it holds SURELY times as much text, or so much of the articles' and more text than is outside: comments and notices may well be
+    longer than an article. A section's id makes a part only beside an article element. What turns out to be no part counts as outside, but for
+    the parts in it, which are weighed next.
+    """
+    order = _in_order(root)
+    if not any(x.label and x.ended for x in order):
+        return root
+    text, free, article, inner = {}, {}, {}, {}  # by node: characters, those outside links, those of articles, the outermost labelled nodes below
+    for x in reversed(order):
+        below = [y for y in x.items if isinstance(y, Node)]
+        own = sum(len(y.strip()) for y in x.items if isinstance(y, str))
+        text[x] = own + sum(text[y] for y in below)
+        free[x] = 0 if x.name == "a" else own + sum(free[y] for y in below)
+        article[x] = free[x] if x.main else sum(article[y] for y in below)
+        inner[x] = [z for y in below for z in ([y] if y.label and y.ended else inner.pop(y))]
+    rest, held = (of[root] - sum(of[x] for x in inner[root]) for of in (free, article))
+    in_main = {root: root.main}
+    for x in order[1:]:
+        in_main[x] = x.main or in_main[x.parent]
+    count = itertools.count()
+    todo: list[tuple] = []
+    gone: set[Node] = set()
+
+    def weigh(found: list[Node]) -> None:
+        for x in found:
+            heapq.heappush(todo, (-(free[x] + article[x]) / (1 if x.label == WRAPS else SURELY), next(count), x))
+
+    weigh(inner[root])
+    while todo:
+        x = heapq.heappop(todo)[2]
+        if x.label == SECTION:
+            part = held > 0 and not in_main[x] and not article[x]
+        elif 2 * free[x] < text[x] and not article[x]:
+            part = True
+        elif x.label == WRAPS:
+            part = free[x] <= rest and article[x] <= held
+        else:
+            part = free[x] <= SURELY * rest and (article[x] <= SURELY * held or free[x] <= rest)
+        if part:
+            gone.add(x)
+        else:
+            rest += free[x] - sum(free[y] for y in inner[x])
+            held += article[x] - sum(article[y] for y in inner[x])
+            weigh(inner[x])
+    for up in {x.parent for x in gone}:
+        up.items = [y if y not in gone else Node("br", up) if y.name in BLOCK else "" for y in up.items]
     return root
 
 
@@ -144,11 +253,7 @@ def measure(root: Node) -> list[Node]:
     With C characters, T tags, LC and LT those in links, and c and lc of the body: density = C / T * log base (log(C * LC / (C - LC) + lc * C / c + e)) of
     (C * T / (LC * LT)), where a count of 0 in a denominator is 1. The density sum of a node is that of its children that are blocks; text in inline elements is their block's.
     """
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [x for x in reversed(node.items) if isinstance(x, Node)]
+    order = _in_order(root)
     for node in reversed(order):
         link = node.name == "a"
         for x in node.items:

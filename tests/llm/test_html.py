@@ -74,3 +74,37 @@ def test_left_out_parts_after_lists_and_tables(kept, after):
     inside, words = KEPT[kept]
     assert html.main_text(f"<article>{P}{inside}{AFTER[after]}<p>end</p></article>{AFTER[after]}") == f"{WANT} {words} end"
     assert html.main_text(f"<article>{P}{inside}</article>{AFTER[after]}{AFTER[after]}") == f"{WANT} {words}"
+
+
+SIDE = f"<div class=sidebar><p>{LONG[0]}</p></div>"
+TALK = "<div id=comments>" + f"<div class=comment><p>{LONG[0]}</p></div>" * 9 + "</div>"
+WRAPPERS = ["class='content has-sidebar'", "id=wrap class='no-sidebar'", "class='page fixed-header'", "class='search-results'", "class='overflow-hidden'", "class='site header-wide'", "id=legal", "class='comments-page'"]
+LABELS = {
+    "section by id": (f"<article><section id='intro'>{P}</section><section id='related-work'><h2>Related work</h2>{P}</section></article>", f"{WANT} Related work {WANT}"),
+    "section without an article": (f"<body><div><section id='intro'>{P}</section><section id='social-history'>{P}</section></div>", f"{WANT} {WANT}"),
+    "section as a div": (f"<main><div class=section id=search>{P}</div><div class=section id=intro>{P}</div></main>", f"{WANT} {WANT}"),
+    "heading by id": (f"<article><h2 id='legal-status'>Legal status</h2>{P}</article>", "Legal status " + WANT),
+    "anchor by id": (f"<article><h2><span id='Related'>Related</span></h2>{P}</article>", "Related " + WANT),
+    "code": (f"<article>{P}<pre>x = 1 <span class='hljs-comment'># one</span></pre></article>", f"{WANT} x = 1 # one"),
+    "parts in an article": (f"<article><div class=share>Tell it</div>{P}<div class='related'><p>{LONG[0]}</p></div></article>", WANT),
+    "more comments than article": (f"<body><div class=post>{P}</div>{TALK}", WANT),
+    "comments that are articles": (f"<body><article>{P}</article><div id=comments>" + f"<article class=comment>{P}</article>" * 5 + "</div>", WANT),
+    "two wrappers": (f"<div class='page fixed-header'><div class='search-results'><div>{P}</div>{SIDE}{TALK}</div></div><div class=footer>{LONG[1]}</div>", WANT),
+    "menus alone": (f"<body><div class=menu>{LINKS}</div>", ""),
+}
+
+
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+@pytest.mark.parametrize("label", WRAPPERS)
+def test_labelled_wrapper_of_the_page(label, inside):
+    assert html.main_text(f"<body><div class=site-header>Site</div><div {label}><div class=main-nav>{LINKS}</div>{inside.format(P)}{SIDE}</div><div class=footer>Foot</div></body>") == WANT
+
+
+@pytest.mark.parametrize("name", LABELS)
+def test_labels_are_evidence_alone(name):
+    page, want = LABELS[name]
+    assert html.main_text(page) == want
+
+
+def test_many_labelled_parts():
+    assert html.main_text("<body>" + "<div class=ad>x</div>" * 50_000 + f"<div>{P}</div>" + "<div class=ad>" * 3000) == WANT
