@@ -127,8 +127,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     """(query_id long, rank int, vec_id long, score double): for each vector whose id is divisible by `every` the k others of the largest inner product that its probed lists hold, nearest first, ties to the smaller id.
 
     Scores are inner products of the vectors as given, in double precision. Vectors that are null, zero or hold null or non-finite components take
-    no part, nor do those of another length than most (of equally frequent lengths, the smaller). A query whose lists hold fewer than k others is
-    compared with every row, so none lacks neighbours. A repeated id is one vector (the smallest by its components).
+    no part, nor do those of another length than most (of equally frequent lengths, the smaller). A query that finds fewer than k others is
+    compared with every row, so none lacks neighbours. While the sample is the whole table its bound admits the k nearest alone, so any neighbour
+    missed leads there and the result is exact, for queries of at most SAMPLE vectors; in larger tables the lists decide. A repeated id is one vector (the smallest by its components).
     Copies are candidates each. Other columns are not looked at. No row gives no row.
 
     Lists of more than LIST_ROWS vectors and more than QUERY_ROWS queries of a list go to several tasks in blocks.
@@ -196,14 +197,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     found = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     out, _ = materialize(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
-    if index.probes < len(index.centres):
-        # A query whose lists held fewer than k others looks at all rows, a bounded block of such queries at a time.
-        counts = out.groupBy("query_id").count()
-        few = queries.select(F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").where(F.coalesce("count", F.lit(0)) < min(k, total.n - 1)).select("query_id")
-        short = few.count()
-        if short:
-            rest, _ = materialize(_whole_scan(clean, few, k, dim), "few")
-            out = out.join(few, "query_id", "left_anti").unionByName(rest)
+    # A query that found fewer than k others, by the lists it did not probe or by a test that gave up a neighbour, looks at all rows, a bounded block of such queries at a time.
+    counts = out.groupBy("query_id").count()
+    few = queries.select(F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").where(F.coalesce("count", F.lit(0)) < min(k, total.n - 1)).select("query_id")
+    if few.count():
+        rest, _ = materialize(_whole_scan(clean, few, k, dim), "few")
+        out = out.join(few, "query_id", "left_anti").unionByName(rest)
     discard(spark, held_at, asked_at)
     return out
 

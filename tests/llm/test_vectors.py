@@ -82,3 +82,28 @@ def test_scan_gives_up_no_near_candidate():
         total, lost = total + 20, lost + len(want - set(got.tolist()))
         assert len(got) < 100
     assert lost <= 0.03 * total
+
+
+def test_neighbours_given_up_by_the_test_are_replaced(spark):
+    # One list, all of it probed. What sets the neighbours apart lies in the first column block of the rotation, so the test overrates their distance.
+    block = vectors.fit(np.eye(64), 1.0, 64, 20).rotation[:64, : vectors.COLUMNS]
+    away = np.linalg.eigh(block @ block.T)[1][:, ::-1]
+    q, rng = away[:, -1], np.random.default_rng(0)
+    to = rng.normal(size=(29, 20)) @ away[:, :20].T
+    angle = np.linspace(0.2, 0.205, 29)[:, None]
+    x = np.r_[q[None, :], np.cos(angle) * q + np.sin(angle) * to / np.linalg.norm(to, axis=1)[:, None]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = ran(df, every=30), brute(np.arange(30), x, 30, 20)
+    assert [v for v, _ in got[0]] == [v for v, _ in want[0]]
+
+
+def test_recall_of_the_lists_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE", 300)
+    asked = []
+    whole = vectors._whole_scan
+    monkeypatch.setattr(vectors, "_whole_scan", lambda clean, few, k, dim: asked.append(few.count()) or whole(clean, few, k, dim))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in df.collect())
+    got, want = ran(df), brute(np.array([i for i, _ in rows]), np.array([v for _, v in rows], float), 20, 20)
+    assert set(got) == set(want) and all(len(r) == 20 for r in got.values())
+    assert sum(asked) <= 0.05 * len(want) and recall(got, want) >= 0.9
