@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,8 +18,8 @@ from graphlens.llm.components import connected_components
 STEP = 1 << 16
 #: Most fingerprints in one tree; a larger group is dealt into shards, each shard's tree being probed by every other shard.
 SHARD = 20_000
-#: A tree node with fewer fingerprints than this keeps them as a flat bucket.
-BUCKET = 48
+#: Queries at nodes of trees that are looked at together.
+PIECE = 1 << 19
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -40,39 +40,51 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 class BKTree:
-    """A metric tree under Hamming distance: below a node, children are keyed by their integer distance to its pivot. Small subtrees are flat buckets. Whole arrays of queries descend at once, each only along edges within the radius of its own distance."""
+    """Metric trees under Hamming distance, one for each group of points: below a node, children are keyed by their integer distance to its pivot.
 
-    def __init__(self, points: np.ndarray, bucket: int = BUCKET):
-        self.points, self.root = points, None
-        root, todo = [], [(np.arange(len(points)), None, 0)]
-        while todo:
-            own, parent, edge = todo.pop()
-            if len(own) <= bucket:
-                node = (own, None)
-            else:
-                away = np.bitwise_count(points[own[1:]] ^ points[own[0]])
-                order = np.argsort(away, kind="stable")
-                keys, first = np.unique(away[order], return_index=True)
-                node = (own[:1], {})
-                todo += [(part, node, int(k)) for k, part in zip(keys, np.split(own[1:][order], first[1:]), strict=True)]
-            (root.append(node) if parent is None else parent[1].__setitem__(edge, node))
-        self.root = root[0]
-
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query places, point places) of all pairs at most `radius` apart, in pieces."""
-        todo = [(self.root, np.arange(len(queries)))]
+    All trees are held as arrays and grow level by level: what is left below a node is dealt by its distance to the pivot, and the first of each
+    part is the next pivot. Queries descend together, each through its own group's tree and only along edges within the radius of its distance.
+    """
+
+    def __init__(self, points: np.ndarray, group: np.ndarray | int = 0):
+        own = np.broadcast_to(np.asarray(group, np.int64), len(points))
+        left = np.argsort(own, kind="stable")
+        part, made = own[left], 0
+        pivots, edges = [np.empty(0, np.int64)], []
+        while len(left):
+            head = np.r_[True, part[1:] != part[:-1]]
+            pivots.append(left[head])
+            edges.append(part[head])
+            above = (np.cumsum(head) - 1)[~head]
+            left = left[~head]
+            part = (made + above) * 65 + np.bitwise_count(points[left] ^ points[pivots[-1][above]])
+            made += len(pivots[-1])
+            order = np.argsort(part, kind="stable")
+            left, part = left[order], part[order]
+        self.points, self.pivots, self.roots = points, np.concatenate(pivots), edges[0] if edges else np.empty(0, np.int64)
+        self.edges = np.concatenate([np.empty(0, np.int64), *edges[1:]])  # of all nodes but the roots, ascending: parent * 65 + distance
+
+    def within(self, queries: np.ndarray, radius: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query places, point places) of all pairs at most `radius` apart in one group, in pieces; without groups all queries go to the first tree."""
+        asked = np.arange(len(queries))
+        node = np.zeros(len(queries), np.int64) if group is None else np.minimum(np.searchsorted(self.roots, group), max(len(self.roots) - 1, 0))
+        there = np.full(len(queries), len(self.roots) > 0) if group is None or not len(self.roots) else self.roots[node] == group
+        todo = [(asked[there], node[there])]
         while todo:
-            (own, edges), asked = todo.pop()
-            for at in range(0, len(asked), 1 << 14):
-                near = np.bitwise_count(queries[asked[at : at + (1 << 14)], None] ^ self.points[own][None, :]) <= radius
-                q, p = np.nonzero(near)
-                if len(q):
-                    yield asked[at + q], own[p]
-            if edges:
-                away = np.bitwise_count(queries[asked] ^ self.points[own[0]]).astype(np.int16)
-                for k, child in edges.items():
-                    if len(follow := asked[np.abs(away - k) <= radius]):
-                        todo.append((child, follow))
+            asked, node = todo.pop()
+            if len(asked) > PIECE:
+                todo += [(asked[at : at + PIECE], node[at : at + PIECE]) for at in range(0, len(asked), PIECE)]
+                continue
+            point = self.pivots[node]
+            away = np.bitwise_count(queries[asked] ^ self.points[point]).astype(np.int64)
+            near = away <= radius
+            if near.any():
+                yield asked[near], point[near]
+            first = np.searchsorted(self.edges, node * 65 + np.maximum(away - radius, 0))
+            many = np.searchsorted(self.edges, node * 65 + np.minimum(away + radius, 64), side="right") - first
+            if total := int(many.sum()):
+                at = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(total)
+                todo.append((np.repeat(asked, many), len(self.roots) + at))
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -93,17 +105,41 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = x, y
 
 
-def group_links(fps: np.ndarray, tree_of: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of a spanning forest of the links between fps[tree_of] and fps[asks]."""
-    label = np.arange(len(fps))
-    if len(tree_of) and len(asks):
-        for q, p in BKTree(fps[tree_of]).within(fps[asks], radius):
-            a, b = asks[q], tree_of[p]
-            _merge(label, a[a != b], b[a != b])
+def forest(fps: np.ndarray, node: np.ndarray, group: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int, linked: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (a, b) of a spanning forest of the links between the rows in_tree and the rows that ask, in each group; linked(a, b) says of rows which of the pairs within the radius count."""
+    names, at = np.unique(node, return_inverse=True)
+    label = np.arange(len(names))
+    tree, asking = np.flatnonzero(in_tree), np.flatnonzero(asks)
+    for q, p in BKTree(fps[tree], group[tree]).within(fps[asking], radius, group[asking]):
+        a, b = asking[q], tree[p]
+        other = label[at[a]] != label[at[b]]
+        a, b = a[other], b[other]
+        if linked is not None and len(a):
+            yes = linked(a, b)
+            a, b = a[yes], b[yes]
+        _merge(label, at[a], at[b])
     while not np.array_equal(label, up := label[label]):
         label = up
     a = np.flatnonzero(label != np.arange(len(label)))
-    return a, label[a]
+    return names[a], names[label[a]]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], same: list[int], most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Rows of integers that come sorted by the columns `same`, as arrays of whole groups of at least `most` rows (the last of fewer)."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1))
+        if sum(map(len, held)) >= most:
+            rows = np.concatenate(held)
+            open_ = np.flatnonzero(np.any(rows[:, same] != rows[-1, same], axis=1))
+            cut = int(open_[-1]) + 1 if len(open_) else 0
+            if cut:
+                yield rows[:cut]
+            held = [rows[cut:]]
+    if held and sum(map(len, held)):
+        yield np.concatenate(held)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -140,52 +176,42 @@ def block_keys(blocks: int, radius: int) -> list[Column]:
     return keys
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int | None = None) -> DataFrame:
-    """nodes(fp long, node long), fp distinct -> (a, b): for each pair of fingerprints within the radius, its ends are joined by links.
+def group_links(rows: DataFrame, radius: int, shard: int, ratio: float = 0.0) -> DataFrame:
+    """rows(key long, fp long, node long, size int) -> (a, b): in each group of a key, links of a spanning forest over the pairs of nodes within the radius whose sizes' ratio is `ratio` at least.
 
-    Fingerprints within the radius agree on some of their bit blocks (see block_keys), so those that share a key meet in one group, and a
-    BK-tree over the group finds its pairs. The number of blocks follows the number of nodes: keys get longer, no pair gets lost. A group emits a
-    spanning forest, never all its pairs. A group of more than `shard` fingerprints is dealt into shards: each shard's tree goes to every shard
-    that probes it, so no task holds more than two shards.
+    A BK-tree over the group finds the pairs. A group emits a spanning forest, never all its pairs. A group of more than `shard` rows is dealt into
+    shards: each shard's tree goes to every shard that probes it, so no task holds more than two shards of a group.
     """
-    key = block_keys(blocks or block_count(nodes.count(), radius), radius)
-    rows = nodes.select("fp", "node", F.explode(F.array(*key)).alias("key"))
     large = rows.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("k"))
-    rows = rows.join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    rows = rows.select("fp", "node", "key", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    rows = rows.select("fp", "node", "key", "i", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+    rows = rows.join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    rows = rows.select("fp", "node", "size", "key", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    rows = rows.select("fp", "node", "size", "key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held: list[np.ndarray] = []
-
-        def emit(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = np.flatnonzero(np.any(part[1:, 2:5] != part[:-1, 2:5], axis=1)) + 1
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in zip(np.r_[0, new], np.r_[new, len(part)], strict=True):
-                if hi - lo > 1:
-                    fp, node, (p, q), i = part[lo:hi, 0].view(np.uint64), part[lo:hi, 1], part[lo, 3:5], part[lo:hi, 5]
-                    a, b = group_links(fp, np.flatnonzero(i == p), np.flatnonzero(i == q), radius)
-                    if len(a):
-                        out.append((node[a], node[b]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
-
-        for batch in batches:
-            cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(6)]
-            part = np.ascontiguousarray(np.stack(cols, axis=1))
-            held.append(part)
-            whole = np.concatenate(held)
-            last = np.flatnonzero(np.any(whole[:, 2:5] != whole[-1, 2:5], axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from emit(np.ascontiguousarray(whole[:cut]))
-            held = [whole[cut:]]
-        if held and len(held[0]):
-            yield from emit(np.ascontiguousarray(held[0]))
+        for part in whole_groups(batches, [3, 4, 5]):
+            group = np.cumsum(np.r_[0, np.any(part[1:, 3:6] != part[:-1, 3:6], axis=1)])
+            several = np.bincount(group)[group] > 1
+            part, group = part[several], group[several]
+            if not len(part):
+                continue
+            fp, size = np.ascontiguousarray(part[:, 0]).view(np.uint64), part[:, 2].astype(float)
+            fits = (lambda a, b, n=size: np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]) - 1e-9) if ratio else None
+            a, b = forest(fp, part[:, 1], group, part[:, 6] == part[:, 4], part[:, 6] == part[:, 5], radius, fits)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     order = ["key", "p", "q"]
-    return rows.select("fp", "node", "key", "p", "q", "i").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return rows.select("fp", "node", "size", "key", "p", "q", "i").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int | None = None) -> DataFrame:
+    """nodes(fp long, node long), fp distinct -> (a, b): for each pair of fingerprints within the radius, its ends are joined by links.
+
+    Fingerprints within the radius agree on some of their bit blocks (see block_keys), so those that share a key meet in one group, and a
+    BK-tree over the group finds its pairs (see group_links). The number of blocks follows the number of nodes: keys get longer, no pair gets lost.
+    """
+    key = block_keys(blocks or block_count(nodes.count(), radius), radius)
+    return group_links(nodes.select(F.explode(F.array(*key)).alias("key"), "fp", "node", F.lit(1).alias("size")), radius, shard)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, shard: int = SHARD) -> DataFrame:

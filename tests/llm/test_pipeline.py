@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_simhash import slow_components, slow_fingerprint
+from test_similar import slow_components
 from test_tokens import check_packing
 from tokenizers import Tokenizer
 
@@ -22,7 +22,7 @@ def test_run_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
     score = model.numpy(np.array([quality.statistics(x.encode()) for _, x in rows]))
     rows = [r for r, s in zip(rows, score, strict=True) if s >= 0.3]
-    comp = slow_components([d for d, _ in rows], [slow_fingerprint(x) for _, x in rows])
+    comp = slow_components(rows)
     rows = [r for r, c in zip(rows, comp, strict=True) if r[0] == c]
     left = []
     for (d, x), (_, _, gone, digest) in zip(rows, repeats.brute_force(rows), strict=True):
@@ -55,6 +55,16 @@ def test_stages_keep_the_columns_and_clean_rows(spark):
     assert docs.where("n_chars <> length(text)").count() == 0
 
 
+def test_near_duplicate_stage_drops_near_copies_alone(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, far, copy = " ".join([*words[:50], "other", *words[51:]]), " ".join(words[:50] + [f"x{i}" for i in range(50)]), "\n".join(words).upper()
+    rows = [(5, " ".join(words)), (6, near), (3, copy), (7, far), (7, "quite another text of this id"), (7, far), (8, "quite another text of this id"), (None, near)]
+    docs = spark.createDataFrame([(d, x, "a", 1) for d, x in rows], "doc_id long, text string, component_id string, __digest int")
+    got = corpus_pipeline.near_duplicate_filter(spark, docs.withColumnRenamed("__digest", "digest"), DIR)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(3, copy), (7, far), (7, "quite another text of this id"), (0, near)])
+    assert got.columns == ["doc_id", "text", "component_id", "digest"]
+
+
 def test_repeat_stage_cuts_long_repeats_alone(spark):
     passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"{passage}\nend", 1), (2, f"start\n {passage} tail", 1), (3, f"{other}\n{other}", 1), (4, f"z {other}", 1), (5, None, 1)], "doc_id long, text string, n_chars long")
