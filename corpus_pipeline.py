@@ -4,7 +4,8 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 stage returns is written as Parquet and read again as the next one's docs, so each works on all that its predecessor kept and a lost executor
 costs one stage at most.
 
-Edge rows: null texts count as empty and stay as they are; repeated rows are near-duplicates of each other, so one stays; a row without doc_id has
+Edge rows: null texts count as empty and stay as they are; repeated rows are near-duplicates of each other, so one stays, while rows
+of one doc_id with other texts are documents of their own; a row without doc_id has
 no label, takes no part in the search for copies or repeats and is kept; an empty table passes through every stage. Extra columns are carried
 along under their own names: every stage reads doc_id and text alone and joins its decision by internal names.
 """
@@ -14,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm import common, packing, quality, repeats, simhash
+from graphlens.llm import common, packing, quality, repeats, similar
 from graphlens.llm.catalog import tokenizer_file
 
 #: Names for what a stage adds to rows on the way; extra columns of a table aren't called so.
-_ID, _NTH = "__doc_id", "__nth"
+_ID, _DIGEST, _TEXT, _NTH = "__doc_id", "__digest", "__text", "__nth"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +29,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (SimHash of 4-word shingles, 4 bits, transitively) the row with the smallest doc_id; of repeated rows with that doc_id, one."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(_ID)).where(f"{_ID} is not null").distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay[_ID], "left_semi")
-    once = kept.withColumn(_NTH, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(f"{_NTH} = 1").drop(_NTH)
+    """Of each group of near copies (a Jaccard similarity of 0.8 or more over 5-word shingles, transitively) the row with the smallest doc_id, of its texts the one with the smallest digest; of repeated rows one. Rows of one doc_id with texts that are no near copies all stay."""
+    found = similar.similar_documents(docs, width=5, similarity=0.8)
+    stay = found.select(F.col("component_id").alias(_ID), F.col("component_digest").alias(_DIGEST)).distinct()
+    own = docs.withColumn(_TEXT, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = own.join(stay, (F.col("doc_id") == F.col(_ID)) & (F.col(_TEXT) == F.col(_DIGEST))).drop(_ID, _DIGEST)
+    once = kept.withColumn(_NTH, F.row_number().over(Window.partitionBy("doc_id", _TEXT).orderBy(F.lit(0)))).where(f"{_NTH} = 1").drop(_NTH, _TEXT)
     return once.unionByName(docs.where("doc_id is null"))
 
 
