@@ -176,32 +176,31 @@ def block_keys(blocks: int, radius: int) -> list[Column]:
     return keys
 
 
-def group_links(rows: DataFrame, radius: int, shard: int, ratio: float = 0.0) -> DataFrame:
-    """rows(key long, fp long, node long, size int) -> (a, b): in each group of a key, links of a spanning forest over the pairs of nodes within the radius whose sizes' ratio is `ratio` at least.
+def group_links(rows: DataFrame, radius: int, shard: int, fits: Callable[[np.ndarray, np.ndarray], Callable] | None = None) -> DataFrame:
+    """rows(key long, fp long, node long, more integers ...) -> (a, b): in each group of a key, links of a spanning forest over the pairs of nodes within the radius. fits(fp, more) gives what says of two arrays of rows which pairs count besides.
 
     A BK-tree over the group finds the pairs. A group emits a spanning forest, never all its pairs. A group of more than `shard` rows is dealt into
     shards: each shard's tree goes to every shard that probes it, so no task holds more than two shards of a group.
     """
+    more = [c for c in rows.columns if c not in ("key", "fp", "node")]
     large = rows.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("k"))
     rows = rows.join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    rows = rows.select("fp", "node", "size", "key", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    rows = rows.select("fp", "node", "size", "key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i")
+    rows = rows.select("fp", "node", "key", "i", *more, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    rows = rows.select("fp", "node", "key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, [3, 4, 5]):
-            group = np.cumsum(np.r_[0, np.any(part[1:, 3:6] != part[:-1, 3:6], axis=1)])
+        for part in whole_groups(batches, [2, 3, 4]):
+            group = np.cumsum(np.r_[0, np.any(part[1:, 2:5] != part[:-1, 2:5], axis=1)])
             several = np.bincount(group)[group] > 1
             part, group = part[several], group[several]
-            if not len(part):
-                continue
-            fp, size = np.ascontiguousarray(part[:, 0]).view(np.uint64), part[:, 2].astype(float)
-            fits = (lambda a, b, n=size: np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]) - 1e-9) if ratio else None
-            a, b = forest(fp, part[:, 1], group, part[:, 6] == part[:, 4], part[:, 6] == part[:, 5], radius, fits)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if len(part):
+                fp = np.ascontiguousarray(part[:, 0]).view(np.uint64)
+                a, b = forest(fp, part[:, 1], group, part[:, 5] == part[:, 3], part[:, 5] == part[:, 4], radius, fits and fits(fp, part[:, 6:]))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     order = ["key", "p", "q"]
-    return rows.select("fp", "node", "size", "key", "p", "q", "i").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int | None = None) -> DataFrame:
@@ -211,7 +210,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, shard: int = SHARD, blo
     BK-tree over the group finds its pairs (see group_links). The number of blocks follows the number of nodes: keys get longer, no pair gets lost.
     """
     key = block_keys(blocks or block_count(nodes.count(), radius), radius)
-    return group_links(nodes.select(F.explode(F.array(*key)).alias("key"), "fp", "node", F.lit(1).alias("size")), radius, shard)
+    return group_links(nodes.select(F.explode(F.array(*key)).alias("key"), "fp", "node"), radius, shard)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, radius: int = 4, shard: int = SHARD) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate documents by the similarity of their shingle sets: SimHash fingerprints in BK-trees give candidates, the sets themselves decide.
 
-SimHash alone can't hold a similarity: texts of 0.8 differ by up to some 20 of 64 bits, and no index of bit blocks reaches so far. So the groups in
+SimHash alone can't hold a similarity: texts of 0.8 differ by up to some 40 of 128 bits, and no index of bit blocks reaches so far. So the groups in
 which trees are built come from the shingles: two sets of the wanted similarity share one of the rarest of each (the prefix of a set under one
 order of all shingles), whatever the order is.
 """
@@ -20,10 +20,11 @@ from graphlens.llm.components import connected_components
 from graphlens.llm.repeats import words_of
 from graphlens.llm.simhash import SHARD, STEP, group_links
 
-#: Bits by which fingerprints of candidates may differ. At a similarity of 0.8 the mean is 10 and the deviation 3, so one pair in a million lies beyond.
-RADIUS = 24
-#: Frequent shingles that the order of prefixes knows, and the share of a slice's documents from which a shingle counts as frequent there. Any order is right; this one keeps groups small.
-HEAVY, SHARE = 1 << 16, 0.01
+#: Bits of 128 by which fingerprints of candidates may differ, and of their first 64, by which the trees are built. At a similarity of 0.8 the means are 19.4
+#: and 9.7 and the deviations 4.1 and 2.9, so one pair in a million lies beyond; unrelated texts differ by 64 bits and 5.7.
+RADIUS, HALF = 40, 24
+#: Frequent shingles that the order of prefixes knows, and from how many of a slice's documents, and what share of them, a shingle counts as frequent there. Any order is right; this one keeps groups small.
+HEAVY, OFTEN, SHARE = 1 << 18, 3, 0.004
 #: Bytes of text whose shingles are arrays at a time, and of the sets of a cluster that one task holds twice.
 SLICE, CLUSTER_BYTES = 2 << 20, 32 << 20
 #: Multiplier of a shingle's hash, odd; a fixed value.
@@ -51,10 +52,12 @@ def shingle_sets(found: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def set_fingerprint(h: np.ndarray) -> int:
-    """64-bit SimHash of a set of hashes, each counting once."""
-    ones = np.zeros(64, np.int64)
+    """128-bit SimHash of a set of hashes, each counting once."""
+    ones = np.zeros(128, np.int64)
     for at in range(0, len(h), STEP):
-        ones += np.unpackbits(h[at : at + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        part = h[at : at + STEP]
+        both = np.stack([part, mix(part + np.uint64(STRIDE))], axis=1).astype(">u8")
+        ones += np.unpackbits(both.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
@@ -63,6 +66,19 @@ def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(n > 0, n - np.ceil(similarity * n - 1e-9) + 1, 0).astype(np.int64)
 
 
+def _may_link(first: np.ndarray, more: np.ndarray, similarity: float):
+    """What tells of rows (halves of the fingerprint, size, place of the shared shingle in the prefix) whether two may be similar: by their bits, their sizes, and by what can follow if this shingle is the first that they share. Similar sets pass where it is."""
+    other, size, place = np.ascontiguousarray(more[:, 0]).view(np.uint64), more[:, 1], more[:, 2]
+
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        away = np.bitwise_count(other[a] ^ other[b]).astype(np.int64) + np.bitwise_count(first[a] ^ first[b])
+        least, both = np.minimum(size[a], size[b]), size[a] + size[b]
+        most = np.minimum(size[a] - place[a], size[b] - place[b])
+        return (away <= RADIUS) & (least >= similarity * (both - least) - 1e-9) & (most >= similarity / (1 + similarity) * both - 1e-9)
+
+    return linked
+
+
 def _verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], near: np.ndarray, asks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links of a spanning forest over the pairs of a set in `near` and one that asks which are similar enough: each asks the nearest fingerprints first, and none that it is joined to already."""
     names, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -72,12 +88,10 @@ def _verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], near: np
     for i in np.flatnonzero(asks).tolist():
         able = near & (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9)
         found = np.flatnonzero(able)
-        away = np.bitwise_count(fp[found] ^ fp[i])
-        found = found[np.argsort(away, kind="stable")][: int((away <= RADIUS).sum())]
         if not len(found):
             continue
         here[own[i]] = True
-        for j in found.tolist():
+        for j in found[np.argsort(np.bitwise_count(fp[found] ^ fp[i]), kind="stable")].tolist():
             if label[j] == label[i]:
                 continue
             both = int(np.count_nonzero(here[own[j]]))
@@ -96,8 +110,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     1. One pass over the texts: the set's 128-bit hash, its size and fingerprint; equal sets are one node from there on. It also counts shingles
        that are frequent among neighbouring documents; the most frequent of them (HEAVY at most) come last in the order of shingles.
-    2. A second pass gives each set's prefix. Nodes that share one meet in a group; a BK-tree over it finds the pairs within RADIUS bits, of which
-       the forest of those of fitting sizes stays. Frequent shingles are in few prefixes, so groups are small; large ones go in shards.
+    2. A second pass gives each set's prefix. Nodes that share one meet in a group; a BK-tree over it finds the pairs of near fingerprints, of
+       which the forest of those that may be similar by sizes and places of the shingle stays. Frequent shingles are in few prefixes, so groups are small; large ones go in shards.
     3. Candidates' components are clusters. Only texts in clusters are read a third time, and pairs inside a cluster are decided by their sets; a large
        cluster goes in shards too. The links that hold make the components.
 
@@ -108,26 +122,27 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "digest", "s", "t", "fp", "size", "key", "many"]
+        names = ["doc_id", "digest", "s", "t", "fp", "fq", "size", "key", "many"]
         for batch, found in slices(batches, most=SLICE):
             h, first = shingle_sets(found, width)
             n, both, fps = len(found), [], []
             for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False):
                 both.append(xxhash.xxh3_128_digest(h[lo:hi].tobytes()))
-                fps.append(set_fingerprint(h[lo:hi]))
+                fps.append(set_fingerprint(h[lo:hi]).to_bytes(16, "big"))
             s, t = np.frombuffer(b"".join(both), np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array(t), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            fp, fq = np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, (s, t, fp, fq)), pa.array(np.diff(first).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
             key, many = np.unique(h, return_counts=True)
-            often = many >= max(4, SHARE * n)
+            often = many >= max(OFTEN, SHARE * n)
             if often.any():
-                none = [pa.nulls(int(often.sum()), kind_) for kind_ in (batch.schema.field(0).type, batch.schema.field(2).type, pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+                none = [pa.nulls(int(often.sum()), kind_) for kind_ in (batch.schema.field(0).type, batch.schema.field(2).type, *[pa.int64()] * 4, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(key[often].view(np.int64)), pa.array(many[often])], names=names)
 
-    made, made_at = materialize(plain.mapInArrow(sketch, f"doc_id {kind}, digest string, s long, t long, fp long, size int, key long, many long"), "sets")
-    own = made.where("doc_id is not null").select("doc_id", "digest", "s", "t", "fp", "size")
+    made, made_at = materialize(plain.mapInArrow(sketch, f"doc_id {kind}, digest string, s long, t long, fp long, fq long, size int, key long, many long"), "sets")
+    own = made.where("doc_id is not null").select("doc_id", "digest", "s", "t", "fp", "fq", "size")
     lead = F.min(F.struct("doc_id", "digest")).alias("lead")
     # Written once, so the ids stay what they are.
-    nodes, nodes_at = materialize(own.groupBy("s", "t").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), lead).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes, nodes_at = materialize(own.groupBy("s", "t").agg(F.first("fp").alias("fp"), F.first("fq").alias("fq"), F.first("size").alias("size"), lead).withColumn("node", F.monotonically_increasing_id()), "nodes")
     often = made.where("key is not null").groupBy("key").agg(F.sum("many").alias("many")).orderBy(F.desc("many"), "key").limit(HEAVY).toArrow()
     heavy, weight = np.asarray(often.column("key")).view(np.uint64), np.asarray(often.column("many"))
     order = np.argsort(heavy)
@@ -144,15 +159,16 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 often_ = np.where(heavy[at] == h, weight[at], 0)
             by = np.lexsort((h, often_, own_))
             nth = np.arange(len(h)) - np.repeat(first[:-1], n)
-            take = by[nth < np.repeat(prefix_size(n, similarity), n)]
+            within = nth < np.repeat(prefix_size(n, similarity), n)
+            take = by[within]
             s = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h[lo:hi].tobytes())[:8] for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False)), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(s[own_[take]])], names=["key", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(s[own_[take]]), pa.array(nth[within].astype(np.int32))], names=["key", "s", "place"])
 
-    keys, keys_at = materialize(plain.select("text").mapInArrow(prefixes, "key long, s long"), "prefixes")
+    keys, keys_at = materialize(plain.select("text").mapInArrow(prefixes, "key long, s long, place int"), "prefixes")
     shared, shared_at = materialize(keys.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("key"), "keys")
-    rows, rows_at = materialize(keys.join(shared, "key", "left_semi").distinct().join(nodes.select("s", "fp", "node", "size"), "s").select("key", "fp", "node", "size"), "members")
+    rows, rows_at = materialize(keys.join(shared, "key", "left_semi").distinct().join(nodes.select("s", "fp", "fq", "node", "size"), "s").select("key", "fp", "node", "fq", "size", "place"), "members")
     discard(spark, keys_at, shared_at)
-    links, links_at = materialize(group_links(rows, RADIUS, shard, similarity), "candidates")
+    links, links_at = materialize(group_links(rows, HALF, shard, lambda fp, more: _may_link(fp, more, similarity)), "candidates")
     discard(spark, rows_at)
     clusters = connected_components(links)
     found = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node")
