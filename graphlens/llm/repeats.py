@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm.common import bounded, discard, materialize, mix, slices
@@ -20,9 +20,6 @@ ROUNDS = 3
 KEPT = 200_000
 #: Bytes of text whose words are arrays at a time: these take some 40 times as much memory.
 SLICE = 2 << 20
-#: Bases of the polynomial hashes, odd so that they have inverses modulo 2^64; fixed values.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -33,18 +30,10 @@ class _Words(dict):
 _known = _Words()
 
 
-class Rolling:
-    """Hashes of any stretches of a sequence of 64-bit integers, from prefix sums of a polynomial modulo 2^64."""
-
-    def __init__(self, w: np.ndarray, base: int):
-        n = len(w) + 1
-        self.down = np.multiply.accumulate(np.full(n, pow(base, -1, 1 << 64), np.uint64))
-        up = np.multiply.accumulate(np.full(n, base, np.uint64))
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(w * up[:-1], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def stretch_hashes(w: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of stretches of a sequence of word hashes, each of all its bytes."""
+    held, of = memoryview(np.ascontiguousarray(w)).cast("B"), xxhash.xxh3_64_intdigest
+    return np.array([of(held[i:j], seed) for i, j in zip((8 * start).tolist(), (8 * end).tolist(), strict=True)], np.uint64)
 
 
 def symbols(w: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
@@ -98,7 +87,6 @@ def marks(w: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS) -
     makes no symbol sure is a mark by itself, with its own hash as key.
     """
     name, _, _, ca, cb = symbols(w, first, rounds)
-    roll = Rolling(w, BASES[0])
     size = np.maximum(np.diff(first) - window + 1, 0)
     at = np.repeat(first[:-1] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
     if not len(at):
@@ -124,7 +112,31 @@ def marks(w: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUNDS) -
     many = np.diff(np.r_[st, len(at)])
     start, own = at[st], chosen[st]
     ctx_from, ctx_to = np.where(own >= 0, ca[own], start), np.where(own >= 0, cb[own], start + window)
-    return roll.of(ctx_from, ctx_to), roll.of(start, start + many - 1 + window), start, many
+    return stretch_hashes(w, ctx_from, ctx_to, 1), stretch_hashes(w, start, start + many - 1 + window, 2), start, many
+
+
+def runs(doc: np.ndarray, key: np.ndarray, region: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, step, times): equal marks of a document at equal distances as runs. In a text that repeats itself every few words each period has the same marks; so a run is one symbol however long the text."""
+    order = np.lexsort((start, many, region, key, doc))
+    cols = [x[order] for x in (doc, key, region, many)]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols]) if len(order) else False
+    away = np.diff(start[order], prepend=0)
+    turns = ~new[:-1]
+    turns[1:] &= ~new[:-2] & (away[1:] != away[:-1])
+    new[:-1] |= turns & np.r_[False, np.ones(len(order) - 1, bool)] if len(order) else False
+    at = np.flatnonzero(new[:-1])
+    times = np.diff(np.r_[at, len(order)])
+    step = np.where(times > 1, away[np.minimum(at + 1, max(len(order) - 1, 0))], 1) if len(order) else times
+    return order[at], step, times
+
+
+def _places(length: Column) -> Column:
+    """The stretches of so many words that a run's windows (s, step, times) make: one where they touch."""
+    each = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    s, step, last = F.col("s"), F.col("step"), F.col("times") - 1
+    apart = F.transform(F.sequence(F.lit(0), last), lambda k: each(s + k * step, s + k * step + length))
+    return F.when(step <= length, F.array(each(s, s + step * last + length))).otherwise(apart)
 
 
 def words_of(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +167,8 @@ def _free(spark) -> None:
 def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, text, crc) -> (doc_id, crc, spans array<struct<s int, e int>>), a row for each document with a word that a window repeated from a smaller doc_id covers; spans are its words' places, disjoint and ascending.
 
-    1. One pass over the texts makes marks (see `marks`), about one for every twenty words.
+    1. One pass over the texts makes marks (see `marks`), about one for every twenty words; a run of equal marks of
+       a document, as in texts that repeat themselves, is one row.
     2. Keys that occur in one document alone go. Equal windows have equal keys.
     3. Of equal regions, all but those of the smallest doc_id are covered as a whole.
     4. Where a key has several regions, one document for each region (the smallest) gives the hashes of its windows, 128 bits each, and a
@@ -170,11 +183,14 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
             w, first = words_of(found)
             key, region, start, many = marks(w, first, window, rounds)
             doc = np.searchsorted(first, start, side="right") - 1
+            head, step, times = runs(doc, key, region, start, many)
+            key, region, start, many, doc = key[head], region[head], start[head], many[head], doc[head]
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), batch.column(0).take(take), batch.column(2).take(take), pa.array((start - first[doc]).astype(np.int32)), pa.array(many.astype(np.int32))], names=["k", "r", "doc_id", "crc", "s", "n"])
+            cols = [x.astype(np.int32) for x in (start - first[doc], many, step, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), batch.column(0).take(take), batch.column(2).take(take), *map(pa.array, cols)], names=["k", "r", "doc_id", "crc", "s", "n", "step", "times"])
 
     plain = docs.where("doc_id is not null").select("doc_id", "text", "crc")
-    made, made_at = materialize(plain.mapInArrow(mark, f"k long, r long, doc_id {kind}, crc long, s int, n int"), "marks")
+    made, made_at = materialize(plain.mapInArrow(mark, f"k long, r long, doc_id {kind}, crc long, s int, n int, step int, times int"), "marks")
     # Aggregates are written before they are joined: a join straight on one can't split the hot keys of its other side.
     shared, shared_at = materialize(made.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k"), "keys")
     cand, cand_at = materialize(made.join(shared, "k", "left_semi"), "shared")
@@ -183,11 +199,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
     least, least_at = materialize(cand.groupBy("k", "r").agg(F.min("doc_id").alias("d0")), "least")
     split, split_at = materialize(least.groupBy("k").agg(F.count("*").alias("regions")).where("regions > 1"), "split")
     regions, regions_at = materialize(least.join(split, "k", "left"), "regions")
-    seen, seen_at = materialize(cand.join(regions, ["k", "r"]).select("doc_id", "crc", "s", "n", "d0", "regions").where("doc_id > d0 or regions is not null"), "seen")
+    seen, seen_at = materialize(cand.join(regions, ["k", "r"]).select("doc_id", "crc", "s", "n", "step", "times", "d0", "regions").where("doc_id > d0 or regions is not null"), "seen")
     discard(spark, cand_at, least_at, split_at, regions_at)
     _free(spark)
-    whole = seen.where("doc_id > d0").select("doc_id", "crc", "s", F.expr(f"s + n - 1 + {window}").alias("e"))
-    asked = seen.where("doc_id = d0").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("asked"))
+    whole = seen.where("doc_id > d0").select("doc_id", "crc", _places(F.col("n") - 1 + window).alias("at"))
+    asked = seen.where("doc_id = d0").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "n", "step", "times")).alias("asked"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in slices(batches, most=SLICE):
@@ -197,22 +213,24 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
             many = np.array([x["n"] for asks in rows for x in asks], np.int64)
             own = np.repeat(np.arange(len(rows)), [sum(x["n"] for x in asks) for asks in rows])
             at = np.repeat(np.array(begin, np.int64) - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            h = [Rolling(w, base).of(at, at + window).view(np.int64) for base in BASES]
+            h = [stretch_hashes(w, at, at + window, seed).view(np.int64) for seed in (3, 4)]
             take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, h), batch.column(0).take(take), batch.column(2).take(take), pa.array((at - first[own]).astype(np.int32))], names=["h", "g", "doc_id", "crc", "s"])
+            step, times = (np.repeat(np.array([x[c] for asks in rows for x in asks], np.int32), many) for c in ("step", "times"))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, h), batch.column(0).take(take), batch.column(2).take(take), pa.array((at - first[own]).astype(np.int32)), pa.array(step), pa.array(times)], names=["h", "g", "doc_id", "crc", "s", "step", "times"])
 
-    windows, windows_at = materialize(plain.join(asked.hint("shuffle_hash"), ["doc_id", "crc"]).select("doc_id", "text", "crc", "asked").mapInArrow(each, f"h long, g long, doc_id {kind}, crc long, s int"), "windows")
+    windows, windows_at = materialize(plain.join(asked.hint("shuffle_hash"), ["doc_id", "crc"]).select("doc_id", "text", "crc", "asked").mapInArrow(each, f"h long, g long, doc_id {kind}, crc long, s int, step int, times int"), "windows")
     _free(spark)
     least, least_at = materialize(windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo"), "least")
-    single = windows.join(least, ["h", "g"]).where("doc_id > lo").select("doc_id", "crc", "s", F.expr(f"s + {window}").alias("e"))
+    # What holds for a window of a run's first mark holds for that of each.
+    single = windows.join(least, ["h", "g"]).where("doc_id > lo").select("doc_id", "crc", _places(F.lit(window)).alias("at"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
         for batch in batches:
-            spans = [[{"s": s, "e": e} for s, e in _spans([(x["s"], x["e"]) for x in row])] for row in batch.column(2).to_pylist()]
+            spans = [[{"s": s, "e": e} for s, e in _spans([(x["s"], x["e"]) for places in row for x in places])] for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "crc", "spans"])
 
-    found = whole.unionByName(single).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = whole.unionByName(single).groupBy("doc_id", "crc").agg(F.collect_list("at").alias("spans"))
     out, _ = materialize(found.mapInArrow(merge, f"doc_id {kind}, crc long, spans array<struct<s:int,e:int>>"), "spans")
     discard(spark, seen_at, windows_at, least_at)
     _free(spark)

@@ -19,7 +19,7 @@ STEP = 1 << 16
 #: Most fingerprints in one tree; a larger group is dealt into shards, each shard's tree being probed by every other shard.
 SHARD = 20_000
 #: Queries at nodes of trees that are looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 16
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:

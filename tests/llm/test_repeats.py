@@ -72,3 +72,23 @@ def test_marks_cover_every_window_once():
     _, _, start, many = repeats.marks(w, first, 50)
     got = sorted(s + k for s, n in zip(start.tolist(), many.tolist()) for k in range(n))
     assert got == [i for lo, hi in zip(first, first[1:]) for i in range(lo, hi - 49)]
+
+
+def test_runs_of_marks_are_one_row():
+    w = np.array([1, 2] * 200 + list(range(100, 160)), np.uint64)
+    key, region, start, many = repeats.marks(repeats.mix(w), np.array([0, len(w)]), 50)
+    head, step, times = repeats.runs(np.zeros(len(key), int), key, region, start, many)
+    assert len(head) < 60 < times.max()
+    again = [(key[i], region[i], many[i], start[i] + j * d) for i, d, n in zip(head, step, times) for j in range(n)]
+    assert sorted(again) == sorted(zip(key, region, many, start))
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 49, 50, 51, 60, 75])
+def test_periodic_texts(spark, period):
+    rng = random.Random(period)
+    unit = [f"u{i}" for i in range(period)]
+    tail = [f"t{i}" for i in range(80)]
+    rows = [(1, unit * 5 + tail), (2, unit * 9), (3, [*"abc", *unit * 7, *tail[:60]]), (4, tail), (5, unit * 3 + ["cut"] + unit * 4), (6, unit[1:] + unit * 6)]
+    rng.shuffle(rows)
+    rows = [(d, " ".join(x)) for d, x in rows]
+    assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == want(rows)
