@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,9 +35,11 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset, a new folder of this machine if Spark runs in this process alone (tests), else an error: on a cluster each machine would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="graphlens-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
