@@ -18,8 +18,6 @@ from graphlens.llm.common import slices, texts
 BLANK = "▁"
 #: Most pre-tokens whose results a worker keeps; beyond that it starts anew with the generation before at hand.
 KEPT = 300_000
-#: A pre-token of more characters is merged with a heap, for synchronous rounds would be as many as its merges.
-LONG = 400
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
@@ -51,6 +49,11 @@ class Vocabulary:
         self.pair_keys, self.pair_to = keys[at], np.array(list(pairs.values()), np.int64)[at]
         self.rank_of = np.full(n, len(order), np.int64)
         self.rank_of[order] = np.arange(len(order))
+        # Pieces of which all occurrences may be merged at once: each piece that has one of them as a half ranks behind it, so none of their neighbours comes first meanwhile.
+        self.at_once = np.ones(n, bool)
+        for (a, b), to in pairs.items():
+            for half in (a, b):
+                self.at_once[half] &= self.rank_of[half] < self.rank_of[to]
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, -1 where it makes none."""
@@ -104,22 +107,16 @@ class Vocabulary:
         return 1 if symbol in self.id else len(symbol.encode())
 
     def merge_counts(self, units: list[str]) -> np.ndarray:
-        """Token counts of units (with their first blanks): all are held as one ragged array of piece ids; each round merges the lowest-ranked pair of every unit at once, the leftmost of equals, and units without a pair leave."""
+        """Token counts of units (with their first blanks): all are held as one ragged array of piece ids; each round merges the lowest-ranked pair of every unit at once, and units without a pair leave. Of equal pairs in a unit the leftmost is merged, and with it, where that can't change what comes next, all that don't overlap from left to right; so the rounds of a very long unit are about as many as its different pieces."""
         out = np.zeros(len(units), np.int64)
-        short = []
-        for k, x in enumerate(units):
-            if len(x) > LONG:
-                out[k] = sum(map(self.count_of, self.heap_merge(x)))
-            else:
-                short.append(k)
-        if not short:
+        if not any(units):
             return out
-        chars = "".join(units[k] for k in short)
+        chars = "".join(units)
         code = np.frombuffer(chars.encode("utf-32-le"), np.uint32)
         distinct, at = np.unique(code, return_inverse=True)
         ids = np.array([self.id.get(chr(c), -1 - len(chr(c).encode())) for c in distinct.tolist()], np.int64)
         sym = ids[at]
-        own = np.repeat(np.array(short), [len(units[k]) for k in short])
+        own = np.repeat(np.arange(len(units)), [len(x) for x in units])
         last = own[1:] != own[:-1]
         to = np.full(len(sym), -1, np.int64)
         to[:-1] = np.where(last, -1, self.merged(sym[:-1], sym[1:]))
@@ -139,7 +136,10 @@ class Vocabulary:
                     break
                 size, least = size[~done], least[~done]
             hit = np.flatnonzero(rank == np.repeat(least, size))
-            hit = hit[np.r_[True, own[hit[1:]] != own[hit[:-1]]]]
+            first = np.r_[True, own[hit[1:]] != own[hit[:-1]]]
+            block = np.r_[True, first[1:] | (hit[1:] != hit[:-1] + 1)]  # pairs of a block overlap, each with the next
+            nth = np.arange(len(hit)) - np.flatnonzero(block)[np.cumsum(block) - 1]
+            hit = hit[first | self.at_once[to[hit]] & (nth % 2 == 0)]
             sym[hit] = to[hit]
             stay = np.ones(len(sym), bool)
             stay[hit + 1] = False

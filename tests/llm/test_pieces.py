@@ -25,10 +25,16 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
-@pytest.mark.parametrize("long", [400, 10])
-def test_counts_are_the_library_s(library, monkeypatch, long):
-    monkeypatch.setattr(pieces, "LONG", long)
-    found = make()
+@pytest.mark.parametrize("seed", [0, 1])
+def test_counts_are_the_library_s(library, seed):
+    found = make(seed=seed)
+    assert pieces.Counts(PATH).of(found) == [len(x) for x in library.encode(found)]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "ethaoin", "abcdefghijklmnopqrstuvwxyzé日", "=", "-_=*", "0123456789", "\n\t", "th"])
+def test_long_units_without_a_blank(library, alphabet):
+    rng = random.Random(alphabet)
+    found = ["".join(rng.choices(alphabet, k=k)) for k in (1, 2, 3, 50, 401, 5000, 30_000)]
     assert pieces.Counts(PATH).of(found) == [len(x) for x in library.encode(found)]
 
 
