@@ -143,12 +143,12 @@ def width(size: int) -> np.dtype:
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int | None, uri: str, partitions: int | None = None) -> DataFrame:
-    """Write the ids of every whole text, end_id appended to each, in ascending doc_id order. Returns the manifest: part int, n_docs long, n_tokens long, base long (ids before the part).
+    """Write the ids of every whole text, end_id appended to each, in ascending doc_id order. Returns the manifest: part int, n_docs long, n_tokens long, nulls long (leading documents without doc_id), base long (ids before the part).
 
     Part k is ids-k.bin (flat little-endian unsigned integers, 16 bits wide if the vocabulary allows it), offsets-k.bin (64-bit starts of its
-    documents inside the part, and the end) and docs-k.bin (64-bit doc_ids). Documents are dealt by ranges of doc_id, equal doc_ids in order of
-    their text; every part is sorted, written under another name and renamed. Bases are prefix sums over the manifest, one row for each part.
-    Rows without doc_id come first and have the doc_id -2^63 in docs-k.bin. No row gives an empty manifest.
+    documents inside the part, and the end) and docs-k.bin (64-bit doc_ids). Documents are dealt by ranges of doc_id and of a hash of their text, so
+    rows of one doc_id and rows without one don't meet in one task; every part is sorted, written under another name and renamed. Bases are prefix sums over the manifest, one row for each part.
+    Rows without doc_id come first and have a 0 in docs-k.bin; the manifest counts them. No row gives an empty manifest.
     """
     spark = docs.sparkSession
     plain = texts(docs)
@@ -161,10 +161,12 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None, uri: str, partitio
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         sizes: list[int] = []
         ids: list[np.ndarray] = []
+        nulls: list[int] = []
 
         def pieces() -> Iterator[bytes]:
             for batch, found in encoded(batches, path):
-                ids.append(np.asarray(batch.column(0).fill_null(-(1 << 63)), "<i8"))
+                ids.append(np.asarray(batch.column(0).fill_null(0), "<i8"))
+                nulls.append(batch.column(0).null_count)
                 for x in found:
                     sizes.append(len(x) // 4 + bool(end))
                     yield np.frombuffer(x, "<u4").astype(kind).tobytes() + end
@@ -173,12 +175,14 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None, uri: str, partitio
         folder.put(f"offsets-{part:06d}.bin", iter([np.concatenate([[0], np.cumsum(sizes, dtype="<i8")]).astype("<i8").tobytes()]))
         folder.put(f"docs-{part:06d}.bin", iter([x.tobytes() for x in ids]))
         if sizes:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["part", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64()), pa.array([sum(nulls)], pa.int64())], names=["part", "n_docs", "n_tokens", "nulls"])
 
-    made = plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, n_docs long, n_tokens long")
+    by = ["doc_id", "salt"]
+    dealt = plain.withColumn("salt", F.xxhash64("text")).repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
+    made = dealt.select("doc_id", "text").mapInArrow(run, "part int, n_docs long, n_tokens long, nulls long")
     rows = sorted(made.collect())  # one row for each part
     before = np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])]).astype(int).tolist()
-    return spark.createDataFrame([(r.part, r.n_docs, r.n_tokens, b) for r, b in zip(rows, before, strict=False)], "part int, n_docs long, n_tokens long, base long")
+    return spark.createDataFrame([(*r, b) for r, b in zip(rows, before, strict=False)], "part int, n_docs long, n_tokens long, nulls long, base long")
 
 
 def read_ids(manifest: DataFrame, uri: str, kind: np.dtype) -> DataFrame:
@@ -187,15 +191,15 @@ def read_ids(manifest: DataFrame, uri: str, kind: np.dtype) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder(uri)
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, base, nulls in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, at, docs = folder.array(f"ids-{part:06d}.bin", kind), folder.array(f"offsets-{part:06d}.bin", np.dtype("<i8")), folder.array(f"docs-{part:06d}.bin", np.dtype("<i8"))
                 for lo in range(0, len(docs), 8192):
                     hi = min(len(docs), lo + 8192)
                     crcs = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[lo:hi].tolist(), at[lo + 1 : hi + 1].tolist(), strict=True)]
                     own = np.asarray(docs[lo:hi])
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == -(1 << 63)), pa.array(at[lo:hi] + base), pa.array(np.diff(at[lo : hi + 1])), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=np.arange(lo, hi) < nulls), pa.array(at[lo:hi] + base), pa.array(np.diff(at[lo : hi + 1])), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("part", "base").repartition(max(1, manifest.count()), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("part", "base", "nulls").repartition(max(1, manifest.count()), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int | None, uri: str | None = None) -> DataFrame:

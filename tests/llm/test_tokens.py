@@ -58,6 +58,8 @@ def test_token_files(spark, library):
 def test_token_files_of_no_and_repeated_rows(spark):
     assert tokens.token_files(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).count() == 0
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (0, None)], "doc_id long, text string")
+    least = tokens.token_files(spark.createDataFrame([(-(1 << 63), "x"), (None, "y"), (None, "z"), (3, "w")], docs.schema), PATH, 2)
+    assert [r.doc_id for r in least.orderBy("start").collect()] == [None, None, -(1 << 63), 3]
     got = sorted((r.start, str(r.doc_id), r.n_tokens) for r in tokens.token_files(docs, PATH, 2).collect())
     assert got == [(0, "None", 2), (2, "0", 1), (3, "1", 3), (6, "1", 3)]
 
