@@ -18,7 +18,7 @@ from graphlens.llm.common import bounded, slices
 
 #: Elements without content, without text of the page, of the frame around an article, and those that begin a new block. Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select datalist".split())
 FRAME = frozenset("nav header footer aside form button menu dialog fieldset label option".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()

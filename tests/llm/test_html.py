@@ -1,6 +1,7 @@
 """Main text of pages: the driver's pages against their article element, and hand-made pages of other builds."""
 
 import html as stdlib
+import random
 import re
 
 import pytest
@@ -27,6 +28,7 @@ PAGES = {
     "list of an article": (f"<article>{P}<ul><li>red<li>green<li>blue</ul></article>", WANT + " red green blue"),
     "words that only look like labels": (f"<article class='adventure threads shadow header-less'>{P}</article>", WANT),
     "a comment with tags": (f"<!-- <p>no</p> --><article>{P}<!-- unfinished", WANT),
+    "formula": (f"<article>{P}<p>The sum <math><mi>a</mi>+<mi>b</mi></math> is <video src=x>shown <b>here</b></video> and <object data=y>there</object>.</p></article>", WANT + " The sum a+b is shown here and there."),
     "nothing": ("<html><head><title>t</title></head><body><nav>a</nav></body></html>", ""),
     "text alone": ("Just a text.", "Just a text."),
     "empty": ("", ""),
@@ -108,3 +110,13 @@ def test_labels_are_evidence_alone(name):
 
 def test_many_labelled_parts():
     assert html.main_text("<body>" + "<div class=ad>x</div>" * 50_000 + f"<div>{P}</div>" + "<div class=ad>" * 3000) == WANT
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_order_of_tags_has_a_text(seed):
+    rng = random.Random(seed)
+    names = sorted(html.BLOCK | html.VOID | html.RAW | html.FRAME | {"a", "b", "span", "math"})
+    attrs = ["", "", "", " class=sidebar", " id='comments'", " hidden", " role=main", ' class="has-sidebar x"', " style='display:none'", " class"]
+    for _ in range(700):
+        parts = [rng.choice(["<{0}{1}>", "</{0}>", "text &amp; more ", "<{0}{1}/>", "<!-- {0} -->", "<{0}", " "]).format(rng.choice(names), rng.choice(attrs)) for _ in range(rng.randrange(60))]
+        assert isinstance(html.main_text("".join(parts)), str)
