@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ SAMPLE = 8_000
 #: Queries of the sample on which the number of probed lists is chosen, and the share of their neighbours that the lists must hold.
 TRIALS, RECALL = 200, 0.97
 #: Most vectors and queries of one list in one task; larger lists are dealt into blocks.
-LIST_ROWS, QUERY_ROWS = 8_192, 4_096
+LIST_ROWS, QUERY_ROWS = 2_048, 1_024
 #: Dimensions of a column block, vectors that are scanned between two looks at the bound, and how sure a test must be (in deviations).
 COLUMNS, ROWS, SURE = 24, 2048, 2.1
 
@@ -127,29 +128,31 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     """(query_id long, rank int, vec_id long, score double): for each vector whose id is divisible by `every` the k others of the largest inner product that its probed lists hold, nearest first, ties to the smaller id.
 
     Scores are inner products of the vectors as given, in double precision. Vectors that are null, zero or hold null or non-finite components take
-    no part, nor do those of another length than most (of equally frequent lengths, the smaller). A query that finds fewer than k others is
+    no part. Vectors have a product with those of their own length alone, so each length is a search of its own. A query that finds fewer than k others is
     compared with every row, so none lacks neighbours. While the sample is the whole table its bound admits the k nearest alone, so any neighbour
-    missed leads there and the result is exact, for queries of at most SAMPLE vectors; in larger tables the lists decide. A repeated id is one vector (the smallest by its components).
-    Copies are candidates each. Other columns are not looked at. No row gives no row.
+    missed leads there and the result is exact, for queries of at most SAMPLE vectors; in larger tables the lists decide. Each row is a
+    candidate for all other rows, and a query of its own if its id is, so rows that repeat an id or a vector count each. Other columns are not looked at. No row gives no row.
 
     Lists of more than LIST_ROWS vectors and more than QUERY_ROWS queries of a list go to several tasks in blocks.
     """
     spark = vectors.sparkSession
     clean = usable(vectors, key, value)
-    sizes = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], result)
-    dim = sizes[0].n
-    clean, clean_at = materialize(clean.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    found = [_nearest(clean, r.n, every, k) for r in clean.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest(clean: DataFrame, dim: int, every: int, k: int) -> DataFrame:
+    """nearest() among the usable vectors of one length."""
+    spark = clean.sparkSession
+    clean, clean_at = materialize(clean.where(F.size("v") == dim).withColumn("row", F.monotonically_increasing_id()), "vectors")
     total = clean.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("v").toArrow().column("v")
     index = fit(_matrix(sample, dim), total.m, total.n, k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = index.lists(index.lift(_matrix(batch.column(1), dim)), 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], names=["vec_id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["vec_id", "v", "row", "list"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +163,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
                 score = np.partition(q @ index.sample.T, -(k + 1), axis=1)[:, -(k + 1)]
                 bound = np.einsum("ij,ij->i", q, q) + index.norm2 - 2 * score
             lists = index.lists(index.turn(q), index.probes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "q", "bound", "lists"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "q", "asker", "bound", "lists"])
 
-    held, held_at = materialize(clean.mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
+    held, held_at = materialize(clean.mapInArrow(assign, "vec_id long, v array<double>, row long, list int"), "lists")
     queries = clean.where(F.col("vec_id") % every == 0)
-    probed = queries.mapInArrow(ask, "query_id long, q array<double>, bound double, lists array<int>").select("query_id", "q", "bound", F.explode("lists").alias("list"))
+    probed = queries.mapInArrow(ask, "query_id long, q array<double>, asker long, bound double, lists array<int>").select("query_id", "q", "asker", "bound", F.explode("lists").alias("list"))
     asked, asked_at = materialize(probed, "probes")
     blocks = {r.list: r.n for r in held.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 lists
     asks = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -175,57 +178,67 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
         with_n = df.join(F.broadcast(table), "list").withColumn(own, F.pmod(F.xxhash64(hash_), F.col(n)).cast("int"))
         return with_n.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("blocks", "asks")
 
-    left = dealt(held, "x", "y", "blocks", "asks", "vec_id").groupBy("list", "x", "y")
-    right = dealt(asked, "y", "x", "asks", "blocks", "query_id").groupBy("list", "x", "y")
+    left = dealt(held, "x", "y", "blocks", "asks", "row").groupBy("list", "x", "y")
+    right = dealt(asked, "y", "x", "asks", "blocks", "asker").groupBy("list", "x", "y")
 
     def search(own: pa.Table, queries_: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
         if not own.num_rows or not queries_.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            return _rows([])
         v, q = _matrix(own.column("v"), dim), _matrix(queries_.column("q"), dim)
-        ids, asking = np.asarray(own.column("vec_id")), np.asarray(queries_.column("query_id"))
         turned, lifted = index.turn(q).astype(np.float32), np.asfortranarray(index.lift(v), np.float32)  # candidates only: scores are exact
-        out = []
-        for i, (qid, bound) in enumerate(zip(asking.tolist(), np.asarray(queries_.column("bound")).tolist(), strict=True)):
-            at = scan(turned[i], lifted, k + 1, bound * (1 + 1e-9) + 1e-9)
-            at = at[ids[at] != qid]
-            score = np.einsum("ij,j->i", v[at], q[i])
-            best = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(best), qid), ids[at][best], score[best]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    found = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    out, _ = materialize(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+        bounds = np.asarray(queries_.column("bound")) * (1 + 1e-9) + 1e-9
+        return _best(own, v, queries_, q, k, lambda i: scan(turned[i], lifted, k + 1, float(bounds[i])))
+
+    out, _ = materialize(_ranked(left.cogroup(right).applyInArrow(search, FOUND), k), "nearest")
     # A query that found fewer than k others, by the lists it did not probe or by a test that gave up a neighbour, looks at all rows, a bounded block of such queries at a time.
-    counts = out.groupBy("query_id").count()
-    few = queries.select(F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").where(F.coalesce("count", F.lit(0)) < min(k, total.n - 1)).select("query_id")
+    counts = out.groupBy("asker").count()
+    few = queries.select(F.col("row").alias("asker")).join(counts, "asker", "left").where(F.coalesce("count", F.lit(0)) < min(k, total.n - 1)).select("asker")
     if few.count():
         rest, _ = materialize(_whole_scan(clean, few, k, dim), "few")
-        out = out.join(few, "query_id", "left_anti").unionByName(rest)
+        out = out.join(few, "asker", "left_anti").unionByName(rest)
     discard(spark, held_at, asked_at)
-    return out
+    return out.drop("asker")
+
+
+FOUND = "asker long, query_id long, vec_id long, score double"
+
+
+def _rows(parts: list[tuple]) -> pa.Table:
+    """Columns of FOUND."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    cols = zip(*parts, strict=True) if parts else [[np.empty(0)]] * 4
+    return pa.table([pa.array(np.concatenate(c)).cast(t) for c, t in zip(cols, kinds, strict=True)], names=["asker", "query_id", "vec_id", "score"])
+
+
+def _best(own: pa.Table, v: np.ndarray, asking: pa.Table, q: np.ndarray, k: int, candidates: Callable[[int], np.ndarray]) -> pa.Table:
+    """For each query the k rows of the largest exact score among its candidates, its own row left out."""
+    ids, rows = np.asarray(own.column("vec_id")), np.asarray(own.column("row"))
+    out = []
+    for i, (asker, qid) in enumerate(zip(asking.column("asker").to_pylist(), asking.column("query_id").to_pylist(), strict=True)):
+        at = candidates(i)
+        at = at[rows[at] != asker]
+        score = np.einsum("ij,j->i", v[at], q[i])
+        best = np.lexsort((ids[at], -score))[:k]
+        out.append((np.full(len(best), asker), np.full(len(best), qid), ids[at][best], score[best]))
+    return _rows(out)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("asker", "query_id", "rank", "vec_id", "score")
 
 
 def _whole_scan(clean: DataFrame, few: DataFrame, k: int, dim: int) -> DataFrame:
     """Exact neighbours of the queries in `few`, from every row: queries go in blocks of at most QUERY_ROWS to each block of rows."""
     blocks = max(1, -(-clean.count() // LIST_ROWS))
     asks = max(1, -(-few.count() // QUERY_ROWS))
-    left = clean.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("y"))
-    q = clean.join(few, clean["vec_id"] == few["query_id"]).select("query_id", F.col("v").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"))
+    left = clean.select("vec_id", "v", "row", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("y"))
+    q = clean.join(few, clean["row"] == few["asker"]).select(F.col("vec_id").alias("query_id"), "asker", F.col("v").alias("q"), F.pmod(F.xxhash64("asker"), F.lit(asks)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"))
 
     def search(own: pa.Table, asking: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if own.num_rows and asking.num_rows:
-            v, ids = _matrix(own.column("v"), dim), np.asarray(own.column("vec_id"))
-            for qid, x in zip(np.asarray(asking.column("query_id")).tolist(), _matrix(asking.column("q"), dim), strict=True):
-                at = np.flatnonzero(ids != qid)
-                score = np.einsum("ij,j->i", v[at], x)
-                best = np.lexsort((ids[at], -score))[:k]
-                out.append((np.full(len(best), qid), ids[at][best], score[best]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    found = left.groupBy("x", "y").cogroup(q.groupBy("x", "y")).applyInArrow(search, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        if not own.num_rows or not asking.num_rows:
+            return _rows([])
+        every = np.arange(own.num_rows)
+        return _best(own, _matrix(own.column("v"), dim), asking, _matrix(asking.column("q"), dim), k, lambda i: every)
+
+    return _ranked(left.groupBy("x", "y").cogroup(q.groupBy("x", "y")).applyInArrow(search, FOUND), k)

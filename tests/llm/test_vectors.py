@@ -68,7 +68,7 @@ def test_rows_that_take_no_part(spark):
     schema = "vec_id long, embedding array<float>"
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, None), (40, [0.0, 0.0]), (60, [nan, 1.0]), (80, [1.0, inf]), (100, [1.0, None]), (None, [1.0, 1.0]), (120, [1.0]), (140, []), (3, [2.0, 1.0]), (3, [2.0, 1.0]), (4, [-1.0, 0.0])]
-    assert ran(spark.createDataFrame(rows, schema)) == {0: [(3, 4.0), (4, -1.0)]}
+    assert ran(spark.createDataFrame(rows, schema)) == {0: [(3, 4.0), (3, 4.0), (4, -1.0)]}
     assert ran(spark.createDataFrame([], schema)) == {} and ran(spark.createDataFrame(rows[1:4], schema)) == {} and ran(spark.createDataFrame(rows[:1], schema)) == {}
 
 
@@ -107,3 +107,10 @@ def test_recall_of_the_lists_beyond_the_sample(spark, monkeypatch):
     got, want = ran(df), brute(np.array([i for i, _ in rows]), np.array([v for _, v in rows], float), 20, 20)
     assert set(got) == set(want) and all(len(r) == 20 for r in got.values())
     assert sum(asked) <= 0.05 * len(want) and recall(got, want) >= 0.9
+
+
+def test_every_row_is_a_candidate_whatever_its_id_and_length(spark):
+    rows = [(20, [1.0, 0.0]), (3, [5.0, 0.0]), (3, [9.0, 0.0]), (40, [0.0, 1.0, 1.0]), (7, [0.0, 2.0, 0.0]), (60, [2.0, 2.0]), (60, [2.0, 2.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    want = [(20, 1, 3, 9.0), (20, 2, 3, 5.0), (20, 3, 60, 2.0), (40, 1, 7, 2.0)] + 2 * [(60, 1, 3, 18.0), (60, 2, 3, 10.0), (60, 3, 60, 8.0)]
+    assert got == sorted(want)
