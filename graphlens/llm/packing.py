@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,44 +22,63 @@ Run = tuple[int, tuple[int, ...]]
 def reduce_dominated(counts: dict[int, int], room: int) -> tuple[list[Run], dict[int, int]]:
     """Sequences that an optimal packing may hold, and the counts that are left (Martello and Toth's reduction, on counts).
 
-    For the longest length a that is left and its spare room - a:
+    For each length a that is left, longest first, and its spare room - a:
     - nothing fits: a is alone;
     - a length fits exactly: the pair dominates all sets with a, for any of them fits into that companion's place;
     - two of the least don't fit together: the longest that fits dominates;
     - three don't, and the longest single companion is at least as long as any pair that fits: it dominates.
-    Each rule fixes as many equal sets at once as the counts allow. The first a without a rule ends it.
+    Each rule fixes as many equal sets at once as the counts allow; a length that no rule holds for is passed over. What has been fixed leaves
+    fewer companions to others, so all lengths are looked at again until no rule holds for any.
     """
-    left, fixed = Counter({k: v for k, v in counts.items() if v}), []
+    left, fixed = {k: v for k, v in counts.items() if v}, []
     lengths = sorted(left)
 
-    def smallest(k: int, without: int) -> list[int]:
-        out: list[int] = []
-        for x in lengths:
-            out += [x] * min(k - len(out), left[x] - (x == without))
-            if len(out) == k:
-                break
-        return out
+    def take(a: int, n: int) -> None:
+        left[a] -= n
+        if not left[a]:
+            lengths.pop(bisect_left(lengths, a))
 
-    while lengths:
-        a = lengths[-1]
+    def companion(a: int) -> int | None:
+        """The length that a's sequence holds besides in some optimal packing, 0 for none; None if no rule tells."""
         spare = room - a
-        fits = [x for x in lengths if x <= spare and left[x] - (x == a) > 0]
-        if not fits:
-            fixed.append((left[a], (a,)))
-            left[a] = 0
-        else:
-            b, low = fits[-1], smallest(3, a)
-            sure = b == spare or len(low) < 2 or low[0] + low[1] > spare
-            if not sure and (len(low) < 3 or sum(low) > spare):
-                pair = max((x + y for i, x in enumerate(fits) for y in fits[i:] if x + y <= spare and (x != y or left[x] - (x == a) > 1)), default=0)
-                sure = b >= pair
-            if not sure:
+        if spare != a and left.get(spare) or spare == a and left[a] > 1:
+            return spare
+        free = lambda x: left[x] - (x == a)
+        fits = bisect_right(lengths, spare)
+        b = next((x for x in reversed(lengths[max(0, fits - 2) : fits]) if free(x)), 0)
+        if not b:
+            return 0
+        low: list[int] = []
+        for x in lengths[:fits]:
+            low += [x] * min(3 - len(low), free(x))
+            if len(low) == 3:
                 break
-            n = left[a] // 2 if a == b else min(left[a], left[b])
-            fixed.append((n, (a, b)))
-            left[a] -= n
-            left[b] -= n
-        lengths = [x for x in lengths if left[x] > 0]
+        if len(low) < 2 or low[0] + low[1] > spare:
+            return b
+        if len(low) == 3 and sum(low) <= spare:
+            return None
+        i, j, pair = 0, fits - 1, 0  # the longest pair that fits, from both ends
+        while i <= j:
+            x, y = lengths[i], lengths[j]
+            if x + y > spare or not free(y):
+                j -= 1
+                continue
+            if free(x) and (x != y or free(x) > 1):
+                pair = max(pair, x + y)
+            i += 1
+        return b if b >= pair else None
+
+    changed = True
+    while changed:
+        changed = False
+        for a in lengths[::-1]:
+            while left[a] and (b := companion(a)) is not None:
+                n = left[a] if not b else left[a] // 2 if a == b else min(left[a], left[b])
+                fixed.append((n, (a, b) if b else (a,)))
+                take(a, n)
+                if b:
+                    take(b, n)
+                changed = True
     return fixed, {x: left[x] for x in lengths}
 
 
