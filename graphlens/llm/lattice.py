@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import Memo, slices, texts
+from graphlens.llm.common import Memo, materialize, slices, texts
 from graphlens.llm.pieces import BLANK, Vocabulary, vocabulary
 
 #: Characters of a chunk. Documents of less than two chunks are encoded in one piece.
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 #: Units whose ids a worker keeps, besides the generation before, and pairs whose weights it keeps.
 KEPT, KEPT_PAIRS = 200_000, 300_000
-#: Chunks whose matrices are multiplied to one before the scan goes over the products.
+#: Chunks whose matrices are multiplied to one in a round.
 BLOCK = 64
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,8 +43,8 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return {s: frozenset().union(*(b.get(m, ()) for m in mid)) for s, mid in a.items()}
 
 
-def boundary_states(matrices: list[Matrix], block: int = BLOCK) -> list[State]:
-    """The path's state at each boundary, the text's begin and end included: a scan over products of blocks, then inside each block, then back."""
+def boundary_states(matrices: list[Matrix], block: int = BLOCK, entry: State = BEGIN, leave: State | None = None) -> list[State]:
+    """The path's state at each boundary, from the entry state to the one where it leaves (the only one that it can reach, if none is given): a scan over products of blocks, then inside each block, then back."""
     first = range(0, len(matrices), block)
     whole = []
     for i in first:
@@ -52,7 +52,7 @@ def boundary_states(matrices: list[Matrix], block: int = BLOCK) -> list[State]:
         for x in matrices[i + 1 : i + block]:
             m = product(m, x)
         whole.append(m)
-    ahead: list[frozenset[State]] = [frozenset([BEGIN])]
+    ahead: list[frozenset[State]] = [frozenset([entry])]
     for m in whole:
         ahead.append(frozenset().union(*(m.get(s, ()) for s in ahead[-1])))
     reached = []
@@ -60,7 +60,7 @@ def boundary_states(matrices: list[Matrix], block: int = BLOCK) -> list[State]:
         reached.append(ahead[k])
         for m in matrices[i : i + block][:-1]:
             reached.append(frozenset().union(*(m.get(s, ()) for s in reached[-1])))
-    (state,) = ahead[-1]
+    (state,) = ahead[-1] if leave is None else (leave,)
     out = [state]
     for m, states in zip(reversed(matrices), reversed(reached), strict=True):
         (state,) = (s for s in states if state in m.get(s, ()))
@@ -293,15 +293,58 @@ def chunks(text: str, size: int, around: int) -> list[tuple[int, int, str, int,
     return out
 
 
-def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
+def _flat(m: Matrix) -> list[int]:
+    return [v for left, rights in m.items() for right in sorted(rights) for v in (*left, *right)]
+
+
+def _matrix(flat: list[int]) -> Matrix:
+    m: dict[State, set[State]] = {}
+    for a, b, c, d in np.asarray(flat, np.int64).reshape(-1, 4).tolist():
+        m.setdefault((a, b), set()).add((c, d))
+    return {left: frozenset(rights) for left, rights in m.items()}
+
+
+def states_of(matrices: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """matrices(row long, k int, m array<int>) of at most `most` chunks a row -> (row, k, states array<int>): the states at each chunk's two boundaries.
+
+    Spark rounds go up a tree: each multiplies the matrices of up to `block` neighbours, so that few are left of each row. Their scan gives the
+    states at the topmost boundaries, and rounds down the tree those inside each product. No task holds more than `block` matrices of a row.
+    """
+    levels = [matrices]
+    while most > block:
+        most = -(-most // block)
+
+        def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("k")
+            return pd.DataFrame({"row": pdf["row"][:1], "k": pdf["k"][:1] // block, "m": [_flat(reduce(product, map(_matrix, pdf["m"])))]})
+
+        levels.append(materialize(levels[-1].groupBy("row", F.floor(F.col("k") / block).alias("up")).applyInPandas(multiply, "row long, k int, m array<int>"), "products")[0])
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        ends = pdf["ends"].iloc[0] if "ends" in pdf else None
+        entry, leave = (BEGIN, None) if ends is None else (tuple(ends[:2]), tuple(ends[2:]))
+        states = boundary_states(list(map(_matrix, pdf["m"])), block, entry, leave)
+        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "states": [[*a, *b] for a, b in zip(states, states[1:], strict=False)]})
+
+    made = "row long, k int, states array<int>"
+    found = levels.pop().groupBy("row").applyInPandas(scan, made)
+    while levels:
+        above = found.select("row", F.col("k").alias("up"), F.col("states").alias("ends"))
+        below = levels.pop().withColumn("up", F.floor(F.col("k") / block).cast("int"))
+        found = below.join(above, ["row", "up"]).groupBy("row", "up").applyInPandas(scan, made)
+    return found
+
+
+def encode(docs: DataFrame, path: str, size: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(doc_id, ids binary: little-endian uint32), a row for each row of docs: the ids of its whole text as the sentencepiece library gives them for the BPE model at path, without begin and end.
 
-    Texts of less than two chunks go in one piece. A longer one becomes rows of chunks: each gives its transfer matrix, the document's matrices (a few
-    hundred bytes a chunk) are combined to the states at its boundaries, and each chunk is backtraced between its two states by a task of its own.
-    Null and empty texts have no id. Repeated rows repeat. Other columns of docs are not looked at. No row gives no row.
+    Texts of less than two chunks go in one piece. A longer one becomes rows of chunks, written to the shared folder: each gives its transfer
+    matrix (a few hundred bytes), rounds combine a document's matrices to the states at its boundaries (see states_of), and each chunk is backtraced
+    between its two states by a task of its own. Null and empty texts have no id. Repeated rows repeat. Other columns of docs are not looked at. No row gives no row.
     """
     plain = texts(docs)
-    kind = plain.schema["doc_id"].dataType.simpleString()
+    spark, kind = plain.sparkSession, plain.schema["doc_id"].dataType.simpleString()
     giant = F.length("text") + 1 >= 2 * size
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,42 +353,30 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
             own.turn()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.text(x.decode(errors="replace")) for x in found], pa.binary())], names=["doc_id", "ids"])
 
-    once = plain.where(giant).groupBy("doc_id", "text").count().withColumn("crc", F.crc32("text"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "crc", "copies", "k", "n", "s", "lo", "hi", "begin", "end"]
         for batch, found in slices(batches):
             for i, x in enumerate(found):
                 rows = chunks(x.decode(errors="replace"), size, lattice(path).longest)
                 for at in range(0, len(rows), 64):
                     cols = list(zip(*rows[at : at + 64], strict=True))
-                    same = [batch.column(c).take(pa.array([i] * len(cols[0]))) for c in (0, 3, 2)]
-                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True))], names=names)
+                    same = [batch.column(c).take(pa.array([i] * len(cols[0]))) for c in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True))], names=["doc_id", "row", "k", "n", "s", "lo", "hi", "begin", "end"])
 
-    parts = once.mapInArrow(cut, f"doc_id {kind}, crc long, copies long, k int, n int, s string, lo int, hi int, begin boolean, end boolean").repartition("doc_id", "crc", "k")
+    # Written once, so a row's number stays what it is; it tells rows apart whose ids and texts are alike.
+    numbered = plain.where(giant).withColumn("row", F.monotonically_increasing_id())
+    parts, _ = materialize(numbered.mapInArrow(cut, f"doc_id {kind}, row long, k int, n int, s string, lo int, hi int, begin boolean, end boolean"), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(["s", "lo", "hi", "begin", "end"]).to_pylist()
-            found = [lattice(path).transfer(r["s"], r["lo"], r["hi"], r["begin"], r["end"]) for r in rows]
-            flat = [[v for left, rights in m.items() for right in sorted(rights) for v in (*left, *right)] for m in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "crc", "k")), pa.array(flat, pa.list_(pa.int32()))], names=["doc_id", "crc", "k", "m"])
+            flat = [_flat(lattice(path).transfer(r["s"], r["lo"], r["hi"], r["begin"], r["end"])) for r in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k")), pa.array(flat, pa.list_(pa.int32()))], names=["row", "k", "m"])
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        all_: list[Matrix] = []
-        for flat in pdf["m"]:
-            m: dict[State, set[State]] = {}
-            for a, b, c, d in np.asarray(flat).reshape(-1, 4).tolist():
-                m.setdefault((a, b), set()).add((c, d))
-            all_.append({left: frozenset(rights) for left, rights in m.items()})
-        states = boundary_states(all_)
-        flat = [[*a, *b] for a, b in zip(states, states[1:], strict=False)]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "crc": pdf["crc"], "k": pdf["k"], "states": flat})
-
-    found = parts.mapInArrow(matrices, f"doc_id {kind}, crc long, k int, m array<int>").groupBy("doc_id", "crc").applyInPandas(scan, f"doc_id {kind}, crc long, k int, states array<int>")
-    same = [parts[c].eqNullSafe(found[c]) for c in ("doc_id", "crc", "k")]
-    both = parts.join(found, same[0] & same[1] & same[2]).select(parts["doc_id"], parts["crc"], "copies", parts["k"], "s", "lo", "hi", "states")
+    # A giant text's chunks were written by one task; they are dealt anew.
+    even = parts.repartition("row", "k")
+    made, _ = materialize(even.select("row", "k", "s", "lo", "hi", "begin", "end").mapInArrow(matrices, "row long, k int, m array<int>"), "matrices")
+    most = parts.agg(F.max("n")).first()[0] or 0
+    both = parts.select("doc_id", "row", "k", "s", "lo", "hi").join(states_of(made, most, block), ["row", "k"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,12 +385,16 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
                 a, b, c, d = r["states"]
                 lattice(path).turn()
                 ids.append(lattice(path).chunk(r["s"], r["lo"], r["hi"], (a, b), (c, d)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "crc", "copies", "k")), pa.array(ids, pa.binary())], names=["doc_id", "crc", "copies", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "k")), pa.array(ids, pa.binary())], names=["doc_id", "row", "k", "ids"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [b"".join(x["ids"] for x in sorted(found, key=lambda x: x["k"])) for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    traced = both.mapInArrow(trace, f"doc_id {kind}, crc long, copies long, k int, ids binary")
-    whole = traced.groupBy("doc_id", "crc", "copies").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    long_ = whole.select("doc_id", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
-    return plain.where(~giant).mapInArrow(short, f"doc_id {kind}, ids binary").unionByName(long_)
+    traced = both.mapInArrow(trace, f"doc_id {kind}, row long, k int, ids binary")
+    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids")).alias("found"))
+    return plain.where(~giant).mapInArrow(short, f"doc_id {kind}, ids binary").unionByName(whole.select("doc_id", "found").mapInArrow(put_together, f"doc_id {kind}, ids binary"))
 
 
 def decode_ids(ids: bytes, vocab: Vocabulary) -> str:

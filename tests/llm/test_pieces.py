@@ -89,6 +89,13 @@ def test_round_trip(spark, library):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("block", [2, 64])
+def test_whole_table_in_small_chunks(spark, library, block):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: bytes(r.ids) for r in lattice.encode(docs, PATH, size=300, block=block).collect()}
+    assert got == {r.doc_id: np.array(library.encode(r.text or ""), "<u4").tobytes() for r in docs.collect()}
+
+
 def test_decode(spark):
     docs = spark.createDataFrame([(1, "a  b\n"), (2, None), (3, "日Ⅳ")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in lattice.decode(lattice.encode(docs, PATH), PATH).collect()}
