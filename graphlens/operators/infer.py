@@ -21,20 +21,20 @@ NON_ANSWERS = frozenset(("unknown", "none", "null", "n/a", "na", "undefined", "u
 Model = Callable[[list[str]], list[str]]
 
 
-def candidate_pool(config_hosts: DataFrame, services: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, reason, rank): hosts of configuration, declared services, hosts of other calls; the first reason of a name wins, MAX_CANDIDATES at most by rank."""
+def candidate_pool(config_hosts: DataFrame, services: DataFrame, edges: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+    """(name, reason, rank): hosts of configuration, declared services, hosts of other calls; the first reason of a name wins, `most` names at most by rank."""
     parts = [config_hosts.select(F.col("host").alias("name"), F.lit("configured host").alias("reason"), F.lit(0).alias("p")), services.select("name", F.lit("declared service").alias("reason"), F.lit(1).alias("p")), edges.where("host is not null").select(F.col("host").alias("name"), F.lit("host of another call").alias("reason"), F.lit(2).alias("p"))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.min_by("reason", "p").alias("reason"), F.min("p").alias("p"))
-    return rows.orderBy("p", "name").limit(MAX_CANDIDATES).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("p", "name"))).drop("p")
+    return rows.orderBy("p", "name").limit(most).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("p", "name"))).drop("p")
 
 
-def prompts(edges: DataFrame, files: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(call_id, prompt, prompt_sha, names) for external candidates without a host, in order of place; asked is false beyond MAX_CALLS, so no call vanishes."""
+def prompts(edges: DataFrame, files: DataFrame, candidates: DataFrame, most: int = MAX_CALLS) -> DataFrame:
+    """(call_id, prompt, prompt_sha, names) for external candidates without a host; asked is true for the first `most` by place, so no call vanishes."""
     todo = edges.where("status = 'external_candidate' and host is null")
-    nth = F.row_number().over(Window.partitionBy().orderBy("file", "line", "ord"))
+    first = todo.orderBy("file", "line", "ord").limit(most).select("call_id", F.lit(True).alias("_first"))
     lines = files.select(F.col("path").alias("file"), F.split("text", "\n").alias("lines"))
     names = candidates.agg(F.array_sort(F.collect_list(F.struct("rank", "name", "reason"))).alias("c"))
-    made = todo.withColumn("asked", nth <= MAX_CALLS).join(lines, "file", "left").join(names, F.lit(True), "left")
+    made = todo.join(first, "call_id", "left").withColumn("asked", F.col("_first").isNotNull()).join(lines, "file", "left").join(names, F.lit(True), "left")
     window = context_window(F.col("lines"), F.col("line"))
     evidence = F.array_compact(F.array(F.concat(F.lit("callee: "), "callee_expr"), F.when(F.coalesce("argument", F.lit("")) != "", F.concat(F.lit("argument: "), "argument")), F.when(F.col("flow_source").isNotNull(), F.concat(F.lit("source: "), "flow_source")), F.when(F.col("literal_reason").isNotNull(), F.concat(F.lit("note: "), "literal_reason"))))
     offered = F.array_join(F.transform(F.col("c"), lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["reason"], F.lit(")"))), "\n")

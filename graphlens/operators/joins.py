@@ -8,15 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def preferred_matches(calls: DataFrame, defs: DataFrame, call_id: str) -> DataFrame:
-    """calls(call_id, file, name) with each def(file, name, ...) of its name: those of its own file if there are any, else all. A column same tells which."""
-    found = calls.join(defs.withColumnRenamed("file", "def_file"), "name").withColumn("same", F.col("file") == F.col("def_file"))
-    own = found.where("same").select(call_id).distinct().withColumn("has_same", F.lit(True))
-    return found.join(own, call_id, "left").where(F.col("same") | F.col("has_same").isNull()).drop("has_same")
+def preferred_targets(calls: DataFrame, defs: DataFrame, call_id: str, target: str, order: str) -> DataFrame:
+    """calls(call_id, file, name), defs(file, name, target, order) -> (call_id, targets): the distinct targets of the call's name, those of its own file if there are any, else all; by file and order.
+
+    Targets are gathered by name and by file before the join, so a common name joins one row to each call, never each of its definitions.
+    """
+    one = defs.groupBy("name", "file", target).agg(F.min(order).alias("_o"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["_t"])
+    by_file = one.groupBy("name", "file").agg(ordered(F.struct("_o", F.col(target).alias("_t"))).alias("_own"))
+    first = one.groupBy("name", target).agg(F.min(F.struct("file", "_o")).alias("_at"))
+    by_name = first.groupBy("name").agg(ordered(F.struct("_at", F.col(target).alias("_t"))).alias("_all"))
+    both = calls.join(by_name, "name").join(by_file, ["name", "file"], "left")
+    return both.select(call_id, F.coalesce("_own", "_all").alias("targets"))
 
 
 def preferred_matches_summary(calls: DataFrame, defs: DataFrame, call_id: str, def_id: str) -> DataFrame:
-    """Of preferred_matches: (call_id, n_targets, first_target, preferred), from counts per name and file, so that a common name isn't joined row by row."""
+    """Of preferred_targets: (call_id, n_targets, first_target, preferred: of its own file), from counts per name and file alone."""
     by_file = defs.groupBy("name", "file").agg(F.count("*").alias("own_n"), F.min(def_id).alias("own_first"))
     by_name = by_file.groupBy("name").agg(F.sum("own_n").alias("all_n"), F.min("own_first").alias("all_first"))
     both = calls.join(by_name, "name").join(by_file, ["name", "file"], "left")

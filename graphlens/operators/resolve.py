@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.args import enclosing_class, head_name, tail_name
-from graphlens.operators.joins import first_pattern, preferred_matches
+from graphlens.operators.joins import first_pattern, preferred_targets
 
 #: Calls of client libraries by the whole callee, in the order in which they win. Fixed values.
 CLIENT_PATTERNS = (
@@ -73,8 +73,8 @@ def resolve(calls: DataFrame, definitions: DataFrame, scip_refs: DataFrame | Non
     names = d.groupBy("qualified_name").agg(F.min("def_ord").alias("_o")).select(F.col("qualified_name").alias("_wanted"), F.lit(True).alias("_there"))
     base = base.withColumn("_wanted", wanted).join(names, "_wanted", "left").withColumn("lexical", F.when(F.col("_there"), F.array("_wanted")))
     if tail_names:
-        tails = preferred_matches(c.select("call_id", "file", tail_name(F.col("callee_expr")).alias("name")), definitions.select("name", "file", "qualified_name", F.col("ord").alias("def_ord")), "call_id")
-        base = base.join(_targets(tails, "tail_targets"), "call_id", "left")
+        tails = preferred_targets(c.select("call_id", "file", tail_name(F.col("callee_expr")).alias("name")), definitions, "call_id", "qualified_name", "ord")
+        base = base.join(tails.withColumnRenamed("targets", "tail_targets"), "call_id", "left")
     else:
         base = base.withColumn("tail_targets", F.lit(None).cast("array<string>"))
     lexical = F.col("covered").isNull() & F.col("lexical").isNotNull()

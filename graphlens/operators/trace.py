@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.args import classify, first_argument, identifier_roots, string_literal_value
 from graphlens.functions.hosts import env_key, is_plausible_host, literal_text, static_host, url_authority
 from graphlens.functions.text import append_note
+from graphlens.operators.joins import asof_before
 
 
 def literals(edges: DataFrame) -> DataFrame:
@@ -23,12 +24,14 @@ def literals(edges: DataFrame) -> DataFrame:
 def constants(edges: DataFrame, assignments: DataFrame) -> DataFrame:
     """External candidates without a literal whose argument names a variable: the last assignment above the call in its file, of the first name (by rank) whose last assignment is a usable string. Adds constprop_name.
 
-    An as-of join by file and name: for each candidate name the assignment with the greatest line below the call's; then the best rank.
+    An as-of join by file and name for each candidate name, which makes no pair of a use and an assignment; then the best rank.
     """
-    todo = edges.where("status = 'external_candidate' and coalesce(literal, '') = ''").select("call_id", "file", F.col("line").alias("call_line"), F.posexplode(F.filter(identifier_roots(F.col("argument")), lambda x: ~x.contains("."))).alias("rank", "name"))
-    sets = assignments.select("file", "name", F.col("line").alias("set_line"), "ord", "value", F.col("host").alias("set_host"))
-    last = todo.join(sets, ["file", "name"]).where("set_line < call_line").groupBy("call_id", "rank", "name").agg(F.max_by(F.struct("value", "set_host"), F.struct("set_line", "ord")).alias("s"))
-    best = last.where("s.value is not null").groupBy("call_id").agg(F.min_by(F.struct("name", "s.value", "s.set_host"), "rank").alias("_s"))
+    todo = edges.where("status = 'external_candidate' and coalesce(literal, '') = ''").select("call_id", "file", "line", F.posexplode(F.filter(identifier_roots(F.col("argument")), lambda x: ~x.contains("."))).alias("rank", "name"))
+    # Of a line, uses come before all assignments.
+    uses = todo.select("file", "name", F.struct("line", F.lit(-1).alias("ord")).alias("at"), F.struct("call_id", "rank").alias("use"))
+    sets = assignments.select("file", "name", F.struct("line", "ord").alias("at"), F.struct("value", F.col("host").alias("set_host")).alias("s"))
+    last = asof_before(uses, sets, ["file", "name"], "at", "s", "use").where("s.value is not null")
+    best = last.groupBy("use.call_id").agg(F.min_by(F.struct("name", "s.value", "s.set_host"), "use.rank").alias("_s"))
     made = edges.join(best, "call_id", "left")
     hit = F.col("_s").isNotNull()
     for column, value in (("literal", F.col("_s.value")), ("literal_method", F.lit("const_prop")), ("host", F.col("_s.set_host"))):

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -119,14 +119,16 @@ def classified(raw: DataFrame, max_source: int = MAX_SOURCE_BYTES, max_other: in
 
 
 def discover(raw: DataFrame, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
-    """(files, gaps): classified files in path order, the first max_files of them taken, the rest counted with ten samples; vendored folders and skipped files are gaps too."""
+    """(files, gaps): classified files, the first max_files of them by path taken, the rest counted with ten samples; vendored folders and skipped files are gaps too."""
     from graphlens.operators.gaps import gap
 
-    files = classified(raw).withColumn("_n", F.row_number().over(Window.partitionBy().orderBy("path")))
-    over = files.where(F.col("_n") > max_files).agg(F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("path")), 1, 10).alias("samples")).where(F.col("count") > 0)
+    files = classified(raw)
+    kept = files.orderBy("path").limit(max_files)
+    beyond = files.select("path").join(kept.select("path"), "path", "left_anti")
+    samples = beyond.orderBy("path").limit(10).agg(F.array_sort(F.collect_list("path")).alias("samples"))
+    over = beyond.agg(F.count("*").alias("count")).where(F.col("count") > 0).crossJoin(samples)  # one row each
     parts = F.split("path", "/")
     vendored = raw.where(in_vendored_dir(F.col("path"))).withColumn("dir", F.element_at(F.filter(parts, lambda x: x.isin(*SKIP_DIRS)), 1)).groupBy("dir").agg(F.count("*").alias("count"))
-    kept = files.where(F.col("_n") <= max_files).drop("_n")
     gaps = gap(vendored, "discover", "repo", "vendored_dir", detail=F.col("dir"), impact="files of others are not analysed", count=F.col("count"))
     gaps = gaps.unionByName(gap(over, "discover", "repo", "file_cap", detail=F.lit(f"more than {max_files} files"), impact="these files are missing from the graph", count=F.col("count"), samples=F.col("samples")))
     skipped = kept.where("skipped")

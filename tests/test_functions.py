@@ -140,8 +140,8 @@ def test_index_tables(spark, tmp_path):
 def test_joins(spark):
     calls = spark.createDataFrame([(1, "f", "n"), (2, "g", "n"), (3, "f", "m")], "id int, file string, name string")
     defs = spark.createDataFrame([("n", "f", 10), ("n", "h", 11), ("n", "f", 12)], "name string, file string, d int")
-    got = sorted((r.id, r.d) for r in joins.preferred_matches(calls, defs, "id").collect())
-    assert got == [(1, 10), (1, 12), (2, 10), (2, 11), (2, 12)]
+    got = {r.id: r.targets for r in joins.preferred_targets(calls, defs, "id", "d", "d").collect()}
+    assert got == {1: [10, 12], 2: [10, 12, 11]}
     assert sorted(tuple(r) for r in joins.preferred_matches_summary(calls, defs, "id", "d").collect()) == [(1, 2, 10, True), (2, 3, 10, False)]
     uses, sets = spark.createDataFrame([("k", 5, 1), ("k", 1, 2), ("j", 5, 3)], "key string, at int, id int"), spark.createDataFrame([("k", 1, "a"), ("k", 4, "b"), ("k", 4, "c"), ("k", 5, "d")], "key string, at int, v string")
     assert {r.id: r.v for r in joins.asof_before(uses, sets, ["key"], "at", "v", "id").collect()} == {1: "c", 2: None, 3: None}
