@@ -23,7 +23,7 @@ from graphlens.llm.common import Memo, materialize, slices, texts
 from graphlens.llm.pieces import BLANK, Vocabulary, vocabulary
 
 #: Characters of a chunk. Documents of less than two chunks are encoded in one piece.
-CHUNK = 1 << 13
+CHUNK = 1 << 15
 #: Units whose ids a worker keeps, besides the generation before, and pairs whose weights it keeps.
 KEPT, KEPT_PAIRS = 200_000, 300_000
 #: Chunks whose matrices are multiplied to one in a round.
