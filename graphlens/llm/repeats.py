@@ -9,13 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.llm.common import bounded, discard, materialize, mix, slices
 
-#: Rounds of naming. More rounds make longer symbols, which need more of a window around them to be sure.
+#: Rounds of naming inside a task. More rounds make longer symbols, which need more of a window around them to be sure.
 ROUNDS = 3
+#: Rounds of naming in Spark above them: a symbol of the last holds up to two to this power marks.
+ABOVE = 3
 #: Most words whose hashes a worker keeps; beyond that it starts anew.
 KEPT = 200_000
 #: Bytes of text whose words are arrays at a time: these take some 40 times as much memory.
@@ -164,14 +166,48 @@ def _free(spark) -> None:
     spark._jvm.System.gc()
 
 
+def shared_symbols(marks_: DataFrame, rounds: int = ABOVE) -> tuple[DataFrame, list[str]]:
+    """Marks (doc_id, crc, s, n, step, times, k, r) -> (doc_id, crc, s, n, lo, leaves) and the paths of the tables behind it: each document's marks in symbols, by recompression.
+
+    In each round two classes of names say which neighbours (the second beginning where the first's windows end) make a pair. A pair's name stands
+    for the names of its halves, the same in every document, and Spark gathers in which documents it occurs: a pair of one document alone falls
+    apart again, one of several is a symbol from then on. lo is the smallest doc_id that has the symbol (null for a single mark), leaves are its marks.
+    Equal symbols are equal words as a whole, so all but the smallest doc_id's are repeats, whatever their marks are.
+    """
+    spark = marks_.sparkSession
+    now = marks_.distinct().select("doc_id", "crc", "s", "n", (F.col("times") == 1).alias("whole"), F.col("k").alias("a"), F.col("r").alias("b"), F.lit(None).cast(marks_.schema["doc_id"].dataType).alias("lo"), F.array(F.struct("s", "n", "step", "times", "k", "r")).alias("leaves"))
+    paths: list[str] = []
+    for j in range(1, rounds + 1):
+        w = Window.partitionBy("doc_id", "crc").orderBy("s")
+        rows = now.withColumn("right", F.xxhash64("a", "b", F.lit(j)).bitwiseAND(1) == 1)
+        rows = rows.withColumn("after", F.lead(F.struct("s", "n", "a", "b", "right", "whole", "leaves")).over(w)).withColumn("before", F.lag(F.struct("s", "n", "a", "b", "right", "whole")).over(w))
+        first = F.col("whole") & ~F.col("right") & F.col("after.whole") & F.col("after.right") & (F.col("after.s") == F.col("s") + F.col("n"))
+        second = F.col("whole") & F.col("right") & F.col("before.whole") & ~F.col("before.right") & (F.col("before.s") + F.col("before.n") == F.col("s"))
+        halves = F.when(first, F.struct("a", "b", F.col("after.a").alias("c"), F.col("after.b").alias("d"))).when(second, F.struct(F.col("before.a").alias("a"), F.col("before.b").alias("b"), F.col("a").alias("c"), F.col("b").alias("d")))
+        rows = rows.withColumn("first", F.coalesce(first, F.lit(False))).withColumn("halves", halves).drop("before", "right")
+        rows = rows.withColumn("pa", F.when(F.col("halves").isNotNull(), F.xxhash64("halves", F.lit(j)))).withColumn("pb", F.when(F.col("halves").isNotNull(), F.xxhash64(F.lit(-j), "halves.c", "halves.d", "halves.a", "halves.b"))).drop("halves")
+        rows, rows_at = materialize(rows, "pairs")
+        names, names_at = materialize(rows.where("first").groupBy("pa", "pb").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("pa", "pb", "least"), "names")
+        paired = rows.where("pa is not null").join(names, ["pa", "pb"], "left").where("least is null or first")
+        yes = F.col("least").isNotNull()
+        made = {"n": F.col("n") + F.col("after.n"), "a": F.col("pa"), "b": F.col("pb"), "lo": F.col("least"), "leaves": F.concat("leaves", "after.leaves")}
+        paired = paired.select(*(F.when(yes, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in now.columns))
+        now, now_at = materialize(rows.where("pa is null").select(*now.columns).unionByName(paired), "symbols")
+        discard(spark, rows_at, names_at, *paths)
+        paths = [now_at]
+    return now.select("doc_id", "crc", "s", "n", "lo", "leaves"), paths
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, text, crc) -> (doc_id, crc, spans array<struct<s int, e int>>), a row for each document with a word that a window repeated from a smaller doc_id covers; spans are its words' places, disjoint and ascending.
 
     1. One pass over the texts makes marks (see `marks`), about one for every twenty words; a run of equal marks of
        a document, as in texts that repeat themselves, is one row.
     2. Keys that occur in one document alone go. Equal windows have equal keys.
-    3. Of equal regions, all but those of the smallest doc_id are covered as a whole.
-    4. Where a key has several regions, one document for each region (the smallest) gives the hashes of its windows, 128 bits each, and a
+    3. Spark rounds name pairs of neighbouring marks, again and again (see `shared_symbols`). Of equal symbols, all but those of the smallest
+       doc_id are covered as a whole; only marks that no symbol decides go on.
+    4. Of equal regions, all but those of the smallest doc_id are covered as a whole.
+    5. Where a key has several regions, one document for each region (the smallest) gives the hashes of its windows, 128 bits each, and a
        window is covered where a smaller doc_id has the same.
     All grouping is by partial aggregates of minima and by joins that can be split, so a passage in a third of the documents gathers nowhere.
     """
@@ -199,7 +235,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
     least, least_at = materialize(cand.groupBy("k", "r").agg(F.min("doc_id").alias("d0")), "least")
     split, split_at = materialize(least.groupBy("k").agg(F.count("*").alias("regions")).where("regions > 1"), "split")
     regions, regions_at = materialize(least.join(split, "k", "left"), "regions")
-    seen, seen_at = materialize(cand.join(regions, ["k", "r"]).select("doc_id", "crc", "s", "n", "step", "times", "d0", "regions").where("doc_id > d0 or regions is not null"), "seen")
+    top, top_at = shared_symbols(cand)
+    copied = top.where("doc_id > lo").select("doc_id", "crc", F.array(F.struct("s", F.expr(f"cast(s + n - 1 + {window} as int)").alias("e"))).alias("at"))
+    left = top.where("lo is null or doc_id = lo").select("doc_id", "crc", F.explode("leaves").alias("x")).select("doc_id", "crc", "x.*")
+    seen, seen_at = materialize(left.join(regions, ["k", "r"]).select("doc_id", "crc", "s", "n", "step", "times", "d0", "regions").where("doc_id > d0 or regions is not null"), "seen")
     discard(spark, cand_at, least_at, split_at, regions_at)
     _free(spark)
     whole = seen.where("doc_id > d0").select("doc_id", "crc", _places(F.col("n") - 1 + window).alias("at"))
@@ -230,9 +269,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
             spans = [[{"s": s, "e": e} for s, e in _spans([(x["s"], x["e"]) for places in row for x in places])] for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "crc", "spans"])
 
-    found = whole.unionByName(single).groupBy("doc_id", "crc").agg(F.collect_list("at").alias("spans"))
+    found = whole.unionByName(single).unionByName(copied).groupBy("doc_id", "crc").agg(F.collect_list("at").alias("spans"))
     out, _ = materialize(found.mapInArrow(merge, f"doc_id {kind}, crc long, spans array<struct<s:int,e:int>>"), "spans")
-    discard(spark, seen_at, windows_at, least_at)
+    discard(spark, seen_at, windows_at, least_at, *top_at)
     _free(spark)
     return out
 

@@ -92,3 +92,22 @@ def test_periodic_texts(spark, period):
     rng.shuffle(rows)
     rows = [(d, " ".join(x)) for d, x in rows]
     assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == want(rows)
+
+
+def test_symbols_of_copies_are_long(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    rows = [(d, " ".join([f"h{d}", *base, f"t{d}"])) for d in range(6)] + [(9, " ".join(base[:900] + ["cut"] + base[901:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ran(docs) == want(rows)
+    made = []
+    for d, x in rows:
+        w, first = repeats.words_of([x.encode()])
+        k, r, s, n = repeats.marks(w, first, 50)
+        made += [(d, 0, int(a), int(b), 1, 1, int(c.view(np.int64)), int(e.view(np.int64))) for a, b, c, e in zip(s, n, k, r)]
+    top, _ = repeats.shared_symbols(spark.createDataFrame(made, "doc_id long, crc long, s int, n int, step int, times int, k long, r long"))
+    got = top.collect()
+    for d, _ in rows:
+        own = sorted((r.s, r.n) for r in got if r.doc_id == d)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+        assert len(own) < 0.5 * sum(m[0] == d for m in made)
