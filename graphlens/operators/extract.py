@@ -1,4 +1,4 @@
-"""Definitions, calls, imports and assignments out of source text: a syntax tree for Python, line patterns for other languages."""
+"""Definitions, calls, imports and assignments out of source text: a syntax tree for Python, tokens for JavaScript and TypeScript, line patterns for other languages."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.hosts import HOLE, authority
+from graphlens.operators.scripts import script_rows
 
 #: Characters of an argument text that are kept; a fixed value.
 MAX_ARG = 400
@@ -188,7 +189,7 @@ def line_rows(file: str, text: str) -> list[Row]:
 
 
 #: Extractors by language; others go by line patterns. A parser package can be plugged in here.
-EXTRACTORS: dict[str, Callable[[str, str], list[Row]]] = {"python": python_rows}
+EXTRACTORS: dict[str, Callable[[str, str], list[Row]]] = {"python": python_rows, "javascript": script_rows, "typescript": script_rows}
 
 
 def extracted(files: DataFrame) -> DataFrame:

@@ -30,8 +30,11 @@ CLIENT_PATTERNS = (
     (r"^resty\.New$", "go-resty"),
     (r"^(Net::HTTP)$", "ruby-net-http"),
 )
-#: Parts of a callee that hint at a client library outside the catalogue. Fixed values.
-CLIENT_HINTS = ("http", "request", "client", "fetch", "urlopen", "socket", "grpc", "smtp", "redis", "kafka", "rabbit", "mongo", "session")
+#: Libraries of network clients that the catalogue lacks; their calls are counted, not taken for external. Fixed values.
+CLIENT_HINTS = (
+    "smtplib", "smtp", "firestore", "firebase_admin", "boto3", "psycopg2", "pymongo", "redis", "kafka", "sqlalchemy", "elasticsearch", "grpc",
+    "websocket", "websockets", "ftplib", "paramiko", "urllib3", "httplib2", "google.cloud", "azure", "stripe", "twilio", "sendgrid", "openai",
+)
 
 
 def with_call_id(calls: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def flag_external(edges: DataFrame, pattern_matches: DataFrame | None = None) ->
     label = F.when(open_, F.coalesce("_label", first_pattern(F.col("callee_expr"), CLIENT_PATTERNS)))
     via = F.when(label.isNotNull(), F.when(F.col("_label").isNotNull(), "ast_grep").otherwise("regex_fallback"))
     made = edges.withColumn("external_pattern", label).withColumn("external_via", via).drop("_label")
-    hinted = open_ & F.col("external_pattern").isNull() & F.lower("callee_expr").rlike("|".join(CLIENT_HINTS))
+    hinted = open_ & F.col("external_pattern").isNull() & F.exists(F.array(*map(F.lit, CLIENT_HINTS)), lambda x: F.contains(F.lower("callee_expr"), x))
     return made.withColumn("status", F.when(F.col("external_pattern").isNotNull(), "external_candidate").otherwise(F.col("status"))).withColumn("hinted", hinted)
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlens.functions.text import line_count
+from graphlens.functions.text import PARSED, line_count
 from graphlens.operators.gaps import gap, write_atomic
 
 #: Kinds of symbols by an index's names and numbers; fixed values of the index format, others count as 'other'.
@@ -123,7 +123,7 @@ def file_coverage(files: DataFrame, symbols: DataFrame, errors: DataFrame, cover
     bad = errors.groupBy(F.col("file").alias("path")).agg(F.lit(True).alias("bad"))
     made = files.join(n, "path", "left").join(bad, "path", "left")
     made = made.join(covered.select(F.col("file").alias("path")).distinct().withColumn("covered", F.lit(True)), "path", "left") if covered is not None else made.withColumn("covered", F.lit(None).cast("boolean"))
-    parsed = F.col("language").isin("python")
+    parsed = F.col("language").isin(*PARSED)
     coverage = F.when(F.col("skipped"), "skipped").when(F.col("bad"), "unparsed").when(F.col("covered"), "scip").when(parsed, "treesitter_only").when(~F.col("is_config") & (F.col("language") != "other"), "fallback_lines").otherwise("unparsed")
     text = F.coalesce("text", F.lit(""))
     return made.select("path", "language", coverage.alias("coverage"), "skip_reason", line_count(text).alias("line_count"), F.sha2(text, 256).alias("file_sha"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))

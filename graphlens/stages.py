@@ -51,12 +51,12 @@ def stage_possible_misses(spark, d):
     return resolve.possible_misses(edges, _definitions(spark, d)).select(F.col("line").cast("long").alias("id"))
 
 
-_CALLEES = ("requests.get", "axios.post", "self.session.run", "http.Get", "fetch", "plain", "grpc.Client", "my.http.get")
+_CALLEES = ("requests.get", "axios.post", "self.session.run", "http.Get", "fetch", "plain", "grpc.Client", "Redis.connect", "google.cloud.run")
 
 
 @query(f"""WITH c AS (SELECT o_orderkey AS id, (CAST({list(_CALLEES)} AS VARCHAR[]))[CAST(o_custkey % {len(_CALLEES)} + 1 AS INT)] AS callee, CASE WHEN o_orderpriority = '1-URGENT' THEN 'matched' END AS label FROM orders),
 p AS (SELECT id, callee, coalesce(label, {"coalesce(" + ", ".join(f"CASE WHEN regexp_matches(callee, '{a}') THEN '{b}' END" for a, b in resolve.CLIENT_PATTERNS) + ")"}) AS label, label AS own FROM c)
-SELECT id, label, CASE WHEN own IS NOT NULL THEN 'ast_grep' WHEN label IS NOT NULL THEN 'regex_fallback' END AS via, CASE WHEN label IS NULL THEN 'unresolved' ELSE 'external_candidate' END AS status, label IS NULL AND regexp_matches(lower(callee), '{"|".join(resolve.CLIENT_HINTS)}') AS hinted FROM p""")
+SELECT id, label, CASE WHEN own IS NOT NULL THEN 'ast_grep' WHEN label IS NOT NULL THEN 'regex_fallback' END AS via, CASE WHEN label IS NULL THEN 'unresolved' ELSE 'external_candidate' END AS status, label IS NULL AND len(list_filter(CAST({list(resolve.CLIENT_HINTS)} AS VARCHAR[]), lambda x: contains(lower(callee), x))) > 0 AS hinted FROM p""")
 def stage_external(spark, d):
     orders = t(spark, d, "orders")
     callee = F.get(F.array(*map(F.lit, _CALLEES)), (F.col("o_custkey") % len(_CALLEES)).cast("int"))
