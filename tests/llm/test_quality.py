@@ -1,5 +1,7 @@
 """The rule ensemble: held-out accuracy, the compiled column against numpy, and edge rows."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -60,3 +62,36 @@ def test_edge_rows(spark):
     assert all(0 <= r.score <= 1 for r in quality.score_quality(docs, labels).collect())
     one = spark.createDataFrame([(i, 0, 0) for i in range(30)], of)
     assert {r.predicted for r in quality.score_quality(docs, one).collect()} == {0}
+
+
+def slow_statistics(text):
+    """STATS by one look at each byte and word."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", text) if w]
+    if not words:
+        return dict.fromkeys(quality.STATS, 0.0)
+    n, solid = len(words), sum(b not in b" \t\n\r\x0b\x0c" for b in text)
+    share = lambda chars: sum(b in chars for b in text)
+    spans = [words[k : k + 128] for k in range(0, n, 128)]
+    lines = [x for x in text.split(b"\n") if x.split()]
+    symbols = b"#$%&*+/<=>@[\\]^_`{|}~"
+    out = {
+        "word_length": solid / n, "upper": share(bytes(range(65, 91))) / solid, "symbols": share(symbols) / solid, "symbol_words": sum(w[-1] in symbols + b"!?" for w in words) / n,
+        "digits": share(b"0123456789") / solid, "bars": share(b"|") / n, "marks": share(b"!?") / n, "stops": share(b".,;:") / n,
+        "different": sum(len({*s}) for s in spans) / n, "echoes": sum(words[k] == words[k + 1] for k in range(n - 1)) / n, "top_word": max(words.count(w) for w in set(words)) / n,
+        "line_words": math.log(1 + n / len(lines)), "same_lines": (len(lines) - len({*lines})) / len(lines),
+        "different_bigrams": sum(len({(s[k], s[k + 1]) for k in range(len(s) - 1)}) for s in spans) / max(1, sum(len(s) - 1 for s in spans)), "spaces": (len(text) - solid) / len(text),
+    }
+    return {k: out[k] for k in quality.STATS}
+
+
+def test_whole_query_against_brute_force(spark, scored):
+    docs, labels, got = scored
+    model = quality.fit_quality(docs, labels)
+    for r in docs.collect():
+        own = slow_statistics((r.text or "").encode())
+        total = model.intercept
+        for rule, weight in model.rules:
+            if all((own[quality.STATS[s]] > t) is above for s, above, t in rule):
+                total += weight
+        want, row = 1 / (1 + math.exp(-total)), got.loc[r.doc_id]
+        assert abs(row.score - want) < 1e-9 and row.predicted == (want >= 0.3)
