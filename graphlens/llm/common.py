@@ -25,6 +25,8 @@ SLICE_BYTES = 4 << 20
 KEPT = 300_000
 #: Rows and bytes of an Arrow batch to or from a Python worker: whole texts are long, and a batch is held on both sides at once.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows of a file of a table of short rows.
+FILE_ROWS = 30_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -52,10 +54,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation of earlier steps. Returns the table and its path."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation of earlier steps. Returns the table and its path. Where it is known about how many rows there are, files follow their number, so that small tables aren't one file for each shuffle partition."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    bounded(df).write.parquet(path)
+    bounded(df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -30,12 +30,13 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Aggregates are written before they are joined, so that a join can split the rows of a node with very many links.
-        least, least_path = materialize(_nearest(both).select("a", F.least("a", "m").alias("m")), "least")
-        large, large_path = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        small, small_path = materialize(_nearest(large), "small")
+        n = digest[0]
+        least, least_path = materialize(_nearest(both).select("a", F.least("a", "m").alias("m")), "least", 2 * n)
+        large, large_path = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large", n)
+        small, small_path = materialize(_nearest(large), "small", n)
         joined = large.join(small, "a")
         after = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        nxt, new_path = materialize(after, "links")
+        nxt, new_path = materialize(after, "links", 2 * n)
         new_digest = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(spark, path, least_path, large_path, small_path)
         now, path, same, digest = nxt, new_path, new_digest == digest, new_digest

@@ -174,7 +174,7 @@ def shared_symbols(marks_: DataFrame, rounds: int = ABOVE) -> tuple[DataFrame, l
     apart again, one of several is a symbol from then on. lo is the smallest doc_id that has the symbol (null for a single mark), leaves are its marks.
     Equal symbols are equal words as a whole, so all but the smallest doc_id's are repeats, whatever their marks are.
     """
-    spark = marks_.sparkSession
+    spark, n = marks_.sparkSession, marks_.count()
     now = marks_.distinct().select("doc_id", "crc", "s", "n", (F.col("times") == 1).alias("whole"), F.col("k").alias("a"), F.col("r").alias("b"), F.lit(None).cast(marks_.schema["doc_id"].dataType).alias("lo"), F.array(F.struct("s", "n", "step", "times", "k", "r")).alias("leaves"))
     paths: list[str] = []
     for j in range(1, rounds + 1):
@@ -186,13 +186,13 @@ def shared_symbols(marks_: DataFrame, rounds: int = ABOVE) -> tuple[DataFrame, l
         halves = F.when(first, F.struct("a", "b", F.col("after.a").alias("c"), F.col("after.b").alias("d"))).when(second, F.struct(F.col("before.a").alias("a"), F.col("before.b").alias("b"), F.col("a").alias("c"), F.col("b").alias("d")))
         rows = rows.withColumn("first", F.coalesce(first, F.lit(False))).withColumn("halves", halves).drop("before", "right")
         rows = rows.withColumn("pa", F.when(F.col("halves").isNotNull(), F.xxhash64("halves", F.lit(j)))).withColumn("pb", F.when(F.col("halves").isNotNull(), F.xxhash64(F.lit(-j), "halves.c", "halves.d", "halves.a", "halves.b"))).drop("halves")
-        rows, rows_at = materialize(rows, "pairs")
-        names, names_at = materialize(rows.where("first").groupBy("pa", "pb").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("pa", "pb", "least"), "names")
+        rows, rows_at = materialize(rows, "pairs", n)
+        names, names_at = materialize(rows.where("first").groupBy("pa", "pb").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("pa", "pb", "least"), "names", n // 2)
         paired = rows.where("pa is not null").join(names, ["pa", "pb"], "left").where("least is null or first")
         yes = F.col("least").isNotNull()
         made = {"n": F.col("n") + F.col("after.n"), "a": F.col("pa"), "b": F.col("pb"), "lo": F.col("least"), "leaves": F.concat("leaves", "after.leaves")}
         paired = paired.select(*(F.when(yes, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in now.columns))
-        now, now_at = materialize(rows.where("pa is null").select(*now.columns).unionByName(paired), "symbols")
+        now, now_at = materialize(rows.where("pa is null").select(*now.columns).unionByName(paired), "symbols", n)
         discard(spark, rows_at, names_at, *paths)
         paths = [now_at]
     return now.select("doc_id", "crc", "s", "n", "lo", "leaves"), paths

@@ -140,9 +140,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     made, made_at = materialize(plain.mapInArrow(sketch, f"doc_id {kind}, digest string, s long, t long, fp long, fq long, size int, key long, many long"), "sets")
     own = made.where("doc_id is not null").select("doc_id", "digest", "s", "t", "fp", "fq", "size")
-    lead = F.min(F.struct("doc_id", "digest")).alias("lead")
+    lead, n = F.min(F.struct("doc_id", "digest")).alias("lead"), own.count()
     # Written once, so the ids stay what they are.
-    nodes, nodes_at = materialize(own.groupBy("s", "t").agg(F.first("fp").alias("fp"), F.first("fq").alias("fq"), F.first("size").alias("size"), lead).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes, nodes_at = materialize(own.groupBy("s", "t").agg(F.first("fp").alias("fp"), F.first("fq").alias("fq"), F.first("size").alias("size"), lead).withColumn("node", F.monotonically_increasing_id()), "nodes", n)
     often = made.where("key is not null").groupBy("key").agg(F.sum("many").alias("many")).orderBy(F.desc("many"), "key").limit(HEAVY).toArrow()
     heavy, weight = np.asarray(often.column("key")).view(np.uint64), np.asarray(often.column("many"))
     order = np.argsort(heavy)
@@ -172,7 +172,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     discard(spark, rows_at)
     clusters = connected_components(links)
     found = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node")
-    found, found_at = materialize(found.select("node", "fp", "cluster", "size", F.col("lead.doc_id").alias("lead_id"), F.col("lead.digest").alias("lead_digest")), "clusters")
+    found, found_at = materialize(found.select("node", "fp", "cluster", "size", F.col("lead.doc_id").alias("lead_id"), F.col("lead.digest").alias("lead_digest")), "clusters", n)
     discard(spark, links_at)
     parts = found.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / F.lit(cluster_bytes)).cast("int").alias("k"))
 
@@ -210,8 +210,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     by = ["cluster", "p", "q"]
     sure, sure_at = materialize(held.repartition(*by).sortWithinPartitions(*by).mapInArrow(decide, "a long, b long"), "links")
     named = nodes.select("node", "s", "t", "lead").join(connected_components(sure), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named, named_at = materialize(named, "named")
-    least, least_at = materialize(named.groupBy("component").agg(F.min("lead").alias("least")), "least")
-    out, _ = materialize(own.join(named.join(least, "component").select("s", "t", "least"), ["s", "t"]).select("doc_id", "digest", F.col("least.doc_id").alias("component_id"), F.col("least.digest").alias("component_digest")), "similar")
+    named, named_at = materialize(named, "named", n)
+    least, least_at = materialize(named.groupBy("component").agg(F.min("lead").alias("least")), "least", n)
+    out, _ = materialize(own.join(named.join(least, "component").select("s", "t", "least"), ["s", "t"]).select("doc_id", "digest", F.col("least.doc_id").alias("component_id"), F.col("least.digest").alias("component_digest")), "similar", n)
     discard(spark, made_at, nodes_at, found_at, sure_at, named_at, least_at)
     return out
