@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers of a 64-bit finaliser and of polynomial hashes; fixed values.
@@ -54,10 +54,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
-    """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation of earlier steps. Returns the table and its path. Where it is known about how many rows there are, files follow their number, so that small tables aren't one file for each shuffle partition."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, batch: int = BATCH_ROWS) -> tuple[DataFrame, str]:
+    """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation of earlier steps. Returns the table and its path. Where it is known about how many rows there are, files follow their number, so that small tables aren't one file for each shuffle partition. Tables of numbers may go to Python workers in larger batches, here alone."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    bounded(df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    df = bounded(df if rows is None else df.coalesce(1 + rows // FILE_ROWS))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -68,6 +73,15 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a column `name` of numbers 0, 1, 2 ... in that order: ranges of it are sorted in tasks of their own and written, then each begins where the counts of those before end."""
+    at, _ = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    split = at.withColumn("_part", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    based = split.join(split.groupBy("_part").count().select("_part", before.alias("_before")), "_part")
+    return based.withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from graphlens.llm import html, lattice, media, packing, pieces, quality, repeats, simhash, tokens
+from graphlens.llm import html, lattice, media, mixing, packing, pieces, quality, repeats, simhash, tokens
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 OPERATORS = {
@@ -16,6 +16,7 @@ OPERATORS = {
     "html": lambda d: html.extract(d.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"), "fp", "k")),
     "simhash": lambda d: simhash.near_duplicates(d),
     "statistics": lambda d: quality.described(d),
+    "mixing": lambda d: mixing.mixed_rows(d.withColumn("source", F.col("lang"))),
     "packing": lambda d: packing.pack(d, BYTES, 0, 2048).where("piece = 0"),
 }
 

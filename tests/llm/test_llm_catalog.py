@@ -10,11 +10,21 @@ from graphlens.llm import catalog
 
 def test_names():
     names = list(catalog.queries())
-    assert [n for n in names if n != "pipeline"] == sorted((n for n in names if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 11
+    assert [n for n in names if n != "pipeline"] == sorted((n for n in names if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 14
     assert set(names) <= set(__spark_entry__.queries()) and set(catalog.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.ORACLE_SQL is None
 
 
+@pytest.mark.parametrize("name", ["op12_phrases", "op13_audit"])
+def test_beside_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    want = db.sql(catalog.oracle_sql()[name])
+    got = catalog.queries()[name](spark, "/root/testdata/sf0.01").select(*want.columns).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want.fetchall()) and got
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_repeats_beside_sql(spark, sf):
     db = duckdb.connect()
