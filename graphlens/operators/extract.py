@@ -1,20 +1,21 @@
-"""Definitions, calls, imports and assignments out of source text: a syntax tree for Python, tokens for JavaScript and TypeScript, line patterns for other languages."""
+"""Definitions, calls, imports and assignments out of source text: a syntax tree for Python, tokens for the languages of operators.scripts and operators.grammars, line patterns for others."""
 
 from __future__ import annotations
 
 import ast
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.hosts import HOLE, authority
+from graphlens.operators.grammars import GRAMMARS, grammar_rows
+from graphlens.operators.lexer import MAX_ARG
 from graphlens.operators.scripts import script_rows
 
-#: Characters of an argument text that are kept; a fixed value.
-MAX_ARG = 400
 OPAQUE = "<expr>"
 
 ROWS = "what string, file string, ord int, a string, b string, c string, line int, end_line int, l2 int, col int"
@@ -189,7 +190,7 @@ def line_rows(file: str, text: str) -> list[Row]:
 
 
 #: Extractors by language; others go by line patterns. A parser package can be plugged in here.
-EXTRACTORS: dict[str, Callable[[str, str], list[Row]]] = {"python": python_rows, "javascript": script_rows, "typescript": script_rows}
+EXTRACTORS: dict[str, Callable[[str, str], list[Row]]] = {"python": python_rows, "javascript": script_rows, "typescript": script_rows} | {x: partial(grammar_rows, x) for x in GRAMMARS}
 
 
 def extracted(files: DataFrame) -> DataFrame:

@@ -6,85 +6,26 @@ its bracket's partner; what an arrow or an unnamed function is called stands bef
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-
 from graphlens.functions.hosts import authority
+from graphlens.operators.lexer import MAX_ARG, Lexicon, Tokens
 
-#: Tokens: blanks and comments are left out; a slash begins a regular expression only where no value can end. Fixed values of the languages.
-_TOKEN = re.compile(
-    r"(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<name>\#?[A-Za-z_$\u0080-￿][\w$\u0080-￿]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\?\.(?!\d)|\.\.\.|[^\s])",
-    re.DOTALL,
-)
-_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
-OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 #: Words before a bracket that are no calls, and after which a value begins. Fixed values of the languages.
 NO_CALL = frozenset("if for while switch catch with return typeof instanceof await yield throw delete void in of do else case new function".split())
 VALUE_NEXT = frozenset("return typeof instanceof await yield throw delete void in of do else case new".split())
-MAX_ARG = 400
 OPAQUE = "<expr>"
+#: Blanks and comments are left out; a slash begins a regular expression only where no value can end; a template's holes hold code.
+LEXICON = Lexicon(
+    r"\s+|//[^\n]*|/\*.*?(?:\*/|\Z)", r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", r"\#?[A-Za-z_$\u0080-￿][\w$\u0080-￿]*", r"=>|\?\.(?!\d)|\.\.\.",
+    holes=(("`", r"(?:\\.|\$(?!\{)|[^`\\$])*", "`", "${"),), value_next=VALUE_NEXT, pattern=r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*",
+)
+_READY = LEXICON.compiled()
 
 
-class _Script:
+class _Script(Tokens):
     """The tokens of one file and what is read off them."""
 
     def __init__(self, file: str, text: str):
-        self.file, self.text, self.rows = file, text, []
-        self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.kind: list[str] = []
-        self.tok: list[str] = []
-        self.at: list[int] = []
-        self._read()
-        self.partner, self.broken = self._match()
-
-    def _read(self) -> None:
-        at, n = 0, len(self.text)
-        while at < n:
-            before = self.tok[-1] if self.tok else ""
-            value_ends = bool(self.tok) and (self.kind[-1] in ("text", "number") or self.kind[-1] == "name" and before not in VALUE_NEXT or before in (")", "]", "}"))
-            m = None if self.text[at] != "/" or value_ends or before == "<" else _REGEX.match(self.text, at)
-            kind = "text" if m else None
-            if not m:
-                m = _TOKEN.match(self.text, at)
-                kind = m.lastgroup
-            if kind != "skip":
-                self.kind.append(kind)
-                self.tok.append(m[0])
-                self.at.append(at)
-            at = m.end()
-
-    def _match(self) -> tuple[dict[int, int], list[int]]:
-        """Places of matching brackets, both ways, and brackets without a partner."""
-        out: dict[int, int] = {}
-        open_: list[int] = []
-        broken = []
-        for i, x in enumerate(self.tok):
-            if self.kind[i] != "mark":
-                continue
-            if x in OPEN:
-                open_.append(i)
-            elif x in CLOSE:
-                if open_ and self.tok[open_[-1]] == CLOSE[x]:
-                    out[open_[-1]] = i
-                    out[i] = open_.pop()
-                else:
-                    broken.append(i)
-        return out, broken + open_
-
-    def is_mark(self, i: int, *marks: str) -> bool:
-        return 0 <= i < len(self.tok) and self.kind[i] == "mark" and self.tok[i] in marks
-
-    def word(self, i: int, *words: str) -> bool:
-        return 0 <= i < len(self.tok) and self.kind[i] == "name" and (not words or self.tok[i] in words)
-
-    def place(self, i: int) -> tuple[int, int]:
-        """(line from 1, column from 0) of a token."""
-        line = bisect_right(self.lines, self.at[i])
-        return line, self.at[i] - self.lines[line - 1]
-
-    def add(self, what: str, a=None, b=None, c=None, i: int = 0, end: int | None = None, named: int | None = None) -> None:
-        l2, col = self.place(named) if named is not None else (None, -1)
-        self.rows.append((what, self.file, len(self.rows), a, b, c, self.place(i)[0], self.place(end)[0] if end is not None else None, l2, col))
+        super().__init__(file, text, LEXICON, _READY)
 
     def body_after(self, i: int, typed: bool = True) -> int:
         """The bracket that begins a body behind place i, past a return type; -1 if none follows."""
@@ -166,9 +107,10 @@ class _Script:
         return "function", name, body, self.partner[body] if self.is_mark(body, "{") and body in self.partner else self.expression_end(body)
 
     def run(self) -> list[tuple]:
-        scopes: list[tuple[int, int, str, bool]] = []  # (first and last token of the body, name, class?)
+        scopes: list[tuple[int, int, str | None, bool]] = []  # (first and last token of the body, name, class?)
         named: set[int] = set()
-        begins: dict[int, list[tuple[int, str, bool]]] = {}
+        begins: dict[int, list[tuple[int, str | None, bool]]] = {}
+        typed_to = -1  # the stretch of type arguments that was read last
 
         def define(found: tuple[str, int, int, int], i: int) -> None:
             kind, name, body, end = found
@@ -199,16 +141,20 @@ class _Script:
             if x == "import" and not self.is_mark(i + 1, ".", "(") or x == "export" and (self.is_mark(i + 1, "*", "{") or self.word(i + 1, "type")):
                 self._module(i)
                 continue
+            if x == "static" and self.is_mark(i + 1, "{") and i + 1 in self.partner and scopes and scopes[-1][3]:
+                begins.setdefault(i + 1, []).append((self.partner[i + 1], None, False))  # a block of statements, no member
+                continue
             if x in ("const", "let", "var") and self.word(i + 1):
                 self._assignment(i + 1)
             j = i + 1
             if self.is_mark(j, "<"):  # type arguments, if a call's bracket follows them
-                k = j
+                k = typed_to if j < typed_to else j
                 while k < len(self.tok) and (self.word(k) or self.is_mark(k, "<", ">", ",", ".", "[", "]", "|")):
                     k += 1
+                typed_to = k
                 j = k if self.is_mark(k, "(") and self.is_mark(k - 1, ">") else j
             j += self.is_mark(j, "?.") and self.is_mark(j + 1, "(")
-            if not self.is_mark(j, "(") or j not in self.partner or i in named or x in NO_CALL:
+            if not self.is_mark(j, "(") or j not in self.partner or i in named or x in NO_CALL and not self.is_mark(i - 1, ".", "?."):
                 continue
             if x == "async" and self.is_mark(self.partner[j] + 1, "=>", ":"):
                 continue
@@ -219,10 +165,10 @@ class _Script:
                 continue
             if in_class and not self.is_mark(i - 1, "=", ".", "@", "(", ",", "[", "?.", ":") and not self.word(i - 1, "new") and self.partner[j] + 1 < len(self.tok) and self.is_mark(self.partner[j] + 1, ";", ":"):
                 continue  # a signature without a body
-            owner = next((name for _, _, name, is_class in reversed(scopes) if not is_class), "<module>")
+            owner = next((name for _, _, name, is_class in reversed(scopes) if name and not is_class), "<module>")
             arg = self.text[self.at[j] + 1 : self.at[self.partner[j]]].strip()
             self.add("call", f"{self.file}::{owner}", self.callee(i), arg[:MAX_ARG], i, None, i)
-            if x in ("require", "import") and not self.is_mark(i - 1, ".") and self.kind[j + 1] == "text" and not (self.tok[j + 1][0] == "`" and "${" in self.tok[j + 1]):
+            if x in ("require", "import") and not self.is_mark(i - 1, ".") and self.kind[j + 1] == "text":
                 self.add("import", self.tok[j + 1][1:-1], i=i)
         for i in self.broken[:1]:
             self.add("error", "syntax_errors", f"unmatched {self.tok[i]}", i=i)
@@ -246,7 +192,7 @@ class _Script:
         if self.is_mark(j, "=") and j + 1 < len(self.tok):
             text = self.tok[j + 1]
             ends = j + 2 == len(self.tok) or self.is_mark(j + 2, ";", ",", "}") or self.place(j + 2)[0] > self.place(j + 1)[0] and not self.is_mark(j + 2, "+", ".")
-            value = text[1:-1] if self.kind[j + 1] == "text" and text[0] in "\"'`" and ends and "${" not in text else None
+            value = text[1:-1] if self.kind[j + 1] == "text" and text[0] in "\"'`" and ends else None
             self.add("assignment", self.tok[i], value, (authority(value) or value) if value is not None else None, i)
 
 
