@@ -195,7 +195,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fracti
     rows, sources = placed(docs)
     rows, _ = materialize(rows, "rows")
     aimed, _ = materialize(targets(sources, weights, share, most), "targets")
-    found = slots(aimed, block, shard, seed).join(portions(rows, block), ["source_no", "block"])
+    # Written before the join: Spark takes a table that Python makes out of a few urns for as small as these, and would broadcast it.
+    drawn, _ = materialize(slots(aimed, block, shard, seed), "slots")
+    found = drawn.join(portions(rows, block), ["source_no", "block"])
     n = F.least("n", F.col("n_words") - F.col("at"))
     return rows, aimed, found.withColumn("n", n).where("n > 0").select("shard", "position", "source_no", "pass", "block", "row", "skip", "at", "n")
 
