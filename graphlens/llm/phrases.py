@@ -166,10 +166,11 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFram
     lists = rows.select("row", "lang", F.posexplode("words").alias("local", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
     numbers, numbers_path = materialize(lists.groupBy("row").agg(F.collect_list(F.struct("local", "id")).alias("numbers")), "numbers")
     keys, keys_path = materialize(grams(rows.select("row", "own", "codes").join(numbers, "row")), "keys", batch=16)
+    discard(spark, rows_path, numbers_path)
     runs = keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run_lengths(least), "id1 long, id2 long, id3 long, n long")
     parts, parts_path = materialize(runs, "runs", batch=BATCH)
     kept, _ = materialize(parts.groupBy("id1", "id2", "id3").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
-    discard(spark, rows_path, numbers_path, keys_path, parts_path)
+    discard(spark, keys_path, parts_path)
     return totals, words, kept
 
 
