@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions import args, hosts, text
-from graphlens.operators import aggregates, chunks, dedupe, graph, joins, knn
+from graphlens.operators import aggregates, chunks, dedupe, graph, joins, knn, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -140,12 +140,12 @@ def _spans(spark, d) -> DataFrame:
 
 @query(f"""WITH x AS ({_SPANS}) SELECT c.k, c.s, min_by(p.s, (p.e - p.s) * 100000 - p.s) AS parent FROM x c LEFT JOIN x p ON p.k = c.k AND p.s < c.s AND p.e >= c.e GROUP BY c.k, c.s""")
 def span_parent(spark, d):
-    return joins.smallest_container(_spans(spark, d), "k", "s", "e").select("k", "s", "parent")
+    return spans.smallest_container(_spans(spark, d), "k", "s", "e").select("k", "s", "parent")
 
 
 @query(f"""WITH x AS ({_SPANS}) SELECT c.k, c.s, p.s AS other FROM x c JOIN x p ON p.k = c.k AND p.s < c.s AND p.e >= c.s AND p.e < c.e""")
 def span_partial_overlap(spark, d):
-    return joins.partial_overlaps(_spans(spark, d), "k", "s", "e").select("k", "s", F.col("parent").alias("other"))
+    return spans.partial_overlaps(_spans(spark, d), "k", "s", "e").select("k", "s", F.col("parent").alias("other"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

@@ -50,23 +50,6 @@ def asof_before(uses: DataFrame, sets: DataFrame, keys: list[str], at: str, valu
     return u.unionByName(s).withColumn("found", last).where(~F.col("set")).select(use_id, *keys, F.col("at").alias(at), F.col("found.value").alias(value))
 
 
-def _pairs(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    parent = spans.select(key, F.col(start).alias("parent"), F.col(end).alias("parent_end"))
-    return spans.join(parent, key).where(F.col("parent") < F.col(start))
-
-
-def smallest_container(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """spans(key, start, end) with distinct starts in a key -> plus parent: the start of the smallest earlier span that contains it, the later one of equals, null if none does."""
-    found = _pairs(spans, key, start, end).where(F.col("parent_end") >= F.col(end))
-    best = found.groupBy(key, start).agg(F.min_by("parent", F.struct(F.col("parent_end") - F.col("parent"), -F.col("parent"))).alias("parent"))
-    return spans.join(best, [key, start], "left")
-
-
-def partial_overlaps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Pairs of a span and an earlier one (parent) that reaches into it but ends inside."""
-    return _pairs(spans, key, start, end).where((F.col("parent_end") >= F.col(start)) & (F.col("parent_end") < F.col(end)))
-
-
 def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, doc_id): passages that a text contains. A text that does has each inner word of the passage as a word; candidates share the longest of them, then the text is looked at. Passages without an inner word are compared with every text, so they are to be few."""
     words = F.split("text", " ", -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.text import PARSED, line_count
 from graphlens.operators.gaps import gap, write_atomic
+from graphlens.operators.spans import Sweep
 
 #: Kinds of symbols by an index's names and numbers; fixed values of the index format, others count as 'other'.
 KINDS = {"function": "function", "method": "method", "class": "class", "interface": "class", "struct": "class", "constructor": "method", "variable": "variable", "parameter": "parameter", "17": "function", "26": "method", "7": "class", "21": "class", "49": "class", "9": "method", "61": "variable", "37": "parameter"}
@@ -71,29 +73,31 @@ def joined_symbols(definitions: DataFrame, spans: DataFrame | None) -> DataFrame
 
 
 def nest(rows: list[dict]) -> list[dict]:
-    """Symbols of one file in order of extent, each with its smallest container. Where extents overlap in part, the first index extent in conflict gives way to the parser's and all starts anew; what still overlaps is marked."""
+    """Symbols of one file in order of extent, each with its smallest container. A symbol that begins inside another and ends behind it takes the parser's extent if it has the index's; what still overlaps is marked.
+
+    One sweep: where a symbol gives way, it is put at its new place and the sweep goes back to there, or goes on where it was.
+    """
+    key = lambda r: (r["start"], -r["end"], r["name_line"] or 0, r["name_col"] or 0, r["scip_symbol"] or "", r["qualified_name"])
     for r in rows:
         r["use"] = r["scip_start"] is not None
-    key = lambda r: (r["start"], -r["end"], r["name_line"] or 0, r["name_col"] or 0, r["scip_symbol"] or "", r["qualified_name"])
-    while True:
-        for r in rows:
-            r["start"], r["end"] = (r["scip_start"], r["scip_end"]) if r["use"] else (r["ts_start"], max(r["ts_end"], r["ts_start"]))
-            r["parent"], r["conflict"] = None, False
-        rows.sort(key=key)
-        flip = None
-        for k, r in enumerate(rows):
-            best = None
-            for p in rows[:k]:
-                if p["end"] >= r["end"] and p["start"] <= r["start"]:
-                    if best is None or p["end"] - p["start"] <= best["end"] - best["start"]:
-                        best = p
-                elif p["end"] >= r["start"]:
-                    r["conflict"] = True
-                    flip = flip or next((x for x in (r, p) if x["use"] and x["source"] == "both" and (x["ts_start"], x["ts_end"]) != (x["scip_start"], x["scip_end"])), None)
-            r["parent"] = best
-        if flip is None:
-            break
-        flip["use"] = False
+        r["start"], r["end"] = (r["scip_start"], r["scip_end"]) if r["use"] else (r["ts_start"], max(r["ts_end"], r["ts_start"]))
+    rows.sort(key=key)
+    keys, sweep = [key(r) for r in rows], Sweep(logged=True)
+    while sweep.n < len(rows):
+        i = sweep.n
+        r = rows[i]
+        best = sweep.container(r["end"])
+        r["parent"], r["conflict"] = rows[best[1]] if best else None, sweep.overlaps(r["start"], r["end"])
+        if r["conflict"] and r["use"] and r["source"] == "both":
+            del rows[i], keys[i]
+            r["use"], r["start"], r["end"] = False, r["ts_start"], max(r["ts_end"], r["ts_start"])
+            to = bisect_right(keys, key(r))
+            rows.insert(to, r)
+            keys.insert(to, key(r))
+            while sweep.n > to:
+                sweep.back()
+        else:
+            sweep.step(r["start"], r["end"])
     taken = {r["qualified_name"] for r in rows}
     seen: set[str] = set()
     for r in rows:
