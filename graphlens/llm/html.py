@@ -7,6 +7,7 @@ import html
 import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from graphlens.llm.common import bounded, slices
 #: Elements without content, without text of the page, of the frame around an article, and those that begin a new block. Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select datalist".split())
-FRAME = frozenset("nav header footer aside form button menu dialog fieldset label option".split())
+FRAME = frozenset("nav footer aside button menu dialog label option".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -27,6 +28,7 @@ BLOCK = frozenset(
 _P_ENDS = BLOCK - frozenset("body br caption dd dt frameset head html legend li optgroup option summary tbody td tfoot th thead tr".split())
 CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu", "dir"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "tbody": ("thead tbody tfoot tr td th", frozenset(("table",))), "tfoot": ("thead tbody tfoot tr td th", frozenset(("table",))), "option": ("option", frozenset(("select",)))}
 CLOSES = {k: (frozenset(a.split()), stop) for k, (a, stop) in CLOSES.items()}
+_P_SCOPE = _P_ENDS | frozenset("p td th li dd dt caption body html".split())
 _TEXT_ONLY = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Words in class, id or role that name parts around an article. A class counts by its words, split at case and at what is no letter.
 AROUND = frozenset(
@@ -37,9 +39,17 @@ LAYOUT = frozenset("banner foot footer header hidden login masthead menu menubar
 COMMENT = frozenset("comment comments reply replies".split())
 #: First words of classes that tell how a page is laid out, not what an element is: has-sidebar, overflow-hidden.
 _STATE = frozenset("has no non not overflow with without".split())
+#: Words of headings above lists of other pages, besides those of labels.
+_MORE = frozenset("also archive categories keep latest more next popular previous read see top topics trending".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: What a label is: none; of layout words alone; with another word; the id of a section, which a heading's text gives it as a rule.
-NONE, WRAPS, PART, SECTION = range(4)
+#: What a label is: none; of layout words alone, or not shown; with another word; the id of a section, which a heading's text gives it as a rule; a form's or a header's element.
+NONE, WRAPS, PART, SECTION, FORM, HEAD = range(6)
+#: Elements that hold a page or its article, whatever is said about them; what a form's controls are; the nearest of those ends an open paragraph or keeps it.
+_WHOLE = frozenset("html body main article".split())
+_CONTROLS = frozenset("input button select textarea label option".split())
+_CELLS = frozenset("td th table".split())
+#: Characters for each control from which a form's text is no form's.
+WORDY = 100
 #: A part with a word that is no layout word is the article only if it holds this many times the text outside of all parts.
 SURELY = 10
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
@@ -51,19 +61,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 class Node:
     """An element: its texts and children in page order, and the counts of its subtree."""
 
-    __slots__ = ("chars", "density", "ended", "items", "label", "link_chars", "links", "main", "name", "parent", "score", "tags")
+    __slots__ = ("chars", "code", "controls", "density", "ended", "items", "label", "link_chars", "links", "main", "name", "parent", "score", "tags")
 
     def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.items = name, parent, []
+        self.name, self.parent, self.items, self.controls = name, parent, [], 0
+        self.code = name in ("pre", "code") or parent is not None and parent.code
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.score = 0.0
         self.label, self.ended, self.main = NONE, False, name in ("article", "main")
 
 
-def _around(name: str, attrs: str) -> bool:
-    """The element is no text of the article for certain: by its name, or because it is not shown."""
-    if name in FRAME:
-        return True
+def _hidden(attrs: str) -> bool:
+    """The element is not shown, as long as no script changes that."""
     if "idden" in attrs.lower() or "style" in attrs.lower():
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
@@ -101,19 +110,64 @@ def _label(node: Node, attrs: str) -> None:
     words &= AROUND
     by_id = by_id & AROUND if node.name in BLOCK and node.name not in _HEADINGS and node.name != "dt" else set()
     weak = section and not words
-    if words | by_id:
-        up = node.parent
-        while up is not None and up.name not in ("pre", "code"):
-            up = up.parent
-        node.label = NONE if up is not None else SECTION if weak else WRAPS if words | by_id <= LAYOUT else PART
+    if words | by_id and not (node.parent is not None and node.parent.code):
+        node.label = SECTION if weak else WRAPS if words | by_id <= LAYOUT else PART
+
+
+class _Path:
+    """The open elements from the page down, with their depths by name, so that no tag climbs."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths = [root], {"html": [0]}
+        self.ends_p, self.cells = [0], []
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.depths.setdefault(node.name, []).append(at)
+        if node.name in _P_SCOPE:
+            self.ends_p.append(at)
+        if node.name in _CELLS:
+            self.cells.append(at)
+
+    def cut(self, depth: int) -> None:
+        """Close all from this depth on."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.name].pop()
+            if node.name in _P_SCOPE:
+                self.ends_p.pop()
+            if node.name in _CELLS:
+                self.cells.pop()
+
+    def close(self, name: str) -> Node | None:
+        """The innermost open element of that name, closed with all in it; none if there is none, or an inline element outside the table cell."""
+        found = self.depths.get(name)
+        if not found or found[-1] == 0 or name not in BLOCK and name not in _CELLS and self.cells and self.cells[-1] > found[-1]:
+            return None
+        node = self.nodes[found[-1]]
+        self.cut(found[-1])
+        return node
+
+    def begin(self, name: str) -> None:
+        """Close what the begin of such an element ends."""
+        if name in CLOSES:
+            ends, stop = CLOSES[name]
+            above = max((self.depths[x][-1] for x in stop if self.depths.get(x)), default=-1)
+            first = [d[i] for x in ends if (d := self.depths.get(x)) and (i := bisect_right(d, above)) < len(d)]
+            if first:
+                self.cut(min(first))
+        elif (name in _P_ENDS or name == "p") and self.nodes[self.ends_p[-1]].name == "p":
+            self.cut(self.ends_p[-1])
 
 
 def parse(page: str) -> Node:
     """The tree of a page, ready for any markup: unclosed and stray tags are handled as browsers do for the common cases, an unfinished tag at the end is dropped. Elements without text of the page, of the frame by their name, and what prune() takes for parts around the article are left out with all they hold."""
-    root = node = Node("html", None)
-    at, n = 0, len(page)
-    low, last = "", {}  # the page in lower case, and the places of the last end tags
+    root = Node("html", None)
+    path, at, n = _Path(root), 0, len(page)
+    partners: dict[str, dict[int, int]] = {}
     while at < n:
+        node = path.nodes[-1]
         m = _TOKEN.search(page, at)
         if m is None:
             node.items.append(page[at:])
@@ -126,42 +180,39 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if close:
-            up = node
-            while up is not None and up.name != name:
-                up = None if up.name in ("td", "th", "table") and name not in BLOCK else up.parent
-            if up is not None and up.parent is not None:
-                up.ended = True
-                node = up.parent
+            ended = path.close(name)
+            if ended is not None:
+                ended.ended = True
             elif name == "p":
                 node.items.append(Node("br", node))
             continue
-        if name in RAW or _around(name, attrs):
-            if name not in VOID:
-                if name not in last:
-                    low = low or page.lower()
-                    last[name] = low.rfind(f"</{name}")
-                at = _after(page, at, name) if at <= last[name] else at if name not in _TEXT_ONLY and name != "footer" else n
+        node.controls += name in _CONTROLS
+        if name in RAW or name in FRAME:
+            if name in _TEXT_ONLY:
+                end = _ends(name, False).search(page, at)
+                while end is not None and not end[1]:
+                    end = _ends(name, False).search(page, end.end())
+                at = end.end() if end is not None else n
+            elif name not in VOID:
+                if name not in partners:
+                    partners[name] = _partners(page, name)
+                at = partners[name].get(at, n if name == "footer" else at)
             node.items.append(Node("br", node) if name in BLOCK else "")
             continue
-        if name in CLOSES:
-            ends, stop = CLOSES[name]
-            up, ended = node, None
-            while up is not None and up.name not in stop:
-                if up.name in ends:
-                    ended = up
-                up = up.parent
-            node = ended.parent if ended is not None else node
-        elif name in _P_ENDS or name == "p":
-            up = node
-            while up is not None and up.name not in _P_ENDS and up.name not in ("p", "td", "th", "li", "dd", "dt", "caption", "body", "html"):
-                up = up.parent
-            if up is not None and up.name == "p":
-                node = up.parent
+        path.begin(name)
+        node = path.nodes[-1]
         child = Node(name, node)
         node.items.append(child)
         if name not in VOID:
             _label(child, attrs)
-            node = child
+            if name not in _WHOLE and not child.main:
+                if name in ("form", "fieldset"):
+                    child.label = FORM
+                elif name == "header":
+                    child.label = HEAD
+                if _hidden(attrs):
+                    child.label = WRAPS
+            path.push(child)
     return prune(root)
 
 
@@ -182,14 +233,18 @@ def prune(root: Node) -> Node:
     element. One of layout words is no part if it holds more text, or more of the articles' text, than is outside of all parts. Another is none
     if it holds SURELY times as much text, or so much of the articles' and more text than is outside: comments and notices may well be
     longer than an article. A section's id makes a part only beside an article element. What turns out to be no part counts as outside, but for
-    the parts in it, which are weighed next.
+    the parts in it, which are weighed next. A form with much text for each of its controls is none, nor is a header with a heading inside an
+    article or beside paragraphs. What is not shown counts as a wrapper: scripts hide whole pages until they are ready.
     """
     order = _in_order(root)
     if not any(x.label and x.ended for x in order):
         return root
     text, free, article, inner = {}, {}, {}, {}  # by node: characters, those outside links, those of articles, the outermost labelled nodes below
+    controls, titled = {}, {}  # controls of forms, and whether there is a heading
     for x in reversed(order):
         below = [y for y in x.items if isinstance(y, Node)]
+        controls[x] = x.controls + sum(controls[y] for y in below)
+        titled[x] = x.name in _HEADINGS or any(titled[y] for y in below)
         own = sum(len(y.strip()) for y in x.items if isinstance(y, str))
         text[x] = own + sum(text[y] for y in below)
         free[x] = 0 if x.name == "a" else own + sum(free[y] for y in below)
@@ -205,16 +260,20 @@ def prune(root: Node) -> Node:
 
     def weigh(found: list[Node]) -> None:
         for x in found:
-            heapq.heappush(todo, (-(free[x] + article[x]) / (1 if x.label == WRAPS else SURELY), next(count), x))
+            heapq.heappush(todo, (-(free[x] + article[x]) / (SURELY if x.label in (PART, SECTION) else 1), next(count), x))
 
     weigh(inner[root])
     while todo:
         x = heapq.heappop(todo)[2]
-        if x.label == SECTION:
+        if x.label == HEAD and titled[x] and 2 * free[x] >= text[x] and (in_main[x] or sum(isinstance(y, Node) and y.name == "p" for y in x.parent.items) > 1):
+            part = False
+        elif x.label == FORM and free[x] > WORDY * (controls[x] + 1):
+            part = False
+        elif x.label == SECTION:
             part = held > 0 and not in_main[x] and not article[x]
         elif 2 * free[x] < text[x] and not article[x]:
             part = True
-        elif x.label == WRAPS:
+        elif x.label in (WRAPS, FORM, HEAD):
             part = free[x] <= rest and article[x] <= held
         else:
             part = free[x] <= SURELY * rest and (article[x] <= SURELY * held or free[x] <= rest)
@@ -235,16 +294,17 @@ def _ends(name: str, nested: bool) -> re.Pattern:
     return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)" + ("|<!--.*?(?:-->|\\Z)" if nested else ""), re.IGNORECASE | re.DOTALL)
 
 
-def _after(page: str, at: int, name: str) -> int:
-    """The place behind the end tag of the element that began before at. Elements of its name inside count; without an end tag a raw element or a footer takes the rest, another nothing."""
-    nested, deep = name not in _TEXT_ONLY, 1
-    for m in _ends(name, nested).finditer(page, at):
+def _partners(page: str, name: str) -> dict[int, int]:
+    """By the place behind each begin of an element of this name, the place behind its end; elements of its name inside count, those without an end have none."""
+    out, open_ = {}, []
+    for m in _ends(name, True).finditer(page):
         if m[1] is None:
             continue
-        deep += -1 if m[1] else nested
-        if not deep:
-            return m.end()
-    return at if nested and name != "footer" else len(page)
+        if not m[1]:
+            open_.append(m.end())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
 
 
 def measure(root: Node) -> list[Node]:
@@ -281,7 +341,7 @@ def measure(root: Node) -> list[Node]:
 def choose(order: list[Node]) -> list[Node]:
     """The subtree with the greatest density sum (the whole article element if it is in one), and beside its path to the body those blocks that are as dense as the path's least dense node and mostly not links; in page order.
 
-    Without any block below another the densest node is the subtree. An article element is taken alone.
+    Without any block below another the densest node is the subtree. An article element is taken without what is around it, but for the articles beside it.
     """
     if not order or not order[0].chars:
         return []
@@ -291,7 +351,10 @@ def choose(order: list[Node]) -> list[Node]:
     node = best
     while node is not None:
         if node.name == "article":
-            return [node]
+            if node.parent is None:
+                return [node]
+            beside = [x for x in node.parent.items if isinstance(x, Node) and x.name == "article" and x.main and 2 * x.link_chars < x.chars]
+            return beside if node in beside else [node]
         node = node.parent
     chosen, node, least = {id(best)}, best, best.density
     while node.parent is not None:
@@ -305,8 +368,15 @@ def choose(order: list[Node]) -> list[Node]:
 
 
 def _menu(x: Node) -> bool:
-    """A list or box inside an article that is little but links."""
-    return x.links > 2 and 4 * x.link_chars > 3 * x.chars and x.name in ("ul", "ol", "div", "section", "table")
+    """A list or box inside an article that is little but links; numbered lists and lists under a heading that doesn't call them related are references."""
+    if x.links <= 2 or 4 * x.link_chars <= 3 * x.chars or x.name not in ("ul", "div", "section", "table"):
+        return False
+    before = None
+    for y in x.parent.items if x.parent is not None and x.name == "ul" else ():
+        if y is x:
+            break
+        before = y if isinstance(y, Node) else before if not y.strip() else None
+    return before is None or before.name not in _HEADINGS or bool({w.lower() for w in _WORD.findall(text_of([before]))} & (AROUND | _MORE))
 
 
 def text_of(nodes: list[Node]) -> str:

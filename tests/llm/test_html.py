@@ -29,6 +29,20 @@ PAGES = {
     "words that only look like labels": (f"<article class='adventure threads shadow header-less'>{P}</article>", WANT),
     "a comment with tags": (f"<!-- <p>no</p> --><article>{P}<!-- unfinished", WANT),
     "formula": (f"<article>{P}<p>The sum <math><mi>a</mi>+<mi>b</mi></math> is <video src=x>shown <b>here</b></video> and <object data=y>there</object>.</p></article>", WANT + " The sum a+b is shown here and there."),
+    "page in a form": (f"<body><form id=aspnetForm><input type=hidden name=v><div id=top>{LINKS}</div><div class=post><h1>Title</h1>{P}</div><div><label>Search</label> <input> <button>Go</button></div></form></body>", "Title " + WANT),
+    "body hidden at first": (f"<html><body style='display:none'><nav>{LINKS}</nav><article>{P}</article></body></html>", WANT),
+    "root hidden at first": (f"<html style='visibility: hidden'><body><div>{P}</div></body></html>", WANT),
+    "hidden application": (f"<body><div hidden id=app><header>{LINKS}</header><article>{P}</article></div></body>", WANT),
+    "hidden application without an article": (f"<body><div id=app aria-hidden=true><div>{LINKS}</div><div>{P}</div></div><noscript>Loading</noscript></body>", WANT),
+    "fieldset around paragraphs": (f"<article>{P}<fieldset><legend>Note</legend><p>{LONG[0]}</p><p>{LONG[0]}</p></fieldset></article>", f"{WANT} Note {LONG[0]} {LONG[0]}"),
+    "fieldset of a form": (f"<article>{P}<fieldset><legend>Your vote</legend><label>Yes <input type=radio></label><label>No <input type=radio></label></fieldset></article>", WANT),
+    "two articles of a main": (f"<main><article>{P}</article><article><h2>Next</h2>{P}</article><aside>{LINKS}</aside></main>", f"{WANT} Next {WANT}"),
+    "article and reader comments as articles": (f"<div><article>{P}</article><article class='comment'><p>{LONG[0]}</p></article></div>", WANT),
+    "header of the article": (f"<body><header><h1>The site</h1>{LINKS}</header><article><header><h1>The title</h1></header>{P}</article></body>", "The title " + WANT),
+    "header beside paragraphs": (f"<div id=c><header><h2>The title</h2></header>{P}</div><div>{LINKS}</div>", "The title " + WANT),
+    "numbered references": (f"<article>{P}<ol><li><a href=a>First source</a><li><a href=b>Second source</a><li><a href=c>Third source</a></ol></article>", WANT + " First source Second source Third source"),
+    "references under a heading": (f"<article>{P}<h2>Sources</h2><ul><li><a href=a>First</a><li><a href=b>Second</a><li><a href=c>Third</a></ul></article>", WANT + " Sources First Second Third"),
+    "related pages under a heading": (f"<article>{P}<h2>Read more</h2><ul><li><a href=a>First</a><li><a href=b>Second</a><li><a href=c>Third</a></ul></article>", WANT + " Read more"),
     "nothing": ("<html><head><title>t</title></head><body><nav>a</nav></body></html>", ""),
     "text alone": ("Just a text.", "Just a text."),
     "empty": ("", ""),
@@ -120,3 +134,42 @@ def test_any_order_of_tags_has_a_text(seed):
     for _ in range(700):
         parts = [rng.choice(["<{0}{1}>", "</{0}>", "text &amp; more ", "<{0}{1}/>", "<!-- {0} -->", "<{0}", " "]).format(rng.choice(names), rng.choice(attrs)) for _ in range(rng.randrange(60))]
         assert isinstance(html.main_text("".join(parts)), str)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 16_000 + "</i>" * 16_000, "<div class=menu-x>" * 16_000, "<b><table><tr><td>" + "<i>" * 16_000 + "</b>" * 16_000, "<nav>" * 16_000 + "</nav>", "<li>" * 16_000, "<p>" * 16_000 + "</p>" * 16_000, "<td>" * 16_000 + "</span>" * 16_000, "<script>" * 16_000, "<svg>" * 16_000 + "x", "<ul><li>" * 16_000, "<pre>" + "<div id=ad>" * 16_000, "<form><fieldset>" * 8_000 + "</form>" * 8_000], ids=lambda p: p[:24])
+def test_time_follows_the_tags(page):
+    import time
+
+    at = time.time()
+    html.main_text(page)
+    assert time.time() - at < 4
+
+
+def test_densities_by_definition():
+    """Counts and densities of each node worked out from its own subtree."""
+    import math
+
+    rng = random.Random(4)
+
+    def below(x):
+        return [y for c in x.items if isinstance(c, html.Node) for y in (c, *below(c))]
+
+    def chars(x, linked=False):
+        return sum(chars(c, linked or x.name == "a") if isinstance(c, html.Node) else len(c.strip()) * (not of_links or linked or x.name == "a") for c in x.items)
+
+    for _ in range(60):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<b>", "</b>", "some text", "more", "<br>", "<li>"]) for _ in range(rng.randrange(40)))
+        order = html.measure(html.parse(page))
+        root = order[0]
+        for x in order:
+            of_links = False
+            c, tags, links = chars(x), len(below(x)), sum(y.name == "a" for y in below(x))
+            all_c = max(chars(root), 1)
+            of_links = True
+            lc, all_lc = chars(x), chars(root)
+            assert (x.chars, x.tags, x.links, x.link_chars) == (c, tags, links, lc)
+            if c:
+                base = math.log(c * lc / max(c - lc, 1) + all_lc * c / all_c + math.e)
+                arg = c * max(tags, 1) / (max(lc, 1) * max(links, 1))
+                assert x.density == pytest.approx(c / max(tags, 1) * (math.log(arg) / math.log(base) if base > 1 + 1e-9 else math.log(arg) if arg > 0 else 0))
+            assert x.score == pytest.approx(sum(y.density for y in x.items if isinstance(y, html.Node) and y.name in html.BLOCK))
