@@ -26,7 +26,7 @@ RADIUS, HALF = 40, 24
 #: Frequent shingles that the order of prefixes knows, and from how many of a slice's documents, and what share of them, a shingle counts as frequent there. Any order is right; this one keeps groups small.
 HEAVY, OFTEN, SHARE = 1 << 18, 3, 0.004
 #: Bytes of text whose shingles are arrays at a time, and of the sets of a cluster that one task holds twice.
-SLICE, CLUSTER_BYTES = 2 << 20, 32 << 20
+SLICE, CLUSTER_BYTES = 2 << 20, 16 << 20
 #: Multiplier of a shingle's hash, odd; a fixed value.
 STRIDE = 0x9E3779B97F4A7C15
 
@@ -79,26 +79,66 @@ def _may_link(first: np.ndarray, more: np.ndarray, similarity: float):
     return linked
 
 
-def _verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], near: np.ndarray, asks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the pairs of a set in `near` and one that asks which are similar enough: each asks the nearest fingerprints first, and none that it is joined to already."""
-    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+def _verified(node: np.ndarray, sets: list[np.ndarray], near: np.ndarray, asks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the pairs of a set in `near` and one that asks which are similar enough.
+
+    No pair is looked at that shares no shingle among the first of both, in the order from the rarest shingle here on: sets come by size, each asks
+    the inverted lists of its first shingles and is then entered into them. Of two similar sets the smaller one has their first common shingle among
+    its first size - 2 s / (1 + s) size + 1, the larger one among its first size - s size + 1, and behind its place both have enough left. Lists are
+    kept by component, so that a set asks no other one of a component that it has joined.
+    """
+    names, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, many))] = np.arange(len(names))
+    alone = int((many == 1).sum())  # the ranks below are in one set each
     size = np.array([len(x) for x in sets])
-    own = np.split(at, np.cumsum(size)[:-1])
-    here, label, out = np.zeros(len(names), bool), np.arange(len(sets)), []
-    for i in np.flatnonzero(asks).tolist():
-        able = near & (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9)
-        found = np.flatnonzero(able)
-        if not len(found):
-            continue
-        here[own[i]] = True
-        for j in found[np.argsort(np.bitwise_count(fp[found] ^ fp[i]), kind="stable")].tolist():
-            if label[j] == label[i]:
-                continue
-            both = int(np.count_nonzero(here[own[j]]))
-            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
-                out.append((int(node[i]), int(node[j])))
-                label[label == label[j]] = label[i]
-        here[own[i]] = False
+    own = [np.sort(x) for x in np.split(rank[at], np.cumsum(size)[:-1])]
+    parent, weight, out, here = list(range(len(sets))), [1] * len(sets), [], np.zeros(len(names), bool)
+    lists: dict[str, dict[int, dict[int, list[tuple[int, int]]]]] = {"near": {}, "asks": {}}
+    same = bool((near == asks).all())
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for b in np.argsort(size, kind="stable").tolist():
+        n, mine, marked, failed = int(size[b]), own[b], False, set()
+        least = np.ceil(similarity * n - 1e-9)
+        first = mine[: n - int(least) + 1]
+        sides = [lists["near"]] if same else [lists["near"]] * bool(asks[b]) + [lists["asks"]] * bool(near[b])
+        for place, g in zip(range(len(first)), first.tolist(), strict=True):
+            for held in [x[g] for x in sides if g in x] if g >= alone else ():
+                for r in list(held):
+                    if (to := root(r)) != r:
+                        few, more = sorted((held.pop(r), held.pop(to, [])), key=len)
+                        more += few
+                        held[to] = more
+                for r in list(held):
+                    if root(r) == root(b):
+                        continue
+                    for a, place_a in reversed(held[r]):
+                        need = int(np.ceil(similarity / (1 + similarity) * (n + size[a]) - 1e-9))
+                        if size[a] < least or a in failed or min(n - place, size[a] - place_a) < need:
+                            continue
+                        if not marked:
+                            here[mine], marked = True, True
+                        both = int(np.count_nonzero(here[own[a]]))
+                        if both >= similarity * (n + size[a] - both) - 1e-9:
+                            out.append((int(node[b]), int(node[a])))
+                            few, more = sorted((root(a), root(b)), key=weight.__getitem__)
+                            parent[few] = more
+                            weight[more] += weight[few]
+                            break
+                        failed.add(a)
+        if marked:
+            here[mine] = False
+        entered = n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)) + 1
+        for place, g in enumerate(mine[:entered].tolist()):
+            if g >= alone:
+                for side in ("near",) if same else ("near",) * bool(near[b]) + ("asks",) * bool(asks[b]):
+                    lists[side].setdefault(g, {}).setdefault(root(b), []).append((b, place))
     return out
 
 
@@ -112,8 +152,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
        that are frequent among neighbouring documents; the most frequent of them (HEAVY at most) come last in the order of shingles.
     2. A second pass gives each set's prefix. Nodes that share one meet in a group; a BK-tree over it finds the pairs of near fingerprints, of
        which the forest of those that may be similar by sizes and places of the shingle stays. Frequent shingles are in few prefixes, so groups are small; large ones go in shards.
-    3. Candidates' components are clusters. Only texts in clusters are read a third time, and pairs inside a cluster are decided by their sets; a large
-       cluster goes in shards too. The links that hold make the components.
+    3. Candidates' components are clusters. Only texts in clusters are read a third time, and pairs inside a cluster that share one of their
+       first shingles are decided by their sets (a cluster's own order of shingles leaves few others); a large cluster goes in shards too. The links that hold make the components.
 
     Repeated rows each get their row. Rows without doc_id are left out. Other columns of docs are not looked at. No row, no result row.
     """
@@ -172,7 +212,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     discard(spark, rows_at)
     clusters = connected_components(links)
     found = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node")
-    found, found_at = materialize(found.select("node", "fp", "cluster", "size", F.col("lead.doc_id").alias("lead_id"), F.col("lead.digest").alias("lead_digest")), "clusters", n)
+    found, found_at = materialize(found.select("node", "cluster", "size", F.col("lead.doc_id").alias("lead_id"), F.col("lead.digest").alias("lead_digest")), "clusters", n)
     discard(spark, links_at)
     parts = found.groupBy("cluster").agg(F.ceil(F.sum("size") * 8 / F.lit(cluster_bytes)).cast("int").alias("k"))
 
@@ -184,24 +224,24 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     asked = found.join(parts, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     asked = plain.join(asked, (F.col("doc_id") == F.col("lead_id")) & (F.col("digest") == F.col("lead_digest"))).dropDuplicates(["node"])
-    held = asked.select("text", "node", "fp", "cluster", "k", "i").mapInArrow(sets, "node long, fp long, cluster long, k int, i int, set binary")
-    held = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("cluster", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "fp", "set")
+    held = asked.select("text", "node", "cluster", "k", "i").mapInArrow(sets, "node long, cluster long, k int, i int, set binary")
+    held = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("cluster", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "set")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows_: list[tuple]) -> list[tuple[int, int]]:
             p, q = rows_[0][0][1:]
-            i, node, fp = np.array([r[1:4] for r in rows_], np.int64).T
-            return _verified(node, fp.view(np.uint64), [np.frombuffer(r[4], np.uint64) for r in rows_], i == p, i == q, similarity) if len(rows_) > 1 else []
+            i, node = np.array([r[1:3] for r in rows_], np.int64).T
+            return _verified(node, [np.frombuffer(r[3], np.uint64) for r in rows_], i == p, i == q, similarity) if len(rows_) > 1 else []
 
         group: list[tuple] = []
         for batch in batches:
             out: list[tuple[int, int]] = []
             cols = [c.to_pylist() for c in batch.columns]
-            for cluster, p, q, i, node, fp, set_ in zip(*cols, strict=True):
+            for cluster, p, q, i, node, set_ in zip(*cols, strict=True):
                 if group and group[0][0] != (cluster, p, q):
                     out += of(group)
                     group = []
-                group.append(((cluster, p, q), i, node, fp, set_))
+                group.append(((cluster, p, q), i, node, set_))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
         if group and (out := of(group)):

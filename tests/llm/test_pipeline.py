@@ -1,5 +1,7 @@
 """The pipeline's stages, and all of it against a brute-force version."""
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -24,21 +26,28 @@ def test_run_against_brute_force(spark):
     rows = [r for r, s in zip(rows, score, strict=True) if s >= 0.3]
     comp = slow_components(rows)
     rows = [r for r, c in zip(rows, comp, strict=True) if r[0] == c]
-    left = []
-    for (d, x), (_, _, gone, digest) in zip(rows, repeats.brute_force(rows), strict=True):
-        left.append((d, x if not gone else None, digest))
+    want_rows = list(zip(rows, repeats.brute_force(rows), strict=True))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        now = spark.createDataFrame(stage(spark, now, DIR).collect(), docs.schema)
+    kept = {r.doc_id: r.text for r in now.collect()}
+    # Every text: the kept words of those that lost some, and the others as they were.
+    for (d, x), (_, _, gone, digest) in want_rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", kept[d] or "")
+        assert hashlib.sha256(" ".join(words).encode()).hexdigest() == digest and (gone or (kept[d] or "") == x)
+    assert sum(gone > 0 for _, (_, _, gone, _) in want_rows) > 3
+    left = [(d, kept[d] or "") for (d, _), _ in want_rows]
     got = corpus_pipeline.run(spark, DIR).collect()
     check_packing(got, 2048)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
-    assert set(by) == {d for d, _, _ in left} and len(left) > 100
-    for d, x, _ in left:
+    assert set(by) == {d for d, _ in left} == set(kept) and len(left) > 100
+    for d, x in left:
         own = sorted(by[d], key=lambda r: r.piece)
-        if x is not None:
-            want = np.array([*library.encode(x, add_special_tokens=False).ids, 0], "<u4")
-            assert [zlib.crc32(want[r.start : r.start + r.length].tobytes()) for r in own] == [r.ids_crc32 for r in own]
+        want = np.array([*library.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        assert [zlib.crc32(want[r.start : r.start + r.length].tobytes()) for r in own] == [r.ids_crc32 for r in own] and sum(r.length for r in own) == len(want)
     assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 2048) + 1
 
 

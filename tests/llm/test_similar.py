@@ -92,3 +92,54 @@ def test_fingerprints_of_similar_sets_lie_within_the_radius():
             a, b = h[:n], h[n // 9 :]
             away = similar.set_fingerprint(a) ^ similar.set_fingerprint(b)
             assert away.bit_count() <= similar.RADIUS and (away >> 64).bit_count() <= similar.HALF
+
+
+def template(n, own, shared, seed=0):
+    """n sets of `shared` shingles of a template and `own` ones of their own."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(0, 1 << 62, shared, dtype=np.uint64)
+    return [np.unique(np.r_[common, rng.integers(0, 1 << 62, own, dtype=np.uint64)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("own, shared", [(60, 140), (36, 164)])
+def test_a_template_without_similar_sets(own, shared):
+    import time
+
+    sets, at = template(20_000, own, shared), time.time()
+    yes = np.ones(len(sets), bool)
+    assert similar._verified(np.arange(len(sets)), sets, yes, yes, 0.8) == [] and time.time() - at < 30
+
+
+def test_a_template_of_copies():
+    import time
+
+    sets, at = template(20_000, 10, 190), time.time()
+    yes = np.ones(len(sets), bool)
+    assert len(similar._verified(np.arange(len(sets)), sets, yes, yes, 0.8)) == 19_999 and time.time() - at < 30
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_shards_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(25):
+        base = rng.integers(0, 400, rng.integers(1, 60), dtype=np.uint64)
+        for _ in range(rng.integers(1, 7)):
+            keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.2])]
+            made = np.unique(np.r_[keep, rng.integers(0, 400, rng.integers(0, 6), dtype=np.uint64)])
+            if len(made):
+                sets.append(made)
+    near = rng.random(len(sets)) < 0.5 if seed % 2 else np.ones(len(sets), bool)
+    asks = ~near if seed % 2 else near
+
+    def components(pairs):
+        comp = list(range(len(sets)))
+        for i, j in pairs:
+            old = comp[i]
+            comp = [comp[j] if c == old else c for c in comp]
+        return {frozenset(k for k, c in enumerate(comp) if c == x) for x in comp}
+
+    good = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if (near[i] and asks[j] or near[j] and asks[i]) and good(sets[i], sets[j])]
+    links = similar._verified(np.arange(len(sets)), sets, near, asks, 0.8)
+    assert all(good(sets[a], sets[b]) for a, b in links) and components(links) == components(every) and len(every) > 4
