@@ -62,6 +62,23 @@ def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return found.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
+#: Labels of a dotted name at most; a fixed value of the domain name system.
+MOST_LABELS = 127
+
+
+def token_hits(names: DataFrame, name: str, texts: DataFrame, text: str, pattern: Column) -> DataFrame:
+    """names joined with the rows of texts whose text has the name (in lower case) as a token: pattern, over the name's column, decides.
+
+    An equi-join: a name's first run of letters, digits, underscores, dots and hyphens begins where one of the text does, and ends where it does or
+    before one of its dots. So a text's keys are its distinct runs and their beginnings before dots, and only rows of equal keys meet. Names without such a run are no tokens; null texts have none.
+    """
+    keyed = names.withColumn("_key", F.regexp_extract(name, r"[\w.\-]+", 0)).where("_key <> ''").withColumn("_pattern", pattern)
+    labels = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\w.\-]+"), F.lit(0))), lambda run: F.split(F.lower(run), r"\.", -1))
+    begins = lambda run: F.transform(F.sequence(F.lit(1), F.least(F.size(run), F.lit(MOST_LABELS))), lambda k: F.array_join(F.slice(run, 1, k), "."))
+    there = texts.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.transform(labels, begins)))))
+    return keyed.join(there, "_key").where(F.lower(text).contains(F.col(name))).where(F.rlike(F.col(text), F.col("_pattern"))).drop("_key", "_pattern")
+
+
 def strongest_tier(tiers: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
     """Rows of all tiers, for each key those of the first tier that has any, one row by order; tier counts from 1."""
     rows = reduce(DataFrame.unionByName, (df.withColumn("tier", F.lit(k)) for k, df in enumerate(tiers, 1)))
