@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Keys whose value is a host even without a dot. Fixed values.
-HOST_KEYS = "host hostname server endpoint url uri addr address domain upstream target backend broker bootstrap_servers".split()
+HOST_KEYS = ("host", "hostname", "server", "endpoint", "url", "uri", "addr", "address", "domain", "upstream", "target", "backend", "broker", "bootstrap_servers")
 #: What stands for an interpolated part of a literal.
 HOLE = "\0"
 

@@ -139,7 +139,7 @@ def python_rows(file: str, text: str) -> list[Row]:
         return [("error", file, 0, "syntax_errors", str(e)[:200], None, getattr(e, "lineno", None), None, None, None)]
 
 
-#: Line patterns of other languages, tried in order. Fixed values.
+#: Line patterns of languages without an extractor, tried in order.
 IMPORT_LINES = (r"^\s*import\s+(?:[\w*{},\s]+\s+from\s+)?['\"]([^'\"]+)['\"]", r"\brequire(?:_relative)?\s*\(?\s*['\"]([^'\"]+)['\"]", r"^\s*(?:import|using|use)\s+([\w.:\\]+)", r"^\s*#include\s+[<\"]([^>\"]+)[>\"]", r"^\s*from\s+([\w.]+)\s+import\b")
 FUNCTION_LINES = (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", r"^\s*(?:(?:public|private|protected|static|final|async|override|virtual|internal)\s+)+[\w<>\[\],.?\s]*?\b([A-Za-z_]\w*)\s*\([^;]*$")
 CLASS_LINES = (r"^\s*(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|abstract|final|static|sealed)\s+)*(?:class|interface|struct|trait|enum|module)\s+([A-Za-z_]\w*)", r"^\s*type\s+([A-Za-z_]\w*)\s+struct\b", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?([A-Za-z_]\w*)")

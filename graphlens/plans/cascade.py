@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.operators import configmatch, extract, gaps, graph, infer, resolve, symbols, trace
+from graphlens.operators import configmatch, dataflow, extract, gaps, graph, infer, resolve, symbols, trace
 from graphlens.sources import configs, repository
 
 
@@ -61,7 +61,8 @@ def analyse(spark: SparkSession, root: str, out: str, providers: Providers | Non
     edges = resolve.flag_external(resolve.resolve(calls, definitions, refs, covered, tail_names), p.pattern_matches)
     edges = keep("edges_flagged", edges)
     edges = keep("edges_constants", trace.constants(trace.literals(edges), assignments))
-    edges = keep("edges_flows", trace.flows(edges, p.flow_results))
+    traced = p.flow_results if p.flow_results is not None else keep("flow_results", dataflow.results(files, edges, keep("flow_facts", dataflow.facts(files))))
+    edges = keep("edges_flows", trace.flows(edges, traced))
     config = configs.config_index(keep("config_rows", configs.config_rows(files)))
     asked = keep("prompts", infer.prompts(edges, files, infer.candidate_pool(config["hosts"], config["services"], edges)))
     edges = keep("edges_inferred", infer.infer(edges, asked, p.model))
@@ -73,7 +74,7 @@ def analyse(spark: SparkSession, root: str, out: str, providers: Providers | Non
     syms = keep("symbols", symbols.symbol_map(definitions, spans))
     keep("coverage", symbols.file_coverage(files, syms, errors, covered))
     parse = gaps.gap(errors, "parse", "file", F.col("kind"), path=F.col("file"), detail=F.col("detail"), impact="the file has no definitions and calls")
-    missing = [gaps.gap(spark.range(1), "providers", "repo", f"{n}_missing", impact="this tier adds nothing") for n in ("occurrences", "pattern_matches", "flow_results", "model") if getattr(p, n) is None]
+    missing = [gaps.gap(spark.range(1), "providers", "repo", f"{n}_missing", impact="only Python is traced" if n == "flow_results" else "this tier adds nothing") for n in ("occurrences", "pattern_matches", "flow_results", "model") if getattr(p, n) is None]
     keep("gaps", gaps.merged(found, parse, resolve.unmapped_gaps(edges, files), symbols.conflict_gaps(syms), *missing))
     return run
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.catalog import query, t
-from graphlens.operators import configmatch, infer, resolve, symbols, trace
+from graphlens.operators import configmatch, dataflow, extract, infer, resolve, symbols, trace
 from graphlens.sources import configs, repository
 
 # ------------------------------------------------------------------ calls and definitions
@@ -162,3 +162,32 @@ def stage_classified(spark, d):
     size = F.when(F.col("doc_id") % 60 == 0, F.lit(3_000_000).cast("long")).otherwise(F.length("text").cast("long") * 200)
     raw = t(spark, d, "documents").select(F.concat(F.lit("p/"), "doc_id", F.lit("/"), tail).alias("path"), "text", size.alias("size_bytes"), F.lit(None).cast("string").alias("error"))
     return repository.classified(raw).select(F.split("path", "/")[1].cast("long").alias("doc_id"), "language", "is_config", "skip_reason")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 8 AS other FROM part), r(start, node) AS (SELECT s_suppkey, s_suppkey * 3 FROM supplier UNION SELECT start, other FROM r JOIN e USING (node))
+SELECT start, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(node) AS BIGINT) AS total FROM r GROUP BY start""")
+def stage_flow_rounds(spark, d):
+    steps = t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 8").alias("other"))
+    starts = t(spark, d, "supplier").select(F.col("s_suppkey").alias("start"), (F.col("s_suppkey") * 3).alias("node"))
+    return dataflow.reached(starts, steps).groupBy("start").agg(F.count("*").alias("nodes"), F.sum("node").alias("total"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s FROM customer), f AS (
+SELECT k, 'literal' AS kind, chr(39) || 'c' || k || '.example.com' || chr(39) AS code, 0 AS conditions FROM c WHERE s IN ('BUILDING', 'MACHINERY') UNION ALL SELECT k, 'literal', chr(39) || 'd' || k || '.example.com' || chr(39), 1 FROM c WHERE s = 'MACHINERY'
+UNION ALL SELECT k, 'env', 'os.environ[' || chr(39) || 'K' || k || chr(39) || ']', 0 FROM c WHERE s = 'AUTOMOBILE' UNION ALL SELECT k, 'parameter', 'u', 0 FROM c WHERE s NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY'))
+SELECT 'src/f' || k || '.py' AS file, kind, code, conditions FROM f""")
+def stage_flow_results(spark, d):
+    """A module for each customer: its open call takes a parameter, which a constant (through a function's result and an attribute), an environment variable, one of two constants or nothing reaches."""
+    k, s = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    boxed = F.when(s == "BUILDING", F.lit("go(self.v)")).otherwise(F.lit("self.v"))
+    head = F.concat(F.lit("import os\nA = 'c"), k, F.lit(".example.com'\ndef pick(x):\n    return x\nclass Box:\n    def __init__(self, v):\n        self.v = v\n    def out(self):\n        return "), boxed, F.lit("\ndef go(u):\n    http.get(u)\n"))
+    uses = (
+        F.when(s == "BUILDING", F.lit("Box(pick(A))\n")).when(s == "AUTOMOBILE", F.concat(F.lit("go(os.environ['K"), k, F.lit("'])\n")))
+        .when(s == "MACHINERY", F.concat(F.lit("B = A\nif A:\n    B = 'd"), k, F.lit(".example.com'\ngo(u=B)\n"))).otherwise(F.lit(""))
+    )
+    files = t(spark, d, "customer").select(F.concat(F.lit("src/f"), k, F.lit(".py")).alias("path"), F.concat(head, uses).alias("text"), F.lit("python").alias("language"), F.lit(False).alias("skipped"), F.lit(False).alias("is_config"))
+    found = extract.tables(extract.extracted(files))
+    edges = resolve.resolve(resolve.with_call_id(found["calls"]), found["definitions"])
+    edges = edges.withColumn("status", F.when(F.col("callee_expr") == "http.get", "external_candidate").otherwise(F.col("status"))).withColumn("host", F.lit(None).cast("string"))
+    flows = dataflow.results(files, edges).select("file", F.explode("flows").alias("f"))
+    return flows.select("file", "f.kind", F.col("f.source.code").alias("code"), F.size("f.conditions").alias("conditions"))
