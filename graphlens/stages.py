@@ -191,3 +191,22 @@ def stage_flow_results(spark, d):
     edges = edges.withColumn("status", F.when(F.col("callee_expr") == "http.get", "external_candidate").otherwise(F.col("status"))).withColumn("host", F.lit(None).cast("string"))
     flows = dataflow.results(files, edges).select("file", F.explode("flows").alias("f"))
     return flows.select("file", "f.kind", F.col("f.source.code").alias("code"), F.size("f.conditions").alias("conditions"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 AS m FROM supplier), r AS (
+SELECT k, 'src/D' || k || '.java' AS file, unnest(['definition', 'definition', 'call', 'call']) AS what, unnest(['D' || k, 'D' || k || '.f', 'this.g', 'h']) AS name, unnest([NULL, NULL, 'D' || k || '.f', 'D' || k || '.f']) AS owner, unnest([1, 2, 3, 3]) AS line FROM s WHERE m = 0
+UNION ALL SELECT k, 'src/b' || k || '.go', unnest(['definition', 'definition', 'call']), unnest(['B' || k, 'B' || k || '.Run', 'b.out.Go']), unnest([NULL, NULL, 'B' || k || '.Run']), unnest([2, 3, 4]) FROM s WHERE m = 1
+UNION ALL SELECT k, 'src/t' || k || '.ts', unnest(['definition', 'call', 'call']), unnest(['at' || k, 'get', 'base']), unnest([NULL, 'at' || k, 'at' || k]), unnest([1, 2, 2]) FROM s WHERE m = 2)
+SELECT file, what, name, owner, CAST(line AS INT) AS line FROM r""")
+def stage_extract(spark, d):
+    """A source for each supplier: Java methods without a modifier, Go methods by receiver, calls inside template strings."""
+    k, m = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    java, go = F.concat(F.lit("class D"), k, F.lit(" {\n  int f(int a) {\n    return this.g(h(a));\n  }\n}\n")), F.concat(F.lit("package p\ntype B"), k, F.lit(" struct { out Out }\nfunc (b *B"), k, F.lit(") Run() {\n\tb.out.Go(`x(1)`)\n}\n"))
+    ts = F.concat(F.lit("export function at"), k, F.lit("(id: string) {\n  return get(`${base()}/x/${id}?no(1)`);\n}\n"))
+    pick = lambda *x: F.when(m == 0, x[0]).when(m == 1, x[1]).otherwise(x[2])
+    path = F.concat(pick(F.lit("src/D"), F.lit("src/b"), F.lit("src/t")), k, pick(F.lit(".java"), F.lit(".go"), F.lit(".ts")))
+    files = t(spark, d, "supplier").select(path.alias("path"), pick(java, go, ts).alias("text"), pick(F.lit("java"), F.lit("go"), F.lit("typescript")).alias("language"), F.lit(False).alias("skipped"), F.lit(False).alias("is_config"))
+    own = lambda c: F.substring_index(c, "::", -1)
+    rows = extract.extracted(files).where("what in ('definition', 'call', 'error')")
+    call = F.col("what") == "call"
+    return rows.select("file", "what", F.when(call, F.col("b")).otherwise(own("a")).alias("name"), F.when(call, own("a")).alias("owner"), "line")
