@@ -29,17 +29,19 @@ def candidate_pool(config_hosts: DataFrame, services: DataFrame, edges: DataFram
 
 
 def prompts(edges: DataFrame, files: DataFrame, candidates: DataFrame, most: int = MAX_CALLS) -> DataFrame:
-    """(call_id, prompt, prompt_sha, names) for external candidates without a host; asked is true for the first `most` by place, so no call vanishes."""
+    """(call_id, asked, prompt, names, prompt_sha) for external candidates without a host; asked is true for the first `most` by place, so no call vanishes. Prompts are built, and texts joined, for those alone."""
     todo = edges.where("status = 'external_candidate' and host is null")
-    first = todo.orderBy("file", "line", "ord").limit(most).select("call_id", F.lit(True).alias("_first"))
+    first = todo.orderBy("file", "line", "ord").limit(most)
     lines = files.select(F.col("path").alias("file"), F.split("text", "\n").alias("lines"))
     names = candidates.agg(F.array_sort(F.collect_list(F.struct("rank", "name", "reason"))).alias("c"))
-    made = todo.join(first, "call_id", "left").withColumn("asked", F.col("_first").isNotNull()).join(lines, "file", "left").join(names, F.lit(True), "left")
+    made = first.withColumn("asked", F.lit(True)).join(lines, "file", "left").join(names, F.lit(True), "left")
+    rest = todo.join(first.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(False).alias("asked"), F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("array<string>").alias("names"))
     window = context_window(F.col("lines"), F.col("line"))
     evidence = F.array_compact(F.array(F.concat(F.lit("callee: "), "callee_expr"), F.when(F.coalesce("argument", F.lit("")) != "", F.concat(F.lit("argument: "), "argument")), F.when(F.col("flow_source").isNotNull(), F.concat(F.lit("source: "), "flow_source")), F.when(F.col("literal_reason").isNotNull(), F.concat(F.lit("note: "), "literal_reason"))))
     offered = F.array_join(F.transform(F.col("c"), lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["reason"], F.lit(")"))), "\n")
     prompt = F.concat_ws("\n\n", F.lit("Which host does this call reach? Answer with a JSON object: service, confidence, evidence."), F.array_join(evidence, "\n"), F.coalesce(window, F.lit("")), F.concat(F.lit("Known names:\n"), F.coalesce(offered, F.lit(""))))
-    return made.select("call_id", "asked", prompt.alias("prompt"), F.transform("c", lambda x: x["name"]).alias("names")).withColumn("prompt_sha", F.sha1("prompt"))
+    asked = made.select("call_id", "asked", prompt.alias("prompt"), F.transform("c", lambda x: x["name"]).alias("names"))
+    return asked.unionByName(rest).withColumn("prompt_sha", F.sha1("prompt"))
 
 
 def parse_answer(text: str | None) -> dict:
