@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.operators import configmatch, dataflow, extract, gaps, graph, infer, resolve, symbols, trace
-from graphlens.sources import configs, repository
+from graphlens.operators import configmatch, dataflow, extract, gaps, graph, infer, resolve, structure, symbols, trace
+from graphlens.sources import configs, listing, repository, symbol_index
 
 
 @dataclass
 class Providers:
-    """Tables of external tools, each optional: index occurrences and infos, structural matches, data-flow results, and a model for inference."""
+    """What comes from outside, each optional: index occurrences and infos, or the path of indexes in wire format (a file, a folder of *.scip); structural matches, or patterns to search for (structure.PATTERNS); data-flow results; a model for inference."""
 
     occurrences: DataFrame | None = None
     infos: DataFrame | None = None
     pattern_matches: DataFrame | None = None
     flow_results: DataFrame | None = None
     model: infer.Model | None = None
+    index: str | None = None
+    patterns: DataFrame | None = None
 
 
 @dataclass
@@ -45,7 +47,7 @@ def analyse(spark: SparkSession, root: str, out: str, providers: Providers | Non
         run.tables[name] = spark.read.schema(df.schema).parquet(os.path.join(out, name))
         return run.tables[name]
 
-    raw = keep("raw", repository.read_repository(spark, root))
+    raw = keep("raw", listing.read_files(listing.list_folder(spark, root, os.path.join(out, "listing")), root))
     files, found = repository.discover(raw)
     files = keep("files", files)
     rows = keep("extracted", extract.extracted(files))
@@ -54,6 +56,12 @@ def analyse(spark: SparkSession, root: str, out: str, providers: Providers | Non
     errors = keep("errors", t["errors"])
     calls = keep("calls", resolve.with_call_id(t["calls"]))
     spans = covered = refs = None
+    damaged = []
+    if p.occurrences is None and p.index is not None:
+        occurrences, infos, failed = symbol_index.tables(keep("index_documents", symbol_index.read_documents(spark, p.index)))
+        p, damaged = replace(p, occurrences=occurrences, infos=infos), [failed]
+    if p.pattern_matches is None and p.patterns is not None:
+        p = replace(p, pattern_matches=keep("pattern_matches", structure.matches(files, p.patterns)))
     if p.occurrences is not None:
         refs, covered = symbols.references(p.occurrences), p.occurrences.select("file").distinct()
         if p.infos is not None:
@@ -75,7 +83,7 @@ def analyse(spark: SparkSession, root: str, out: str, providers: Providers | Non
     keep("coverage", symbols.file_coverage(files, syms, errors, covered))
     parse = gaps.gap(errors, "parse", "file", F.col("kind"), path=F.col("file"), detail=F.col("detail"), impact="the file has no definitions and calls")
     missing = [gaps.gap(spark.range(1), "providers", "repo", f"{n}_missing", impact="only Python is traced" if n == "flow_results" else "this tier adds nothing") for n in ("occurrences", "pattern_matches", "flow_results", "model") if getattr(p, n) is None]
-    keep("gaps", gaps.merged(found, parse, resolve.unmapped_gaps(edges, files), symbols.conflict_gaps(syms), *missing))
+    keep("gaps", gaps.merged(found, parse, resolve.unmapped_gaps(edges, files), symbols.conflict_gaps(syms), *damaged, *missing))
     return run
 
 

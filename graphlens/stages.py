@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.catalog import query, t
-from graphlens.operators import configmatch, dataflow, extract, infer, resolve, symbols, trace
+from graphlens.operators import configmatch, dataflow, extract, infer, resolve, structure, symbols, trace
 from graphlens.sources import configs, repository
 
 # ------------------------------------------------------------------ calls and definitions
@@ -210,3 +210,54 @@ def stage_extract(spark, d):
     rows = extract.extracted(files).where("what in ('definition', 'call', 'error')")
     call = F.col("what") == "call"
     return rows.select("file", "what", F.when(call, F.col("b")).otherwise(own("a")).alias("name"), F.when(call, own("a")).alias("owner"), "line")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m, o_custkey % 3 AS a, o_orderdate AS d FROM orders), r AS (
+SELECT k, m, unnest(['python-requests', 'twice']) AS label, unnest([2, 3]) AS line, a FROM o WHERE m = 0
+UNION ALL SELECT k, m, unnest(['js-fetch', 'js-axios']), 3, a FROM o WHERE m = 1
+UNION ALL SELECT k, m, 'go-net-http', 4, a FROM o WHERE m = 2)
+SELECT 'o' || k AS file, CAST(line AS INT) AS line, label FROM r WHERE label <> 'twice' OR a = k % 3""")
+def stage_structure(spark, d):
+    """A source for each order, with calls in code, in template holes, over several lines, in strings, in comments, of members and with equal arguments."""
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    python = F.concat(F.lit("def requests(a):\n    return requests.get('u', timeout="), k, F.lit(")\nx = same([a, "), F.col("o_custkey") % 3, F.lit("], [a, "), k % 3, F.lit("])\n"))
+    js, go = F.lit("const a = 'fetch(x)';\n// fetch(y)\nfetch(`/${axios.post(u)}`);\n"), F.lit("package p\nfunc g() {\n\tx.http.Get(u)\n\thttp.Get(\n\t\tu)\n}\n")
+    text = F.when(m == 0, python).when(m == 1, js).when(m == 2, go).otherwise("self.requests.get(x)\n'requests.get(x)'\n")
+    language = F.when(m == 1, "javascript").when(m == 2, "go").otherwise("python")
+    files = t(spark, d, "orders").select(F.concat(F.lit("o"), k).alias("path"), language.alias("language"), text.alias("text"), F.lit(False).alias("skipped"))
+    twice = spark.createDataFrame([("python", "twice", "same($A, $A)")], structure.PATTERNS)
+    return structure.matches(files, structure.client_patterns(spark).unionByName(twice))
+
+
+_INDEXED = """WITH d AS (SELECT DISTINCT 'f' || s_nationkey || '.py::s' || (s_suppkey % 97) AS q, 's' || (s_suppkey % 97) AS name, 'f' || s_nationkey || '.py' AS file FROM supplier),
+c AS (SELECT c_custkey AS id, 'f' || c_nationkey || '.py' AS file, 's' || (c_custkey % 120) AS callee FROM customer),
+refs AS (SELECT id, 'f' || ((id + j) % 25) || '.py' AS def_file, 's' || (id % 110) AS def_name FROM c, (VALUES (0), (7)) v(j) WHERE id % 5 > 0 AND (j = 0 OR id % 5 > 3)),
+cov AS (SELECT DISTINCT file FROM c WHERE CAST(regexp_extract(file, '[0-9]+') AS INT) % 3 > 0),
+h AS (SELECT c.id, refs.def_file, d.q FROM c JOIN cov USING (file) JOIN refs USING (id) LEFT JOIN d ON d.file = refs.def_file AND d.name = refs.def_name),
+s AS (SELECT id, list(DISTINCT q ORDER BY q) FILTER (q IS NOT NULL) AS targets, list(DISTINCT def_file ORDER BY def_file) FILTER (q IS NULL) AS unmapped FROM h GROUP BY id),
+r AS (SELECT c.id, c.file, cov.file IS NOT NULL AS covered, s.targets, coalesce(s.unmapped, []) AS unmapped, d.q AS own FROM c LEFT JOIN cov USING (file) LEFT JOIN s USING (id) LEFT JOIN d ON d.q = c.file || '::' || c.callee),
+e AS (SELECT id, CASE WHEN targets IS NOT NULL THEN 'scip' WHEN NOT covered AND own IS NOT NULL THEN 'lexical_fallback' END AS via, CASE WHEN targets IS NOT NULL THEN targets WHEN NOT covered AND own IS NOT NULL THEN [own] ELSE [] END AS targets, unmapped FROM r)"""
+
+
+def _indexed(spark, d) -> DataFrame:
+    """Calls in files of which an index covers two thirds. A definition's line is the number in its name; an index refers to definitions by file, line and column, which the parser may lack."""
+    name, of = F.col("s_suppkey") % 97, lambda c: F.concat(F.lit("f"), c, F.lit(".py"))
+    defs = t(spark, d, "supplier").select(F.concat(of(F.col("s_nationkey")), F.lit("::s"), name).alias("qualified_name"), F.concat(F.lit("s"), name).alias("name"), of(F.col("s_nationkey")).alias("file"), F.lit(0).alias("ord"), name.cast("int").alias("name_line"), F.lit(4).alias("name_col"))
+    k, file = F.col("c_custkey"), of(F.col("c_nationkey"))
+    customer = t(spark, d, "customer")
+    calls = customer.select(F.concat(file, F.lit("::<module>")).alias("caller"), F.concat(F.lit("s"), k % 120).alias("callee_expr"), k.cast("int").alias("line"), F.lit("").alias("arg_text"), file.alias("file"), k.cast("int").alias("callee_line"), F.lit(1).alias("callee_col"), k.cast("int").alias("ord"))
+    more = F.when(k % 5 == 0, F.array().cast("array<int>")).when(k % 5 > 3, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))
+    refs = customer.select(file.alias("file"), k.cast("int").alias("line"), F.lit(1).alias("col"), F.explode(more).alias("j"), (k % 110).cast("int").alias("def_line"), k.alias("k")).select("file", "line", "col", of((F.col("k") + F.col("j")) % 25).alias("def_file"), "def_line", F.lit(4).alias("def_col"))
+    covered = customer.where("c_nationkey % 3 > 0").select(file.alias("file"))
+    return resolve.resolve(resolve.with_call_id(calls), defs, refs, covered)
+
+
+@query(_INDEXED + " SELECT id, CASE WHEN via IS NOT NULL THEN 'internal' WHEN len(unmapped) > 0 THEN 'internal_unmapped' ELSE 'unresolved' END AS status, via, array_to_string(targets, ',') AS targets, array_to_string(unmapped, ',') AS unmapped FROM e")
+def stage_resolve_indexed(spark, d):
+    return _indexed(spark, d).select(F.col("line").cast("long").alias("id"), "status", F.col("resolved_via").alias("via"), F.array_join("resolved_targets", ",").alias("targets"), F.array_join("unmapped_def_files", ",").alias("unmapped"))
+
+
+@query(_INDEXED + ", u AS (SELECT unnest(unmapped) AS path FROM e WHERE via IS NULL) SELECT path, count(*) AS calls, CASE WHEN CAST(regexp_extract(path, '[0-9]+') AS INT) % 2 = 0 THEN 'too_large' ELSE 'its definitions are not known' END AS detail FROM u GROUP BY path")
+def stage_unmapped_gaps(spark, d):
+    files = t(spark, d, "nation").select(F.concat(F.lit("f"), "n_nationkey", F.lit(".py")).alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "too_large").alias("skip_reason"))
+    return resolve.unmapped_gaps(_indexed(spark, d), files).select("path", F.col("count").alias("calls"), "detail")

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from graphlens.operators import symbols
+from graphlens.operators import structure, symbols
+from graphlens.plans import cascade
 from graphlens.sources import symbol_index, tools
 
 
@@ -94,3 +95,25 @@ def test_numbers_and_single_lists():
         list(symbol_index.fields(b"\x80" * 12, 0, 12))
     with pytest.raises(symbol_index.Damaged):
         list(symbol_index.fields(b"\x0b", 0, 1))
+
+
+def test_the_cascade_reads_an_index_and_searches_patterns(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.py").write_text("def go(x):\n    x.run()\n    requests.get('http://api.example.com/v1')\n")
+    (root / "b.py").write_text("class B:\n    def run(self):\n        pass\n")
+    (root / "c.py").write_text("def own():\n    own()\n")
+    occ = {"a.py": [{"range": [1, 6, 9], "symbol": "pkg B#run", "symbol_roles": 0}], "b.py": [{"range": [1, 8, 11], "symbol": "pkg B#run", "symbol_roles": 1, "enclosing_range": [1, 4, 2, 12]}]}
+    made = [{"relative_path": f, "language": "python", "occurrences": o, "symbols": [{"symbol": "pkg B#run", "kind": "26", "display_name": "run"}]} for f, o in occ.items()]
+    (tmp_path / "ix").mkdir()
+    index(tmp_path / "ix" / "good.scip", made)
+    index(tmp_path / "ix" / "bad.scip", [{**made[0], "relative_path": "c.py"}], tail=b"\x12\x7f")
+    given = cascade.Providers(index=str(tmp_path / "ix"), patterns=structure.client_patterns(spark))
+    run = cascade.analyse(spark, str(root), str(tmp_path / "out"), given)
+    got = {(r.file, r.callee_expr): (r.status, r.resolved_via, r.external_via, r.resolved_targets) for r in run.edges.collect()}
+    assert got[("a.py", "x.run")] == ("internal", "scip", None, ["b.py::B.run"])
+    assert got[("a.py", "requests.get")][:3] == ("external_candidate", None, "ast_grep")
+    assert got[("c.py", "own")][:2] == ("internal", "lexical_fallback")
+    kinds = {r.kind for r in run.gaps.collect()}
+    assert "index_failed" in kinds and not {"occurrences_missing", "pattern_matches_missing"} & kinds
+    assert {r.id: r.source for r in run.symbols.collect()}["b.py::B.run"] == "both"
