@@ -18,6 +18,8 @@ from graphlens.llm.common import discard, materialize
 SAMPLE = 8_000
 #: Queries of the sample on which the number of probed lists is chosen, and the share of their neighbours that the lists must hold.
 TRIALS, RECALL = 200, 0.97
+#: The part of the table whose best products bound a query's search: one row of so many, SAMPLE rows at most, however small the table is.
+BOUND_SHARE = 8
 #: Most vectors and queries of one list in one task; larger lists are dealt into blocks.
 LIST_ROWS, QUERY_ROWS = 2_048, 1_024
 #: Dimensions of a column block, vectors that are scanned between two looks at the bound, and how sure a test must be (in deviations).
@@ -73,7 +75,7 @@ def fit(x: np.ndarray, norm2: float, rows: int, k: int, seed: int = 7) -> Index:
     order = np.argsort(index.lists(index.turn(x[asked]), n), axis=1)  # place of each list among the query's
     needs = np.take_along_axis(order, own[near], axis=1).ravel()
     index.probes = int(np.quantile(needs, RECALL, method="higher")) + 1 if len(needs) else n
-    index.sample = x[:SAMPLE]
+    index.sample = x[: min(SAMPLE, rows // BOUND_SHARE)]
     return index
 
 
@@ -128,9 +130,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     """(query_id long, rank int, vec_id long, score double): for each vector whose id is divisible by `every` the k others of the largest inner product that its probed lists hold, nearest first, ties to the smaller id.
 
     Scores are inner products of the vectors as given, in double precision. Vectors that are null, zero or hold null or non-finite components take
-    no part. Vectors have a product with those of their own length alone, so each length is a search of its own. A query that finds fewer than k others is
-    compared with every row, so none lacks neighbours. While the sample is the whole table its bound admits the k nearest alone, so any neighbour
-    missed leads there and the result is exact, for queries of at most SAMPLE vectors; in larger tables the lists decide. Each row is a
+    no part. Vectors have a product with those of their own length alone, so each length is a search of its own. The bound of a search comes from one
+    row of BOUND_SHARE (SAMPLE rows at most), so the lists decide in tables of any size; only a query whose lists hold fewer than k others within
+    it is compared with every row, so none lacks neighbours. Each row is a
     candidate for all other rows, and a query of its own if its id is, so rows that repeat an id or a vector count each. Other columns are not looked at. No row gives no row.
 
     Lists of more than LIST_ROWS vectors and more than QUERY_ROWS queries of a list go to several tasks in blocks.

@@ -114,3 +114,19 @@ def test_every_row_is_a_candidate_whatever_its_id_and_length(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
     want = [(20, 1, 3, 9.0), (20, 2, 3, 5.0), (20, 3, 60, 2.0), (40, 1, 7, 2.0)] + 2 * [(60, 1, 3, 18.0), (60, 2, 3, 10.0), (60, 3, 60, 8.0)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "12000"])
+def test_the_lists_decide_in_tables_of_any_size(spark, size, monkeypatch):
+    asked, whole = [], vectors._whole_scan
+    monkeypatch.setattr(vectors, "_whole_scan", lambda clean, few, k, dim: asked.append(few.count()) or whole(clean, few, k, dim))
+    if size.isdigit():
+        x = np.random.default_rng(1).normal(size=(int(size), 16))
+        df, rows, every = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), list(enumerate(x)), 200
+    else:
+        df, every = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet"), 20
+        rows = sorted((r.vec_id, r.embedding) for r in df.collect())
+    got, want = ran(df, every=every), brute(np.array([i for i, _ in rows]), np.array([v for _, v in rows], float), every, 20)
+    assert set(got) == set(want) and all(len(r) == 20 for r in got.values())
+    assert sum(asked) <= 0.05 * len(want) and recall(got, want) >= 0.9
+    print(size, sum(asked), len(want), round(recall(got, want), 4))
