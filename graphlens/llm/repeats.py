@@ -198,8 +198,13 @@ def shared_symbols(marks_: DataFrame, rounds: int = ABOVE) -> tuple[DataFrame, l
     return now.select("doc_id", "crc", "s", "n", "lo", "leaves"), paths
 
 
+def text_key(text: Column) -> Column:
+    """64 bits that tell texts of one doc_id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
-    """docs(doc_id, text, crc) -> (doc_id, crc, spans array<struct<s int, e int>>), a row for each document with a word that a window repeated from a smaller doc_id covers; spans are its words' places, disjoint and ascending.
+    """docs(doc_id, text) -> (doc_id, crc: text_key of text, spans array<struct<s int, e int>>), a row for each document with a word that a window repeated from a smaller doc_id covers; spans are its words' places, disjoint and ascending.
 
     1. One pass over the texts makes marks (see `marks`), about one for every twenty words; a run of equal marks of
        a document, as in texts that repeat themselves, is one row.
@@ -225,7 +230,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> D
             cols = [x.astype(np.int32) for x in (start - first[doc], many, step, times)]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), batch.column(0).take(take), batch.column(2).take(take), *map(pa.array, cols)], names=["k", "r", "doc_id", "crc", "s", "n", "step", "times"])
 
-    plain = docs.where("doc_id is not null").select("doc_id", "text", "crc")
+    plain = docs.where("doc_id is not null").select("doc_id", "text", text_key(F.col("text")).alias("crc"))
     made, made_at = materialize(plain.mapInArrow(mark, f"k long, r long, doc_id {kind}, crc long, s int, n int, step int, times int"), "marks")
     # Aggregates are written before they are joined: a join straight on one can't split the hot keys of its other side.
     shared, shared_at = materialize(made.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k"), "keys")
@@ -283,7 +288,7 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) ->
     Repeated rows are not "smaller" than each other, so they keep what no third row covers. Rows without doc_id neither lose words nor take
     any from others. Other columns of docs are not looked at. No row gives no row.
     """
-    plain = bounded(docs).select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
+    plain = bounded(docs).select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")).withColumn("crc", text_key(F.col("text")))
     spans = repeated_spans(plain, window, rounds)
     kind = plain.schema["doc_id"].dataType.simpleString()
 
@@ -310,7 +315,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     doc, text = cols[names.index("doc_id")], cols[names.index("text")]
     plain = bounded(docs).toDF(*cols)
     found = spans.select(F.col("doc_id").alias("span_doc"), F.col("crc").alias("span_crc"), "spans")
-    both = plain.join(found.hint("shuffle_hash"), (F.col(doc) == F.col("span_doc")) & (F.crc32(F.coalesce(text, F.lit(""))) == F.col("span_crc")), "left").select(*cols, "spans")
+    both = plain.join(found.hint("shuffle_hash"), (F.col(doc) == F.col("span_doc")) & (text_key(F.col(text)) == F.col("span_crc")), "left").select(*cols, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts_ in slices(batches, text):

@@ -1,6 +1,8 @@
 """Removal of long repeats against a version that looks at every window."""
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -111,3 +113,15 @@ def test_symbols_of_copies_are_long(spark):
         own = sorted((r.s, r.n) for r in got if r.doc_id == d)
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
         assert len(own) < 0.5 * sum(m[0] == d for m in made)
+
+
+def test_texts_of_one_doc_id_with_equal_checksums_keep_their_own_cuts(spark):
+    passage, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    end = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    ends = {zlib.crc32((x := f"{passage} {end(i)}").encode()): x for i in range(200_000)}
+    two = next((ends[c], x) for i in range(400_000) if (c := zlib.crc32((x := f"{other} {end(-1 - i)}").encode())) in ends)
+    rows = [(1, passage), (5, two[0]), (5, two[1])]
+    got = repeats.digest(repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(map(tuple, got.collect())) == sorted(repeats.brute_force(rows))
+    kept = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 5").collect()
+    assert sorted((r.n_removed, r.kept) for r in kept) == [(0, two[1]), (60, two[0].split()[-1])]
