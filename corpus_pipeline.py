@@ -40,7 +40,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that a 50-word window repeated from a smaller doc_id covers; texts that lose nothing stay as they are. n_chars follows the text where the table has it."""
-    spans = repeats.repeated_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text")))
+    spans = repeats.repeated_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     return repeats.cut_spans(docs, spans)
 
 
