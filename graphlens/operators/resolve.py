@@ -42,11 +42,19 @@ def with_call_id(calls: DataFrame) -> DataFrame:
     return calls.withColumn("call_id", F.concat_ws("#", "file", F.col("ord").cast("string")))
 
 
-def _targets(found: DataFrame, name: str) -> DataFrame:
-    """(call_id, name array): distinct target names in the order of the definitions."""
-    rows = found.groupBy("call_id", "qualified_name").agg(F.min(F.struct("def_file", "def_ord")).alias("at"))
-    made = rows.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("at", "qualified_name"))).alias("_t"))
-    return made.select("call_id", F.transform("_t", lambda x: x["qualified_name"]).alias(name))
+def _indexed(hits: DataFrame, d: DataFrame) -> DataFrame:
+    """(call_id, scip_targets, unmapped) of calls with the places that an index gives: distinct target names in the order of the definitions, null if
+    there are none, and the distinct files of places where no definition is.
+
+    A name that is defined more than once at a place counts once before the join, so a call meets each of its targets once, however often that is repeated.
+    """
+    once = d.groupBy("qualified_name", "def_file", "name_line", "name_col").agg(F.min("def_ord").alias("def_ord"))
+    here = (F.col("at_file") == F.col("def_file")) & (F.col("def_line") == F.col("name_line")) & (F.col("def_col") == F.col("name_col"))
+    known = hits.join(once.hint("merge"), here, "left").select("call_id", "qualified_name", "def_file", "def_ord", F.when(F.col("qualified_name").isNull(), F.col("at_file")).alias("lost"))
+    rows = known.groupBy("call_id", "qualified_name", "lost").agg(F.min(F.struct("def_file", "def_ord")).alias("at"))
+    there = F.when(F.col("qualified_name").isNotNull(), F.struct("at", "qualified_name"))
+    made = rows.groupBy("call_id").agg(F.array_sort(F.collect_list(there)).alias("_t"), F.array_sort(F.collect_list("lost")).alias("unmapped"))
+    return made.select("call_id", F.when(F.size("_t") > 0, F.transform("_t", lambda x: x["qualified_name"])).alias("scip_targets"), "unmapped")
 
 
 def resolve(calls: DataFrame, definitions: DataFrame, scip_refs: DataFrame | None = None, scip_covered: DataFrame | None = None, tail_names: bool = False) -> DataFrame:
@@ -55,29 +63,29 @@ def resolve(calls: DataFrame, definitions: DataFrame, scip_refs: DataFrame | Non
     In a file that the index covers its references decide: a position with definitions that the parser has too is internal, one with other
     definitions internal_unmapped. Elsewhere a bare name of the same file, or self.x in its class, is internal (lexical_fallback); with tail_names
     also any definition of the last part of the name, those of the same file first. The rest is unresolved. Provider tables may be missing.
+    Tables that grow with calls or definitions are merged, not broadcast: Spark's guess of their size is far too low behind Python's rows or short columns.
     """
     d = definitions.select("qualified_name", "name", F.col("file").alias("def_file"), F.col("ord").alias("def_ord"), "name_line", "name_col")
     c = calls.select("call_id", "file", "caller", "callee_expr", "callee_line", "callee_col")
     base = calls
     if scip_refs is not None and scip_covered is not None:
         refs = scip_refs.select("file", F.col("line").alias("callee_line"), F.col("col").alias("callee_col"), F.col("def_file").alias("at_file"), "def_line", "def_col")
-        hits = c.join(scip_covered.select("file").distinct(), "file", "left_semi").join(refs, ["file", "callee_line", "callee_col"])
-        known = hits.join(d, (F.col("at_file") == F.col("def_file")) & (F.col("def_line") == F.col("name_line")) & (F.col("def_col") == F.col("name_col")), "left")
-        scip = _targets(known.where("qualified_name is not null"), "scip_targets")
-        unmapped = known.where("qualified_name is null").groupBy("call_id").agg(F.array_sort(F.collect_set("at_file")).alias("unmapped"))
+        hits = c.join(scip_covered.select("file").distinct(), "file", "left_semi").join(refs.hint("merge"), ["file", "callee_line", "callee_col"])
         covered = scip_covered.select("file").distinct().withColumn("covered", F.lit(True))
-        base = base.join(covered, "file", "left").join(scip, "call_id", "left").join(unmapped, "call_id", "left")
+        base = base.join(covered, "file", "left").join(_indexed(hits.select("call_id", "at_file", "def_line", "def_col"), d).hint("merge"), "call_id", "left")
     else:
         none = F.lit(None).cast("array<string>")
         base = base.withColumn("covered", F.lit(None).cast("boolean")).withColumn("scip_targets", none).withColumn("unmapped", none)
     bare = ~F.col("callee_expr").contains(".")
     own = F.when(head_name(F.col("callee_expr")).isin("self", "cls", "this") & (F.size(F.split("callee_expr", "[.]")) == 2), enclosing_class(F.col("caller")))
     wanted = F.when(bare, F.concat("file", F.lit("::"), "callee_expr")).when(own.isNotNull(), F.concat("file", F.lit("::"), own, F.lit("."), tail_name(F.col("callee_expr"))))
-    names = d.groupBy("qualified_name").agg(F.min("def_ord").alias("_o")).select(F.col("qualified_name").alias("_wanted"), F.lit(True).alias("_there"))
-    base = base.withColumn("_wanted", wanted).join(names, "_wanted", "left").withColumn("lexical", F.when(F.col("_there"), F.array("_wanted")))
+    names = d.groupBy("qualified_name").agg(F.min("def_ord").alias("_o")).select(F.col("qualified_name").alias("_wanted"), F.lit(True).alias("_wants"), F.lit(True).alias("_there"))
+    # Calls that want no name are dealt by their own ids, not all to one task; the flag keeps those from names.
+    base = base.withColumn("_wants", wanted.isNotNull()).withColumn("_wanted", F.coalesce(wanted, F.col("call_id")))
+    base = base.join(names.hint("merge"), ["_wanted", "_wants"], "left").withColumn("lexical", F.when(F.col("_there"), F.array("_wanted")))
     if tail_names:
         tails = preferred_targets(c.select("call_id", "file", tail_name(F.col("callee_expr")).alias("name")), definitions, "call_id", "qualified_name", "ord")
-        base = base.join(tails.withColumnRenamed("targets", "tail_targets"), "call_id", "left")
+        base = base.join(tails.withColumnRenamed("targets", "tail_targets").hint("merge"), "call_id", "left")
     else:
         base = base.withColumn("tail_targets", F.lit(None).cast("array<string>"))
     lexical = F.col("covered").isNull() & F.col("lexical").isNotNull()
@@ -86,7 +94,7 @@ def resolve(calls: DataFrame, definitions: DataFrame, scip_refs: DataFrame | Non
     targets = F.when(via == "scip", F.col("scip_targets")).when(via == "lexical_fallback", F.col("lexical")).when(via == "tail_name", F.col("tail_targets")).otherwise(F.array().cast("array<string>"))
     made = base.withColumn("resolved_via", via).withColumn("resolved_targets", targets).withColumn("unmapped_def_files", F.coalesce("unmapped", F.array().cast("array<string>")))
     status = F.when(F.col("resolved_via").isNotNull(), "internal").when(F.size("unmapped_def_files") > 0, "internal_unmapped").otherwise("unresolved")
-    return made.withColumn("status", status).drop("covered", "scip_targets", "unmapped", "_wanted", "_there", "lexical", "tail_targets")
+    return made.withColumn("status", status).drop("covered", "scip_targets", "unmapped", "_wanted", "_wants", "_there", "lexical", "tail_targets")
 
 
 def flag_external(edges: DataFrame, pattern_matches: DataFrame | None = None) -> DataFrame:
