@@ -53,3 +53,12 @@ def test_no_table_of_definitions_or_references_is_broadcast(spark):
     refs = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(19999))).alias("line")).select(F.lit("f1").alias("file"), "line", F.lit(1).alias("col"), F.lit("d").alias("def_file"), F.lit(7).alias("def_line"), F.lit(1).alias("def_col"))
     assert rows_made(spark, resolve.resolve(calls, definitions, refs, calls.select("file").where("file = 'f1'")), "BroadcastExchange") <= 300
     assert rows_made(spark, resolve.resolve(calls, definitions), "BroadcastExchange") <= 300
+
+
+def test_gaps_count_a_lost_place_once_for_each_call(spark):
+    calls, definitions = _calls(spark, 300), _definitions(spark, 2000, 10)
+    refs = calls.select("file", F.col("callee_line").alias("line"), F.lit(1).alias("col"), F.lit("d").alias("def_file"), (F.col("ord") % 12).alias("def_line"), F.lit(1).alias("def_col"))
+    files = spark.createDataFrame([("d", "too_large")], "path string, skip_reason string")
+    gaps = resolve.unmapped_gaps(resolve.resolve(calls, definitions, refs, calls.select("file")), files)
+    assert rows_made(spark, gaps, "Join") <= 300
+    assert [(r.path, r["count"], r.detail) for r in gaps.collect()] == [("d", 50, "too_large")]
