@@ -22,6 +22,8 @@ FACTS = "fact string, file string, node string, other string, pos string, code s
 #: Calls whose arguments go into their result, and readers of the environment. Fixed values.
 PASSES = frozenset("format join str urljoin bytes strip rstrip lstrip lower replace".split())
 ENV_CALLS = ("os.getenv", "os.environ.get", "getenv", "environ.get")
+#: Rows of a round that are broadcast at most; a round of more is merged with the edges.
+FEW = 10_000
 
 
 class _Facts(ast.NodeVisitor):
@@ -231,8 +233,8 @@ def facts(files: DataFrame) -> DataFrame:
     return files.where("not skipped and language = 'python'").select("path", "text").mapInPandas(run, FACTS)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir for the tables of the rounds; where that is unset and Spark runs in this process alone, one of this machine."""
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir for tables on the way; where that is unset and Spark runs in this process alone, one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
@@ -240,7 +242,14 @@ def _folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="graphlens-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         root = f"file://{root}"
-    return f"{root.rstrip('/')}/graphlens/reached-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/graphlens/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new folder and read from there: made once, however many steps read it."""
+    path = _folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -248,9 +257,9 @@ def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
     Semi-naive rounds: only pairs that are new go on, so a cycle ends and no path is walked twice; each round is one join and one anti-join, and
     is written, so that no plan grows and a lost executor costs one round. As many rounds as the longest shortest path has edges. Null ends lead
-    nowhere.
+    nowhere. Only rounds of at most FEW pairs are broadcast: a written table's size says little of its rows' in memory.
     """
-    spark, folder = starts.sparkSession, _folder(starts.sparkSession)
+    spark, folder = starts.sparkSession, _folder(starts.sparkSession, "reached")
 
     def written(df: DataFrame, name: str) -> str:
         df.write.parquet(f"{folder}/{name}")
@@ -262,19 +271,23 @@ def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
     steps = spark.read.schema(steps.schema).parquet(written(steps, "steps"))
     read = lambda *paths: spark.read.schema(first.schema).parquet(*paths)
     rounds = [written(first, "round-0")]
-    while not (new := read(rounds[-1])).isEmpty():
-        found = new.join(steps, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
-        rounds.append(written(found.join(read(*rounds), ["start", "node"], "left_anti"), f"round-{len(rounds)}"))
+    while n := (new := read(rounds[-1])).count():
+        asked = F.broadcast(new) if n <= FEW else new.hint("merge")
+        found = asked.join(steps, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
+        rounds.append(written(found.join(read(*rounds).hint("merge"), ["start", "node"], "left_anti"), f"round-{len(rounds)}"))
     return read(*rounds)
 
 
 def linked(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, other): the edges of facts, and over resolved calls those from parameters to arguments and from results to returned values. edges: calls with callee_line, callee_col and resolved_targets."""
-    calls = edges.where("size(resolved_targets) > 0 and callee_col >= 0").select("file", F.col("callee_line").alias("line"), F.col("callee_col").alias("col"), F.explode("resolved_targets").alias("target")).distinct()
+    """(node, other): the edges of facts, and over resolved calls those from parameters to arguments and from results to returned values. edges: calls with callee_line, callee_col and resolved_targets.
+
+    All its tables grow with the sources and are merged: facts come from Python, so Spark takes them for as small as the list of files.
+    """
+    calls = edges.where("size(resolved_targets) > 0 and callee_col >= 0").select("file", F.col("callee_line").alias("line"), F.col("callee_col").alias("col"), F.explode("resolved_targets").alias("target")).distinct().hint("merge")
     args = known.where("fact = 'arg'").select("file", "line", "col", "pos", F.col("node").alias("other"))
     params = known.where("fact = 'param'").select(F.col("other").alias("target"), "pos", "node")
     results = known.where("fact = 'result'").select("file", "line", "col", "node")
-    given = args.join(calls, ["file", "line", "col"]).join(params, ["target", "pos"]).select("node", "other")
+    given = args.join(calls, ["file", "line", "col"]).join(params.hint("merge"), ["target", "pos"]).select("node", "other")
     returned = results.join(calls, ["file", "line", "col"]).select("node", F.concat("target", F.lit("#return")).alias("other"))
     return known.where("fact = 'edge'").select("node", "other").unionByName(given).unionByName(returned)
 
@@ -283,21 +296,21 @@ def results(files: DataFrame, edges: DataFrame, known: DataFrame | None = None)
     """FLOW_RESULTS for each external candidate without a host: the literals, environment reads and uncalled parameters that its first argument (or the one named url) may come from.
 
     The same table that an outside tool would give. A flow's conditions are the tests around its source. Calls in files that are no Python have
-    no row, as with a tool that doesn't know them.
+    no row, as with a tool that doesn't know them. Facts that aren't given are written first; give edges that are written, as they are read three times.
     """
-    known = facts(files) if known is None else known
+    known = kept(facts(files), "facts") if known is None else known
     open_ = edges.where("status = 'external_candidate' and host is null").select("call_id", "file", "line", F.col("callee_line").alias("_line"), F.col("callee_col").alias("_col"))
     args = known.where("fact = 'arg' and pos in ('0', 'url')").select("file", F.col("line").alias("_line"), F.col("col").alias("_col"), "node").distinct()
-    starts = open_.join(args, ["file", "_line", "_col"])
-    links = linked(known, edges)
+    starts = kept(open_.join(args.hint("merge"), ["file", "_line", "_col"]), "starts")
+    links = kept(linked(known, edges), "links")
     pairs = reached(starts.select(F.col("call_id").alias("start"), "node"), links)
     sources = known.where("fact in ('literal', 'env')").select("node", F.col("fact").alias("kind"), "code", F.col("file").alias("of"), F.col("line").alias("at"), "conditions")
-    free = known.where("fact = 'param'").select("node", "code", F.col("file").alias("of"), F.col("line").alias("at")).dropDuplicates(["node"]).join(links.select("node"), "node", "left_anti").join(known.where("fact in ('literal', 'env')").select("node"), "node", "left_anti")
+    free = known.where("fact = 'param'").select("node", "code", F.col("file").alias("of"), F.col("line").alias("at")).dropDuplicates(["node"]).join(links.select("node").hint("merge"), "node", "left_anti").join(known.where("fact in ('literal', 'env')").select("node").hint("merge"), "node", "left_anti")
     sources = sources.unionByName(free.select("node", F.lit("parameter").alias("kind"), "code", "of", "at", F.array().cast("array<string>").alias("conditions")))
     place = lambda code, of, at: F.struct(code.alias("code"), of.alias("file"), at.alias("line"), F.lit(None).cast("string").alias("method"))
     flow = F.struct("kind", place(F.col("code"), F.col("of"), F.col("at")).alias("source"), F.array().cast("array<struct<code:string,file:string,line:int,method:string>>").alias("steps"), F.transform("conditions", lambda c: place(c, F.col("of"), F.col("at"))).alias("conditions"))
-    by_call = pairs.join(sources, "node").select(F.col("start").alias("call_id"), flow.alias("flow")).distinct().groupBy("call_id").agg(F.array_sort(F.collect_list("flow")).alias("flows"))
+    by_call = pairs.join(sources.hint("merge"), "node").select(F.col("start").alias("call_id"), flow.alias("flow")).distinct().groupBy("call_id").agg(F.array_sort(F.collect_list("flow")).alias("flows"))
     python = files.where("not skipped and language = 'python'").select(F.col("path").alias("file"))
-    made = open_.join(python, "file", "left_semi").join(starts.select("call_id").distinct().withColumn("found_argument", F.lit(True)), "call_id", "left").join(by_call, "call_id", "left")
+    made = open_.join(python.hint("merge"), "file", "left_semi").join(starts.select("call_id").distinct().withColumn("found_argument", F.lit(True)).hint("merge"), "call_id", "left").join(by_call.hint("merge"), "call_id", "left")
     one = made.groupBy("file", "line").agg(F.lit(True).alias("found_call"), F.coalesce(F.max("found_argument"), F.lit(False)).alias("found_argument"), F.flatten(F.collect_list("flows")).alias("flows"))
     return one.select(*[x.split()[0] for x in re.sub(r"<.*>", "", FLOW_RESULTS).split(", ")])

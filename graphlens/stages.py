@@ -140,6 +140,9 @@ def stage_candidate_pool(spark, d):
 
 # ------------------------------------------------------------------ files
 
+#: Modules that one task parses, about.
+MODULES = 5_000
+
 _KV = configs.KEY_VALUE.replace("'", "''")
 
 
@@ -185,11 +188,14 @@ def stage_flow_results(spark, d):
         F.when(s == "BUILDING", F.lit("Box(pick(A))\n")).when(s == "AUTOMOBILE", F.concat(F.lit("go(os.environ['K"), k, F.lit("'])\n")))
         .when(s == "MACHINERY", F.concat(F.lit("B = A\nif A:\n    B = 'd"), k, F.lit(".example.com'\ngo(u=B)\n"))).otherwise(F.lit(""))
     )
-    files = t(spark, d, "customer").select(F.concat(F.lit("src/f"), k, F.lit(".py")).alias("path"), F.concat(head, uses).alias("text"), F.lit("python").alias("language"), F.lit(False).alias("skipped"), F.lit(False).alias("is_config"))
-    found = extract.tables(extract.extracted(files))
+    # Parsing is dealt by the number of files: one small file of keys stands for many modules.
+    customer = t(spark, d, "customer")
+    customer = customer.repartition(1 + customer.count() // MODULES, "c_custkey")
+    files = customer.select(F.concat(F.lit("src/f"), k, F.lit(".py")).alias("path"), F.concat(head, uses).alias("text"), F.lit("python").alias("language"), F.lit(False).alias("skipped"), F.lit(False).alias("is_config"))
+    found = extract.tables(dataflow.kept(extract.extracted(files), "extracted"))
     edges = resolve.resolve(resolve.with_call_id(found["calls"]), found["definitions"])
     edges = edges.withColumn("status", F.when(F.col("callee_expr") == "http.get", "external_candidate").otherwise(F.col("status"))).withColumn("host", F.lit(None).cast("string"))
-    flows = dataflow.results(files, edges).select("file", F.explode("flows").alias("f"))
+    flows = dataflow.results(files, dataflow.kept(edges, "edges")).select("file", F.explode("flows").alias("f"))
     return flows.select("file", "f.kind", F.col("f.source.code").alias("code"), F.size("f.conditions").alias("conditions"))
 
 

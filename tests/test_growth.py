@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from graphlens.operators import resolve
+from graphlens.operators import dataflow, extract, resolve
 
 
 def rows_made(spark, df, node: str) -> int:
@@ -62,3 +62,24 @@ def test_gaps_count_a_lost_place_once_for_each_call(spark):
     gaps = resolve.unmapped_gaps(resolve.resolve(calls, definitions, refs, calls.select("file")), files)
     assert rows_made(spark, gaps, "Join") <= 300
     assert [(r.path, r["count"], r.detail) for r in gaps.collect()] == [("d", 50, "too_large")]
+
+
+def test_no_table_of_facts_is_broadcast(spark):
+    k = F.explode(F.sequence(F.lit(0), F.lit(999)))
+    text = F.concat(F.lit("def go(u):\n    http.get(u)\ngo('h"), "k", F.lit(".example.com')\n"))
+    files = spark.range(1).select(k.alias("k")).select(F.concat(F.lit("f"), "k", F.lit(".py")).alias("path"), text.alias("text"), F.lit("python").alias("language"), F.lit(False).alias("skipped"), F.lit(False).alias("is_config"))
+    found = extract.tables(extract.extracted(files))
+    edges = resolve.resolve(resolve.with_call_id(found["calls"]), found["definitions"])
+    edges = edges.withColumn("status", F.when(F.col("callee_expr") == "http.get", "external_candidate").otherwise(F.col("status"))).withColumn("host", F.lit(None).cast("string"))
+    assert rows_made(spark, dataflow.linked(dataflow.facts(files), edges), "BroadcastExchange") <= 300
+    results = dataflow.results(files, edges)
+    assert rows_made(spark, results, "BroadcastExchange") <= 300
+    got = {r.file: [f.source.code for f in r.flows] for r in results.collect()}
+    assert got == {f"f{n}.py": [f"'h{n}.example.com'"] for n in range(1000)}
+
+
+def test_a_round_above_the_limit_is_merged(spark, monkeypatch):
+    monkeypatch.setattr(dataflow, "FEW", 1)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "node int, other int")
+    starts = spark.createDataFrame([("a", 1), ("b", 4)], "start string, node int")
+    assert sorted(tuple(r) for r in dataflow.reached(starts, edges).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5)]
