@@ -46,6 +46,28 @@ def test_column_is_the_ensemble(spark):
     assert np.allclose([r.s for r in df.collect()], model.numpy(x))
 
 
+def random_rules(rng, n):
+    at = [rng.choice(len(quality.STATS), 3, replace=False) for _ in range(n)]
+    return [(tuple((int(s), bool(rng.integers(2)), float(rng.random())) for s in own), float(rng.normal())) for own in at]
+
+
+def test_most_rules_of_a_fit_can_be_planned(spark):
+    """Noisy labels give hundreds of rules; an expression nested by rule overflowed the driver's stack or heap."""
+    rng = np.random.default_rng(1)
+    x = rng.random((20, len(quality.STATS)))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], list(quality.STATS))
+
+    def depth(model):
+        tree = df.select(model.column())._jdf.queryExecution().analyzed().expressions().head().treeString()
+        return max(len(line) - len(line.lstrip(" :+-")) for line in tree.split("\n"))
+
+    few, most = (quality.RuleEnsemble(0.1, random_rules(rng, n)) for n in (5, quality.TREES * (2 ** (quality.DEPTH + 1) - 2)))
+    assert len(most.rules) == 700 and depth(few) == depth(most)
+    got = [r.s for r in df.select(most.column().alias("s")).where("s >= 0 or s is null").collect()]
+    assert len(got) == 20 and np.allclose(got, most.numpy(x), rtol=1e-12)
+    assert {r.s for r in df.select(quality.RuleEnsemble(0.0, []).column().alias("s")).collect()} == {0.5}
+
+
 def test_statistics_of_texts_without_words():
     assert set(quality.statistics(b"")) == set(quality.statistics(b" \n\t")) == {0.0}
     assert dict(zip(quality.STATS, quality.statistics(b"a a A# 1")))["echoes"] == 0.25
